@@ -140,6 +140,8 @@ class TestData:
     the filters of each query down into the parquet scans.
     """
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")

@@ -134,3 +134,19 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True) ->
     if derive_abnormal:
         frames["abnormal"] = abnormal_users(frames["users"])
     return CampaignTables(**frames)
+
+
+# Fact tables stored partitioned by day, so time filters on the day column
+# prune whole folders; the others are plain datasets.
+DAY_PARTITIONED = {"fact_orders": "DateID", "fact_orders_summary": "DateID"}
+
+
+def save_tables(t: CampaignTables, path: str, mode: str = "overwrite") -> None:
+    """Write a table set as parquet datasets readable by ``load_tables``."""
+    path = path.rstrip("/")
+    for attr, name in TABLE_NAMES.items():
+        df = getattr(t, attr)
+        w = df.write.mode(mode)
+        if name in DAY_PARTITIONED:
+            w = w.partitionBy(DAY_PARTITIONED[name])
+        w.parquet(f"{path}/{name}")
