@@ -2,11 +2,11 @@
 
 Spark's exact ``percentile`` merges one buffer holding every distinct value
 into a single final task. Here the values are reduced to a histogram
-(value -> count, map-side combined, so a value held by a third of the rows
-costs one row per map task), range-partitioned by value, and only the one
-or two range partitions that contain the middle ranks are sorted. The only
-small frames are per-partition totals (one row per partition) and the
-target ranks (at most two rows).
+((group, value) -> count, map-side combined, so a value held by a third of
+the rows costs one row per map task), range-partitioned by (group, value),
+and only the range partitions that contain the middle ranks are sorted. The
+small frames are per-partition totals (at most partitions x groups rows) and
+the target ranks (at most two rows per group).
 """
 
 from __future__ import annotations
@@ -17,32 +17,46 @@ from pyspark.sql import functions as F
 _VALUE = "decimal(38,2)"
 
 
-def median_frame(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """One row ``median`` (decimal, exact, mean of the two middle values when
-    the count is even; null when there is no non-null value)."""
+def grouped_median(df: DataFrame, group: str, value: str, partitions: int | None = None) -> DataFrame:
+    """Rows ``(group, median)``: the exact median of ``value`` per group (mean
+    of the two middle values for an even count; nulls ignored; a group with
+    no value is absent). Meant for a bounded number of groups (the target
+    ranks of all groups are broadcast: two rows per group)."""
     spark = df.sparkSession
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    v = df.select(F.col(col).cast(_VALUE).alias("v")).filter(F.col("v").isNotNull())
-    hist = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ranged = hist.repartitionByRange(partitions, "v").select("v", "n", F.spark_partition_id().alias("pid"))
-
-    # One row per range partition: rows before it, total, and the two ranks.
-    parts = ranged.groupBy("pid").agg(F.sum("n").alias("pn"))
-    upto = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    g = F.col(group)
+    v = df.select(g.alias("g"), F.col(value).cast(_VALUE).alias("v")).filter(F.col("v").isNotNull())
+    hist = v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = hist.repartitionByRange(partitions, "g", "v").select(
+        "g", "v", "n", F.spark_partition_id().alias("pid"))
+
+    # Per (range partition, group): rows before it within the group, the
+    # group total, and the two middle ranks (0-based).
+    parts = ranged.groupBy("pid", "g").agg(F.sum("n").alias("pn"))
+    upto = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("g")
     parts = (parts
              .withColumn("before", F.coalesce(F.sum("pn").over(upto), F.lit(0)))
-             .withColumn("total", F.sum("pn").over(everything))
+             .withColumn("total", F.sum("pn").over(whole))
              .withColumn("lo", F.expr("(total - 1) div 2"))
              .withColumn("hi", F.expr("total div 2")))
     inside = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("pn"))
-    targets = parts.filter(inside("lo") | inside("hi")).select("pid", "before", "lo", "hi")
+    targets = parts.filter(inside("lo") | inside("hi")).select("pid", "g", "before", "lo", "hi")
 
-    # At most two partitions survive the (two-row, broadcast) join.
-    cand = ranged.join(F.broadcast(targets), "pid")
-    run = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # Only the partitions holding a middle rank survive the join.
+    cand = ranged.join(F.broadcast(targets), ["pid", "g"])
+    run = Window.partitionBy("pid", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("cum", F.col("before") + F.sum("n").over(run))
     at = lambda r: (F.col("cum") - F.col("n") <= F.col(r)) & (F.col(r) < F.col("cum"))
-    return cand.agg(
-        ((F.max(F.when(at("lo"), F.col("v"))) + F.max(F.when(at("hi"), F.col("v")))) / 2).alias("median"))
+    med = (F.max(F.when(at("lo"), F.col("v"))) + F.max(F.when(at("hi"), F.col("v")))) / 2
+    return cand.groupBy("g").agg(med.alias("median")).withColumnRenamed("g", group)
+
+
+def median_frame(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
+    """One row ``median`` of one column (null when there is no value)."""
+    keyed = df.select(F.lit(0).alias("_g"), F.col(col))
+    per = grouped_median(keyed, "_g", col, partitions)
+    # left join from a one-row frame keeps the row when there is no value
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_g"))
+    return one.join(per, "_g", "left").select("median")

@@ -7,7 +7,7 @@ shared per-user base once (reliable checkpoint when the cluster names a
 checkpoint folder), so each section reads the small base, not the facts.
 
 Scale notes: the window filter on ``Creation_date`` reaches the parquet scan
-(and prunes date partitions); the audience is applied as a semi join
+(row groups are skipped by their min/max); the audience is applied as a semi join
 (broadcast after a bounded count, else shuffled); every grouping is
 map-side combined, and the few-group sections (product, ticket bucket,
 reactivation bucket) never ship more than one partial row per group per task.
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from campaignlab.functions.blocks import (
     MONEY, USER, as_date, avg_spend, before, bucket, bucket_rank, for_audience, in_window, money_sum,
 )
-from campaignlab.functions.quantile import median_frame
+from campaignlab.functions.quantile import grouped_median
 from campaignlab.sources.tables import CampaignTables
 from campaignlab.session import checkpoint_dir
 
@@ -170,27 +170,26 @@ def deposit_summary(deposits: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- A10
 def activity_stats(by_user: DataFrame, columns=STAT_COLUMNS) -> DataFrame:
     """A10: average, min, median and max of the per-user columns, 2 decimals
-    (rows ``stat`` in that order). Mean/min/max come from one global
-    aggregate; each median from the distributed exact median."""
+    (rows ``stat`` in that order, one column per statistic input). Mean/min/
+    max come from one global aggregate, all medians from one pass of the
+    distributed exact median over the stacked columns."""
     aggs = []
     for c in columns:
-        aggs += [F.sum(F.col(c).cast("decimal(38,2)")).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n"),
-                 F.min(c).cast("decimal(38,2)").alias(f"{c}__min"), F.max(c).cast("decimal(38,2)").alias(f"{c}__max")]
-    one = by_user.agg(*aggs)
-    long = None
-    for c in columns:
-        part = one.select(
-            F.lit(c).alias("column"),
-            F.array(
-                F.struct(F.lit("average").alias("stat"), avg_spend(F.col(f"{c}__sum"), F.col(f"{c}__n"))
-                         .cast(MONEY).alias("value")),
-                F.struct(F.lit("min").alias("stat"), F.col(f"{c}__min").cast(MONEY).alias("value")),
-                F.struct(F.lit("max").alias("stat"), F.col(f"{c}__max").cast(MONEY).alias("value")),
-            ).alias("s")).select("column", F.inline("s"))
-        med = median_frame(by_user, c).select(F.lit(c).alias("column"), F.lit("median").alias("stat"),
-                                              F.round("median", 2).cast(MONEY).alias("value"))
-        part = part.unionByName(med)
-        long = part if long is None else long.unionByName(part)
+        v = F.col(c).cast("decimal(38,2)")
+        aggs += [F.sum(v).alias(f"{c}__sum"), F.count(v).alias(f"{c}__n"),
+                 F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+    per_column = by_user.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"),
+                 avg_spend(F.col(f"{c}__sum"), F.col(f"{c}__n")).cast(MONEY).alias("average"),
+                 F.col(f"{c}__min").cast(MONEY).alias("min"),
+                 F.col(f"{c}__max").cast(MONEY).alias("max"))
+        for c in columns])))
+    stacked = by_user.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("decimal(38,2)").alias("value")) for c in columns])))
+    med = grouped_median(stacked, "column", "value").select(
+        "column", F.round("median", 2).cast(MONEY).alias("median"))
+    long = per_column.join(med, "column", "left").unpivot(
+        ["column"], list(STAT_NAMES), "stat", "value")
     wide = long.groupBy("stat").pivot("column", list(columns)).agg(F.first("value"))
     return wide.orderBy(bucket_rank(F.col("stat"), STAT_NAMES)).select("stat", *columns)
 

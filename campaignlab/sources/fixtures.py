@@ -18,6 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+# The test-data files hold one row group each, so a scan is a single task no
+# matter how many cores there are. These large sources are hash-spread on a
+# key right after the scan when they arrive in fewer splits than the default
+# parallelism (filters and column pruning still reach the scan). Stored
+# tables at scale arrive in many splits and are never re-spread.
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
 # Fixed view definitions (FIXTURES.md). Order matters: a view may only use
 # base tables and views defined above it.
 FIXTURE_SQL: dict[str, str] = {
@@ -153,9 +160,18 @@ class TestData:
                 deps = {d: self.table(d) for d in dependencies(name)}
                 self._frames[name] = self.spark.sql(FIXTURE_SQL[name], **deps)
             else:
-                self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._frames[name] = self._scan(name)
         return self._frames[name]
 
+    def _scan(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = SPREAD_KEYS.get(name)
+        if key is not None:
+            n = self.spark.sparkContext.defaultParallelism
+            if n > 1 and df.rdd.getNumPartitions() < n:
+                df = df.repartition(n, key)
+        return df
+
     @cached_property
     def campaign(self):
         from campaignlab.sources.tables import CampaignTables
