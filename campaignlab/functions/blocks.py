@@ -58,6 +58,28 @@ def for_audience(df: DataFrame, ids: DataFrame, key: str = USER,
     return df.join(bounded_broadcast(ids.select(key), max_broadcast_rows), on=key, how="left_semi")
 
 
+def small_audience(ids: DataFrame, key: str = USER, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame | None:
+    """The audience as a broadcast frame when it provably has at most
+    ``max_rows`` ids, else ``None``."""
+    ids = ids.select(key)
+    return F.broadcast(ids) if ids.limit(max_rows + 1).count() <= max_rows else None
+
+
+def aggregate_for_audience(rows: DataFrame, ids: DataFrame, group_by: Sequence[str], aggs: Sequence[Column],
+                           key: str = USER, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """B3 + aggregate: per-group aggregates of the rows of audience users.
+
+    A small audience (bounded count) is a broadcast semi join applied to the
+    rows before aggregating, so other users' rows never reach the shuffle. A
+    large one is applied after aggregating (the grouping includes ``key``),
+    so the shuffle only carries map-side-combined rows and a user holding a
+    third of all rows is one row per task, not one hot join partition."""
+    small = small_audience(ids, key, max_broadcast_rows)
+    if small is not None:
+        return rows.join(small, on=key, how="left_semi").groupBy(*group_by).agg(*aggs)
+    return rows.groupBy(*group_by).agg(*aggs).join(ids.select(key), on=key, how="left_semi")
+
+
 def _literal_like(df: DataFrame, col: str, value) -> Column:
     """A literal of the column's own type, so the comparison is pushed down to
     the parquet scan instead of casting the column."""

@@ -7,8 +7,9 @@ shared per-user base once (reliable checkpoint when the cluster names a
 checkpoint folder), so each section reads the small base, not the facts.
 
 Scale notes: the window filter on ``Creation_date`` reaches the parquet scan
-(row groups are skipped by their min/max); the audience is applied as a semi join
-(broadcast after a bounded count, else shuffled); every grouping is
+(row groups are skipped by their min/max); the audience is a broadcast semi
+join before aggregating when its count is bounded, else a semi join on the
+map-side-combined aggregate (``aggregate_for_audience``); every grouping is
 map-side combined, and the few-group sections (product, ticket bucket,
 reactivation bucket) never ship more than one partial row per group per task.
 No activity operator excludes abnormal or test accounts (SURVEY D11).
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlab.functions.blocks import (
-    MONEY, USER, as_date, avg_spend, before, bucket, bucket_rank, for_audience, in_window, money_sum,
+    MONEY, USER, aggregate_for_audience, as_date, avg_spend, before, bucket, bucket_rank, in_window,
+    money_sum,
 )
 from campaignlab.functions.quantile import grouped_median
 from campaignlab.sources.tables import CampaignTables
@@ -67,11 +69,10 @@ def activity_base(t: CampaignTables, ids: DataFrame, start, end) -> DataFrame:
     """A2: in-window orders of the audience per (User_ID, Lottery)."""
     o = in_window(t.orders.select(USER, "Lottery", "Entries", "Turnover", "Prize", "Creation_date"),
                   "Creation_date", start, end)
-    o = for_audience(o, ids)
-    return o.groupBy(USER, "Lottery").agg(
+    return aggregate_for_audience(o, ids, [USER, "Lottery"], [
         F.sum("Entries").alias("Ticket_sold"),
         money_sum("Turnover").alias("Turnover"),
-        money_sum("Prize").alias("Prize"))
+        money_sum("Prize").alias("Prize")])
 
 
 # ----------------------------------------------------------------------- A3
@@ -121,11 +122,10 @@ def activity_deposits(t: CampaignTables, ids: DataFrame, start, end,
     the amount in a success state (handling counts, D12)."""
     d = in_window(t.deposits.select(USER, "top_up_amount", "top_up_state", "creation_date"),
                   "creation_date", start, end)
-    d = for_audience(d, ids)
     ok = F.when(F.col("top_up_state").isin(list(success_states)), F.col("top_up_amount"))
-    return d.groupBy(USER).agg(
+    return aggregate_for_audience(d, ids, [USER], [
         F.count(F.lit(1)).alias("attempt_depo"),
-        F.sum(ok).cast(MONEY).alias("success_depo_amount"))
+        F.sum(ok).cast(MONEY).alias("success_depo_amount")])
 
 
 # ----------------------------------------------------------------------- A7
@@ -133,9 +133,8 @@ def inactive_months(t: CampaignTables, ids: DataFrame, start) -> DataFrame:
     """For audience users with orders strictly before ``start``, whole
     30-day months from the last order day to the start day (D2)."""
     o = before(t.orders.select(USER, "DateID", "Creation_date"), "Creation_date", start)
-    o = for_audience(o, ids)
     months = F.expr(f"datediff(_start, _last) div {DAYS_PER_MONTH}")
-    return (o.groupBy(USER).agg(F.max("DateID").alias("_last"))
+    return (aggregate_for_audience(o, ids, [USER], [F.max("DateID").alias("_last")])
             .withColumn("_start", as_date(start))
             .select(USER, F.concat(F.lit(">= "), months.cast("string"), F.lit(" month")).alias("inactive_month")))
 

@@ -134,3 +134,17 @@ def test_withdraw_null_status_and_having(spark):
                             {"User_ID": "u", "withdrawal_amount": Decimal("70.00"), "withdrawal_status": "Failure"}])
     row = A.wallet_balance(t, as_of="2000-02-01").collect()[0]
     assert row.balance == Decimal("950.00")
+
+
+def test_audience_paths_agree_and_hot_user(spark):
+    from campaignlab.functions.blocks import aggregate_for_audience
+
+    hot = [order("hot", entries=1) for _ in range(300)]
+    rows = tables(spark, orders=hot + [order("a", entries=2), order("b", lottery="Instant", entries=3)]).orders
+    aud = ids(spark, "hot", "b", "zzz")
+    aggs = [F.sum("Entries").alias("n")]
+    small = aggregate_for_audience(rows, aud, ["User_ID", "Lottery"], aggs)
+    large = aggregate_for_audience(rows, aud, ["User_ID", "Lottery"], aggs, max_broadcast_rows=0)
+    want = {("hot", "Lucky Day", 300), ("b", "Instant", 3)}
+    assert {tuple(r) for r in small.collect()} == want
+    assert {tuple(r) for r in large.collect()} == want
