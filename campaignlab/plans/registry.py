@@ -23,7 +23,7 @@ class QuerySpec:
     sql: str | None  # body after the WITH list; None = no SQL equivalent
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(TestData(spark, sf_dir))
+        return self.build(TestData.shared(spark, sf_dir))
 
     def oracle(self) -> str | None:
         if self.sql is None:

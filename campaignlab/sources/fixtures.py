@@ -148,6 +148,18 @@ class TestData:
     """
 
     __test__ = False  # not a pytest test class
+    _shared: dict[tuple[str, str], "TestData"] = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "TestData":
+        """One instance per (Spark application, folder). The views are lazy,
+        immutable plans, so queries can share them: only the driver-side
+        work (reading footers, parsing and analysing the view SQL) is done
+        once; every query still executes from the parquet scans."""
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir)
+        return cls._shared[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -188,3 +200,19 @@ class TestData:
             rfm=self.table("rfm_score"),
             abnormal=self.table("vw_abnormal_users"),
         )
+
+
+class StoredTestData(TestData):
+    """Like ``TestData``, but the campaign tables are read from a folder
+    written once by ``save_tables`` (uploads are still derived)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables_dir: str):
+        super().__init__(spark, sf_dir)
+        self.tables_dir = tables_dir.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        from campaignlab.sources.tables import TABLE_NAMES
+
+        if name in TABLE_NAMES.values() and name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.tables_dir}/{name}")
+        return super().table(name)

@@ -141,12 +141,15 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True) ->
 DAY_PARTITIONED = {"fact_orders": "DateID", "fact_orders_summary": "DateID"}
 
 
-def save_tables(t: CampaignTables, path: str, mode: str = "overwrite") -> None:
-    """Write a table set as parquet datasets readable by ``load_tables``."""
+def save_tables(t: CampaignTables, path: str, mode: str = "overwrite", partition_facts: bool = True) -> None:
+    """Write a table set as parquet datasets readable by ``load_tables``.
+
+    ``partition_facts=False`` writes the facts unpartitioned (small test
+    sizes, where day folders would only hold tiny files)."""
     path = path.rstrip("/")
     for attr, name in TABLE_NAMES.items():
         df = getattr(t, attr)
         w = df.write.mode(mode)
-        if name in DAY_PARTITIONED:
+        if partition_facts and name in DAY_PARTITIONED:
             w = w.partitionBy(DAY_PARTITIONED[name])
         w.parquet(f"{path}/{name}")
