@@ -110,12 +110,9 @@ def as_date(value) -> Column:
 
 
 def inactive_days(date_col: str, as_of=None) -> Column:
-    """Whole days from the last activity date to ``as_of`` (aggregate)."""
-    return F.datediff(as_of_date(as_of), F.max(date_col))
-
-
-def as_of_date(as_of=None) -> Column:
-    return as_date(as_of)
+    """Whole days from the last activity date to ``as_of`` (an aggregate
+    expression; ``as_of`` replaces the server clock, default today)."""
+    return F.datediff(as_date(as_of), F.max(date_col))
 
 
 def bucket(c: Column, edges: Sequence, labels: Sequence[str], equal_first: bool = False) -> Column:

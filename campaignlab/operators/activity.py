@@ -231,7 +231,8 @@ REPORT_SECTIONS = ("overview", "deposit", "stats", "by_product", "by_ticket", "r
 
 
 def campaign_report(t: CampaignTables, ids: DataFrame, start, end, title: str = "") -> dict:
-    """The report bundle: header fields plus six sections in fixed order.
+    """The report bundle: header fields plus six sections in fixed order
+    (typed), and the two KPI sections as labelled display tables.
 
     ``ids`` is the audience (distinct ids, see ``audience``). The per-user
     base and the deposits are materialised once; ``empty`` is the A12 signal
@@ -250,15 +251,38 @@ def campaign_report(t: CampaignTables, ids: DataFrame, start, end, title: str =
         "by_ticket": activity_by_ticket_segment(by_user),
         "reactivation": reactivation(by_user, history),
     }
+    display = {"overview": metric_rows(sections["overview"], SUMMARY_LABELS),
+               "deposit": metric_rows(sections["deposit"], DEPOSIT_LABELS)}
     return {"title": title, "start": str(start), "end": str(end), "empty": base.isEmpty(),
-            "sections": sections}
-
-
-def metric_rows(kpi: DataFrame) -> DataFrame:
-    """The KPI row as a two-column (Metric, Value) text table for display."""
-    cols = kpi.columns
-    as_text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols]
-    return kpi.select(*as_text).unpivot([], cols, "Metric", "Value")
+            "sections": sections, "display": display}
+
+
+# Fixed display labels of the reference's report tables.
+SUMMARY_LABELS = {"Receiver": "Receiver", "Active_players": "Active players",
+                  "Active_percentage": "Active percentage", "Ticket_sold": "Ticket sold", "Turnover": "Turnover",
+                  "Avg_spend": "Avg spend"}
+DEPOSIT_LABELS = {"Attempt_users": "Attempt deposit users", "Attempts": "Total transaction (attempt)",
+                  "Success_users": "Success users", "Success_amount": "Success deposit amount",
+                  "Min_amount": "Min amount", "Avg_amount": "Avg amount", "Max_amount": "Max amount"}
+_PLAIN = {"Active_percentage", "Avg_spend", "Avg_amount"}
+
+
+def metric_rows(kpi: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """A KPI row as the reference's two-column (Metric, Value) display table:
+    whole numbers with thousands separators, averages with two decimals, the
+    percentage with a % sign, empty for null."""
+    labels = labels or {c: c for c in kpi.columns}
+    out = []
+    for c, label in labels.items():
+        v = F.col(c)
+        if c == "Active_percentage":
+            text = F.concat(v.cast("string"), F.lit("%"))
+        elif c in _PLAIN:
+            text = v.cast("string")
+        else:
+            text = F.format_number(F.floor(v), 0)
+        out.append(F.coalesce(text, F.lit("")).alias(label))
+    return kpi.select(*out).unpivot([], list(labels.values()), "Metric", "Value")
 
 
 def write_report(report: dict, path: str, fmt: str = "csv") -> None:
@@ -269,7 +293,8 @@ def write_report(report: dict, path: str, fmt: str = "csv") -> None:
         [(report["title"], report["start"], report["end"], bool(report["empty"]))],
         T.StructType([T.StructField("title", T.StringType()), T.StructField("start", T.StringType()),
                       T.StructField("end", T.StringType()), T.StructField("empty", T.BooleanType())]))
-    items = [("_header", header)] + [(k, report["sections"][k]) for k in REPORT_SECTIONS]
+    items = [("_header", header)] + [(k, report["sections"][k]) for k in REPORT_SECTIONS] \
+        + [(f"{k}_table", v) for k, v in report.get("display", {}).items()]
     for name, df in items:
         w = df.write.mode("overwrite")
         if fmt == "csv":

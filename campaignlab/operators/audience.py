@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlab.functions.blocks import (
-    MONEY, USER, as_of_date, bounded_broadcast, bucket, clamp0, exclude_abnormal, exclude_test_accounts,
+    MONEY, USER, bounded_broadcast, bucket, clamp0, exclude_abnormal, exclude_test_accounts, inactive_days,
     money_sum,
 )
 from campaignlab.sources.tables import CampaignTables
@@ -77,7 +77,7 @@ def order_behavior(t: CampaignTables, as_of=None) -> DataFrame:
     """Per user days since last order and lifetime totals."""
     fs = exclude_test_accounts(t.orders_summary)
     agg = fs.groupBy(USER).agg(
-        F.datediff(as_of_date(as_of), F.max("DateID")).alias("inactive_days"),
+        inactive_days("DateID", as_of).alias("inactive_days"),
         F.sum("Orders").alias("Orders"),
         F.sum("Entries").alias("Tickets"),
         money_sum("Turnover").alias("Turnover"),
@@ -112,7 +112,7 @@ def buyers(t: CampaignTables, product: str, as_of=None) -> DataFrame:
     games = bounded_broadcast(t.games.filter(F.col("Lottery") == product).select("GameID", "Lottery"))
     fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
     agg = fs.groupBy(USER, "Lottery").agg(
-        F.datediff(as_of_date(as_of), F.max("DateID")).alias("inactive_days"),
+        inactive_days("DateID", as_of).alias("inactive_days"),
         F.count_distinct("Game_series").alias("distinct_series_bought"),
         F.max("Draw_Period").alias("Last_active_period"),
         F.sum("Entries").alias("Tickets"),
@@ -285,7 +285,7 @@ def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_
     per_user = ledger.groupBy(USER).agg(
         F.sum("dep_success").alias("success_amount"),
         F.sum("turnover").alias("Turnover"),
-        F.datediff(as_of_date(as_of), F.max("last_date")).alias("inactive_days"),
+        inactive_days("last_date", as_of).alias("inactive_days"),
         F.sum("draw_prize").alias("Draw_prize"),
         F.sum("other_prize").alias("Other_prize"),
         F.sum("withdraw").alias("withdraw_sum"),

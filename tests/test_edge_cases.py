@@ -148,3 +148,18 @@ def test_audience_paths_agree_and_hot_user(spark):
     want = {("hot", "Lucky Day", 300), ("b", "Instant", 3)}
     assert {tuple(r) for r in small.collect()} == want
     assert {tuple(r) for r in large.collect()} == want
+
+
+def test_metric_rows_display(spark):
+    t = tables(spark, orders=[order("u", entries=1500, turnover="12345.67")],
+               deposits=[deposit("u", amount="1000.00"), deposit("u", amount="2500.50", top_up_id=2)])
+    aud = ids(spark, "u", "v", "w")
+    by_user = X.activity_by_user(X.activity_base(t, aud, START, END))
+    rows = X.metric_rows(X.activity_summary(aud, by_user), X.SUMMARY_LABELS).collect()
+    assert [(r.Metric, r.Value) for r in rows] == [
+        ("Receiver", "3"), ("Active players", "1"), ("Active percentage", "33.33%"), ("Ticket sold", "1,500"),
+        ("Turnover", "12,345"), ("Avg spend", "12345.67")]
+    dep = X.metric_rows(X.deposit_summary(X.activity_deposits(t, aud, START, END)), X.DEPOSIT_LABELS).collect()
+    assert dict((r.Metric, r.Value) for r in dep) == {
+        "Attempt deposit users": "1", "Total transaction (attempt)": "2", "Success users": "1",
+        "Success deposit amount": "3,500", "Min amount": "3,500", "Avg amount": "3500.50", "Max amount": "3,500"}
