@@ -14,26 +14,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_VALUE = "decimal(38,2)"
+VALUE_TYPE = "decimal(38,2)"
 
 
-def grouped_median(df: DataFrame, group: str, value: str, partitions: int | None = None) -> DataFrame:
-    """Rows ``(group, median)``: the exact median of ``value`` per group (mean
-    of the two middle values for an even count; nulls ignored; a group with
-    no value is absent). Meant for a bounded number of groups (the target
-    ranks of all groups are broadcast: two rows per group)."""
-    spark = df.sparkSession
+def value_histogram(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows ``(g, v, n)``: how many times each non-null value occurs per group."""
+    v = df.select(F.col(group).alias("g"), F.col(value).cast(VALUE_TYPE).alias("v")).filter(F.col("v").isNotNull())
+    return v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def median_from_histogram(hist: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows ``(g, median)`` from a ``value_histogram`` (exact; the mean of the
+    two middle values for an even count). Meant for a bounded number of
+    groups: the target ranks of all groups (two rows per group) are
+    broadcast."""
     if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    g = F.col(group)
-    v = df.select(g.alias("g"), F.col(value).cast(_VALUE).alias("v")).filter(F.col("v").isNotNull())
-    hist = v.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+        partitions = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = hist.repartitionByRange(partitions, "g", "v").select(
         "g", "v", "n", F.spark_partition_id().alias("pid"))
 
     # Per (range partition, group): rows before it within the group, the
-    # group total, and the two middle ranks (0-based).
-    parts = ranged.groupBy("pid", "g").agg(F.sum("n").alias("pn"))
+    # group total, and the two middle ranks (0-based). At most partitions x
+    # groups rows, so the windows run on one coalesced partition.
+    parts = ranged.groupBy("pid", "g").agg(F.sum("n").alias("pn")).coalesce(1)
     upto = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("g")
     parts = (parts
@@ -50,13 +53,17 @@ def grouped_median(df: DataFrame, group: str, value: str, partitions: int | None
     cand = cand.withColumn("cum", F.col("before") + F.sum("n").over(run))
     at = lambda r: (F.col("cum") - F.col("n") <= F.col(r)) & (F.col(r) < F.col("cum"))
     med = (F.max(F.when(at("lo"), F.col("v"))) + F.max(F.when(at("hi"), F.col("v")))) / 2
-    return cand.groupBy("g").agg(med.alias("median")).withColumnRenamed("g", group)
+    return cand.groupBy("g").agg(med.alias("median"))
+
+
+def grouped_median(df: DataFrame, group: str, value: str, partitions: int | None = None) -> DataFrame:
+    """Rows ``(group, median)``: the exact median of ``value`` per group
+    (nulls ignored; a group with no value is absent)."""
+    return median_from_histogram(value_histogram(df, group, value), partitions).withColumnRenamed("g", group)
 
 
 def median_frame(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """One row ``median`` of one column (null when there is no value)."""
-    keyed = df.select(F.lit(0).alias("_g"), F.col(col))
-    per = grouped_median(keyed, "_g", col, partitions)
-    # left join from a one-row frame keeps the row when there is no value
-    one = df.sparkSession.range(1).select(F.lit(0).alias("_g"))
-    return one.join(per, "_g", "left").select("median")
+    per = grouped_median(df.select(F.lit(0).alias("_g"), F.col(col)), "_g", col, partitions)
+    # a global aggregate always yields one row, null when there is no value
+    return per.agg(F.max("median").alias("median"))

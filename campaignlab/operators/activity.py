@@ -26,7 +26,7 @@ from campaignlab.functions.blocks import (
     MONEY, USER, aggregate_for_audience, as_date, avg_spend, before, bucket, bucket_rank, in_window,
     money_sum,
 )
-from campaignlab.functions.quantile import grouped_median
+from campaignlab.functions.quantile import VALUE_TYPE, median_from_histogram, value_histogram
 from campaignlab.sources.tables import CampaignTables
 from campaignlab.session import checkpoint_dir
 
@@ -176,28 +176,30 @@ def deposit_summary(deposits: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- A10
 def activity_stats(by_user: DataFrame, columns=STAT_COLUMNS) -> DataFrame:
     """A10: average, min, median and max of the per-user columns, 2 decimals
-    (rows ``stat`` in that order, one column per statistic input). Mean/min/
-    max come from one global aggregate, all medians from one pass of the
-    distributed exact median over the stacked columns."""
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("decimal(38,2)")
-        aggs += [F.sum(v).alias(f"{c}__sum"), F.count(v).alias(f"{c}__n"),
-                 F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
-    per_column = by_user.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 avg_spend(F.col(f"{c}__sum"), F.col(f"{c}__n")).cast(MONEY).alias("average"),
-                 F.col(f"{c}__min").cast(MONEY).alias("min"),
-                 F.col(f"{c}__max").cast(MONEY).alias("max"))
-        for c in columns])))
+    (rows ``stat`` in that order, one column per statistic input).
+
+    The columns are stacked into one value histogram per column; the moments
+    (sum, count, min, max) and the exact medians both come from it, and a
+    single one-row aggregate assembles the table (no join, no pivot)."""
     stacked = by_user.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("decimal(38,2)").alias("value")) for c in columns])))
-    med = grouped_median(stacked, "column", "value").select(
-        "column", F.round("median", 2).cast(MONEY).alias("median"))
-    long = per_column.join(med, "column", "left").unpivot(
-        ["column"], list(STAT_NAMES), "stat", "value")
-    wide = long.groupBy("stat").pivot("column", list(columns)).agg(F.first("value"))
-    return _sorted_small(wide, bucket_rank(F.col("stat"), STAT_NAMES)).select("stat", *columns)
+        F.struct(F.lit(c).alias("g"), F.col(c).cast(VALUE_TYPE).alias("v")) for c in columns])))
+    hist = value_histogram(stacked, "g", "v")
+    moments = hist.groupBy("g").agg(
+        F.sum(F.col("v") * F.col("n")).alias("total"), F.sum("n").alias("count"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    cells = moments.unionByName(median_from_histogram(hist), allowMissingColumns=True)
+    one = cells.agg(*[F.max(F.when(F.col("g") == c, F.col(x))).alias(f"{c}__{x}")
+                      for c in columns for x in ("total", "count", "min", "max", "median")])
+    cell = {
+        "average": lambda c: avg_spend(F.col(f"{c}__total"), F.col(f"{c}__count")),
+        "min": lambda c: F.col(f"{c}__min"),
+        "median": lambda c: F.round(F.col(f"{c}__median"), 2),
+        "max": lambda c: F.col(f"{c}__max"),
+    }
+    rows = [F.struct(F.lit(s).alias("stat"), *[cell[s](c).cast(MONEY).alias(c) for c in columns])
+            for s in STAT_NAMES]
+    # one input row -> one partition: the rows keep the array order
+    return one.select(F.inline(F.array(*rows)))
 
 
 # ---------------------------------------------------------------------- A11

@@ -25,6 +25,29 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(shuffle_bytes: float, executor_memory_gb: float = 16, executor_cores: int = 4,
+                 target_partition_mb: int = 256) -> dict[str, str]:
+    """Settings for a large cluster, sized from the expected shuffle volume.
+
+    AQE can only coalesce shuffle partitions, never split them, so the
+    initial count is sized for the largest shuffle: ``shuffle_bytes /
+    target_partition_mb``, and not less than what keeps one task's share of
+    execution memory (about 60% of the heap spread over the cores) above
+    twice the partition size. Example: 100 TB of facts that partial
+    aggregation reduces to ~10 TB of shuffle gives ~40,000 partitions of
+    256 MB."""
+    per_task_mb = executor_memory_gb * 1024 * 0.6 / executor_cores
+    part_mb = min(target_partition_mb, per_task_mb / 2)
+    partitions = max(200, int(shuffle_bytes / (part_mb * 1024 * 1024)) + 1)
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{int(part_mb)}m",
+        "spark.sql.files.maxPartitionBytes": f"{int(part_mb)}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{int(part_mb * 4)}m",
+    }
+
+
 def local_session(cores: int | None = None, shuffle_partitions: int | None = None,
                   app: str = "campaignlab") -> SparkSession:
     """A local-mode session for tests and the benchmark."""
