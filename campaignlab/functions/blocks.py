@@ -90,13 +90,22 @@ def _literal_like(df: DataFrame, col: str, value) -> Column:
     return F.lit(value).cast(df.schema[col].dataType)
 
 
-def in_window(df: DataFrame, col: str, start, end) -> DataFrame:
-    """Closed window ``start <= col <= end`` on a timestamp column."""
+def in_window(df: DataFrame, col: str, start, end, day_col: str | None = None) -> DataFrame:
+    """Closed window ``start <= col <= end`` on a timestamp column.
+
+    ``day_col``, when given, is a date column equal to the date of ``col``
+    (a day partition column): the implied day range is added so whole
+    partitions outside the window are pruned; it never changes the result."""
+    if day_col is not None:
+        df = df.filter(F.col(day_col).between(as_date(start), as_date(end)))
     return df.filter(F.col(col).between(_literal_like(df, col, start), _literal_like(df, col, end)))
 
 
-def before(df: DataFrame, col: str, bound) -> DataFrame:
-    """Strictly before ``bound`` (used for history before a campaign)."""
+def before(df: DataFrame, col: str, bound, day_col: str | None = None) -> DataFrame:
+    """Strictly before ``bound`` (used for history before a campaign); with
+    ``day_col`` as in ``in_window``."""
+    if day_col is not None:
+        df = df.filter(F.col(day_col) <= as_date(bound))
     return df.filter(F.col(col) < _literal_like(df, col, bound))
 
 
@@ -106,7 +115,7 @@ def as_date(value) -> Column:
         return F.current_date()
     if isinstance(value, dt.datetime):
         value = value.date()
-    return F.lit(str(value)).cast("date")
+    return F.lit(str(value)[:10]).cast("date")
 
 
 def inactive_days(date_col: str, as_of=None) -> Column:

@@ -67,8 +67,8 @@ def load_audience(spark: SparkSession, path: str, column: str = USER) -> DataFra
 # ----------------------------------------------------------------------- A2
 def activity_base(t: CampaignTables, ids: DataFrame, start, end) -> DataFrame:
     """A2: in-window orders of the audience per (User_ID, Lottery)."""
-    o = in_window(t.orders.select(USER, "Lottery", "Entries", "Turnover", "Prize", "Creation_date"),
-                  "Creation_date", start, end)
+    cols = [USER, "Lottery", "Entries", "Turnover", "Prize", "Creation_date"] + ([t.orders_day] if t.orders_day else [])
+    o = in_window(t.orders.select(*cols), "Creation_date", start, end, day_col=t.orders_day)
     return aggregate_for_audience(o, ids, [USER, "Lottery"], [
         F.sum("Entries").alias("Ticket_sold"),
         money_sum("Turnover").alias("Turnover"),
@@ -132,7 +132,8 @@ def activity_deposits(t: CampaignTables, ids: DataFrame, start, end,
 def inactive_months(t: CampaignTables, ids: DataFrame, start) -> DataFrame:
     """For audience users with orders strictly before ``start``, whole
     30-day months from the last order day to the start day (D2)."""
-    o = before(t.orders.select(USER, "DateID", "Creation_date"), "Creation_date", start)
+    cols = list(dict.fromkeys([USER, "DateID", "Creation_date"] + ([t.orders_day] if t.orders_day else [])))
+    o = before(t.orders.select(*cols), "Creation_date", start, day_col=t.orders_day)
     months = F.expr(f"datediff(_start, _last) div {DAYS_PER_MONTH}")
     return (aggregate_for_audience(o, ids, [USER], [F.max("DateID").alias("_last")])
             .withColumn("_start", as_date(start))

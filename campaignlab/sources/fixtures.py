@@ -210,6 +210,13 @@ class StoredTestData(TestData):
         super().__init__(spark, sf_dir)
         self.tables_dir = tables_dir.rstrip("/")
 
+    @cached_property
+    def campaign(self):
+        from dataclasses import replace
+
+        # save_tables writes DateID as the date of Creation_date
+        return replace(super().campaign, orders_day="DateID")
+
     def table(self, name: str) -> DataFrame:
         from campaignlab.sources.tables import TABLE_NAMES
 

@@ -104,10 +104,15 @@ class CampaignTables:
     refunds: DataFrame
     rfm: DataFrame
     abnormal: DataFrame
+    # Day column the orders are stored partitioned by, equal to the date of
+    # ``Creation_date`` (as ``save_tables`` writes them). Time windows then
+    # also filter it, which prunes whole day folders. None: no such column.
+    orders_day: str | None = None
 
     def validated(self, strict_types: bool = False) -> "CampaignTables":
         for f in fields(self):
-            validate(getattr(self, f.name), TABLE_NAMES[f.name], strict_types)
+            if f.name in TABLE_NAMES:
+                validate(getattr(self, f.name), TABLE_NAMES[f.name], strict_types)
         return self
 
     def with_users(self, users: DataFrame) -> "CampaignTables":
@@ -118,11 +123,14 @@ class CampaignTables:
         return replace(self, users=users, abnormal=abnormal_users(users))
 
 
-def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True) -> CampaignTables:
+def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True,
+                orders_day: str | None = "DateID") -> CampaignTables:
     """Read ``<path>/<table>`` parquet datasets.
 
     When the abnormal-user list is not stored, it is derived from the user
-    table (E10b)."""
+    table (E10b). ``orders_day`` names the orders' day partition column (the
+    date of ``Creation_date``, as ``save_tables`` writes it); pass None for
+    tables where that does not hold."""
     from campaignlab.operators.audience import abnormal_users
 
     path = path.rstrip("/")
@@ -133,7 +141,9 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True) ->
         frames[attr] = validate(spark.read.parquet(f"{path}/{name}"), name)
     if derive_abnormal:
         frames["abnormal"] = abnormal_users(frames["users"])
-    return CampaignTables(**frames)
+    if orders_day is not None and orders_day not in frames["orders"].columns:
+        orders_day = None
+    return CampaignTables(**frames, orders_day=orders_day)
 
 
 # Fact tables stored partitioned by day, so time filters on the day column

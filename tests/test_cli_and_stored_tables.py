@@ -32,6 +32,26 @@ def test_stored_tables_give_same_results(spark, sf001, stored):
         assert _rows(op(t)) == _rows(op(derived))
 
 
+def test_day_partition_pruning_keeps_results(spark, sf001, stored):
+    import contextlib
+    import io
+
+    from campaignlab.operators import activity as X
+
+    derived_td = TestData(spark, sf001)
+    t = load_tables(spark, stored)
+    assert t.orders_day == "DateID"
+    ids = X.audience(derived_td.table("upload_audience"))
+    for start, end in (("2000-01-01 00:00:00", "2000-06-30 23:59:00"), ("1995-06-01 12:00:00", "1995-06-02 08:00:00")):
+        got = X.activity_base(t, ids, start, end)
+        assert _rows(got) == _rows(X.activity_base(derived_td.campaign, ids, start, end))
+        assert _rows(X.inactive_months(t, ids, start)) == _rows(X.inactive_months(derived_td.campaign, ids, start))
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            got.explain("formatted")
+        assert "PartitionFilters: [isnotnull(DateID" in buf.getvalue()
+
+
 def test_validate_reports_missing_columns(spark):
     df = spark.createDataFrame([("1",)], "User_ID string")
     with pytest.raises(SchemaError):
