@@ -11,6 +11,7 @@ list). See FIXTURES.md for the reasoning behind each view.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cached_property
 
@@ -24,6 +25,9 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 # parallelism (filters and column pruning still reach the scan). Stored
 # tables at scale arrive in many splits and are never re-spread.
 SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+# Below this file size one task reads and processes the table faster than a
+# shuffle would spread it.
+SPREAD_MIN_BYTES = 1 << 20
 
 # Fixed view definitions (FIXTURES.md). Order matters: a view may only use
 # base tables and views defined above it.
@@ -176,9 +180,10 @@ class TestData:
         return self._frames[name]
 
     def _scan(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
         key = SPREAD_KEYS.get(name)
-        if key is not None:
+        if key is not None and os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
             n = self.spark.sparkContext.defaultParallelism
             if n > 1 and df.rdd.getNumPartitions() < n:
                 df = df.repartition(n, key)
