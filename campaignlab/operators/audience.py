@@ -9,8 +9,10 @@ Scale notes, shared by all operators:
 * per-user aggregates group on ``User_ID`` with map-side partial
   aggregation, so a user holding a third of all rows still ships at most one
   partial row per map task;
-* filters on the user key are written after the aggregate, but Catalyst is
-  free to push them below it (they only touch the grouping key);
+* the test-account filter applies to the fact rows (Catalyst pushes it into
+  the scan); the must-not-contact anti join applies to the per-user
+  aggregate, which is already hash-partitioned on ``User_ID``, so only the
+  list itself is shuffled to meet it (or broadcast when small);
 * dimension tables are broadcast only after a bounded row count.
 """
 
@@ -179,8 +181,10 @@ def top_n(t: CampaignTables, product: str, n: int = 50, by: str = "Turnover",
     if n < 1:
         raise ValueError("n must be >= 1")
     draws = _draw_list(draws)
+    if product == "Instant" and ticket_price is None:
+        ticket_price = ALL_INSTANT
     games = t.games.filter(F.col("Lottery") == product)
-    if product == "Instant" and ticket_price is not None and ticket_price != ALL_INSTANT:
+    if product == "Instant" and ticket_price != ALL_INSTANT:
         games = games.filter(F.col("Unit_Price") == int(ticket_price))
     games = bounded_broadcast(games.select("GameID"))
     fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
@@ -200,7 +204,7 @@ def top_n(t: CampaignTables, product: str, n: int = 50, by: str = "Turnover",
                .filter(F.col("Rank") <= n)
                .withColumn("Lottery", F.lit(product)))
     if product == "Instant":
-        out = out.withColumn("Unit_Price", F.lit(str(ticket_price if ticket_price is not None else ALL_INSTANT)))
+        out = out.withColumn("Unit_Price", F.lit(str(ticket_price)))
     return out
 
 
