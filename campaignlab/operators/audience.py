@@ -109,17 +109,27 @@ def winners(t: CampaignTables, product: str, draws: Sequence[int] | None = None,
 
 
 # ----------------------------------------------------------------------- E4
+def _per_series(fs: DataFrame, keys: list[str]) -> DataFrame:
+    """First level of the series count: one row per ``keys`` + series with
+    partial totals (map-side combined)."""
+    return fs.groupBy(*keys, "Game_series").agg(
+        F.max("DateID").alias("_last_day"), F.max("Draw_Period").alias("_last_draw"),
+        F.sum("Entries").alias("_entries"), F.sum("Turnover").alias("_turnover"), F.sum("Prize").alias("_prize"))
+
+
 def buyers(t: CampaignTables, product: str, as_of=None) -> DataFrame:
-    """Per buyer of a product, recency and totals (fact joined to games)."""
+    """Per buyer of a product, recency and totals (fact joined to games).
+    ``distinct_series_bought`` comes from a two-level aggregate (per series,
+    then per user) instead of a distinct aggregate."""
     games = bounded_broadcast(t.games.filter(F.col("Lottery") == product).select("GameID", "Lottery"))
     fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
-    agg = fs.groupBy(USER, "Lottery").agg(
-        inactive_days("DateID", as_of).alias("inactive_days"),
-        F.count_distinct("Game_series").alias("distinct_series_bought"),
-        F.max("Draw_Period").alias("Last_active_period"),
-        F.sum("Entries").alias("Tickets"),
-        money_sum("Turnover").alias("Turnover"),
-        money_sum("Prize").alias("Prize"),
+    agg = _per_series(fs, [USER, "Lottery"]).groupBy(USER, "Lottery").agg(
+        inactive_days("_last_day", as_of).alias("inactive_days"),
+        F.count("Game_series").alias("distinct_series_bought"),
+        F.max("_last_draw").alias("Last_active_period"),
+        F.sum("_entries").alias("Tickets"),
+        money_sum("_turnover").alias("Turnover"),
+        money_sum("_prize").alias("Prize"),
     )
     return exclude_abnormal(agg, t.abnormal)
 
@@ -192,7 +202,10 @@ def top_n(t: CampaignTables, product: str, n: int = 50, by: str = "Turnover",
 
     if draws is None:
         if product in SERIES_PRODUCTS or ticket_price == ALL_INSTANT:
-            sums.insert(0, F.count_distinct("Game_series").alias("distinct_series_bought"))
+            # distinct series per user as a two-level aggregate (no Expand)
+            fs = _per_series(fs, [USER]).withColumnRenamed("_entries", "Entries") \
+                .withColumnRenamed("_turnover", "Turnover").withColumnRenamed("_prize", "Prize")
+            sums.insert(0, F.count("Game_series").alias("distinct_series_bought"))
         out = (exclude_abnormal(fs.groupBy(USER).agg(*sums), t.abnormal)
                .orderBy(F.col(by).desc_nulls_last(), F.col(USER).asc())
                .limit(n))
