@@ -71,6 +71,8 @@ def main(argv=None) -> int:
         X.write_report(rep, args.out)
         print(("No activity in the window; " if rep["empty"] else "") + f"report written to {args.out}")
     elif args.cmd == "update-status":
+        if args.out.rstrip("/") == f"{args.tables.rstrip('/')}/dim_user_authentication":
+            raise SystemExit("write the new snapshot to another folder, then swap it in")
         t = load_tables(spark, args.tables)
         out = run_update_user_status(t.users, read_upload(spark, args.rg_limit), read_upload(spark, args.opt_out),
                                      read_upload(spark, args.user_status))

@@ -50,3 +50,22 @@ def write_jdbc(df: DataFrame, url: str, table: str, driver: str | None = None,
     for k, v in (properties or {}).items():
         w = w.option(k, v)
     w.mode(mode).save()
+
+
+def load_tables_jdbc(spark: SparkSession, url: str, schema: str = "dbo", driver: str | None = None,
+                     properties: Mapping[str, str] | None = None,
+                     partitions: Mapping[str, tuple[str, object, object, int]] | None = None):
+    """The campaign table set read from a warehouse over JDBC (the reference's
+    ``dbo.*`` tables and ``vw_abnormal_users`` view). ``partitions`` maps a
+    table name to ``(column, lower, upper, num_partitions)`` for parallel
+    range reads of the large facts; other tables are read in one query."""
+    from campaignlab.sources.tables import TABLE_NAMES, CampaignTables, validate
+
+    partitions = partitions or {}
+    frames = {}
+    for attr, name in TABLE_NAMES.items():
+        col, lo, hi, n = partitions.get(name, (None, None, None, None))
+        df = read_jdbc(spark, url, table=f"{schema}.{name}", driver=driver, properties=properties,
+                       partition_column=col, lower_bound=lo, upper_bound=hi, num_partitions=n)
+        frames[attr] = validate(df, name)
+    return CampaignTables(**frames)

@@ -59,6 +59,11 @@ def test_jdbc_argument_checks(spark):
         jdbc.read_jdbc(spark, "jdbc:none", table="t", partition_column="id")
 
 
+def test_jdbc_table_set_needs_bounds(spark):
+    with pytest.raises(ValueError):
+        jdbc.load_tables_jdbc(spark, "jdbc:none", partitions={"fact_orders": ("DateID", None, None, 4)})
+
+
 def _exact_median(xs):
     m = Decimal(str(statistics.median(sorted(Decimal(str(x)) for x in xs))))
     return m.quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
