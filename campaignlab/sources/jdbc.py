@@ -62,6 +62,11 @@ def load_tables_jdbc(spark: SparkSession, url: str, schema: str = "dbo", driver:
     from campaignlab.sources.tables import TABLE_NAMES, CampaignTables, validate
 
     partitions = partitions or {}
+    for name, spec in partitions.items():  # fail before opening any connection
+        if name not in TABLE_NAMES.values():
+            raise ValueError(f"unknown table {name!r}")
+        if len(spec) != 4 or None in spec:
+            raise ValueError(f"{name}: partitions need (column, lower, upper, num_partitions)")
     frames = {}
     for attr, name in TABLE_NAMES.items():
         col, lo, hi, n = partitions.get(name, (None, None, None, None))
