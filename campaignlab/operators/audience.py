@@ -40,6 +40,12 @@ WALLET_EDGES = (200, 1000, 5000)
 WALLET_LABELS = ("<=200", "<=1000", "<=5000", ">5000")
 
 
+def _strict(df: DataFrame, strict: bool) -> DataFrame:
+    """The reference drops the test account only on the order-side
+    extracts; ``strict=True`` drops it on the others too."""
+    return exclude_test_accounts(df) if strict else df
+
+
 def _draw_list(draws: Sequence[int] | None) -> list[int] | None:
     """``None`` and ``[]`` both mean every draw (D17); anything but ints raises."""
     if not draws:
@@ -67,9 +73,10 @@ def must_exclude(t: CampaignTables) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- E1
-def all_users(t: CampaignTables) -> DataFrame:
-    """Registered users that may be contacted."""
-    users = t.users.filter(F.col("registerTime").isNotNull())
+def all_users(t: CampaignTables, strict: bool = False) -> DataFrame:
+    """Registered users that may be contacted (``strict`` also drops the
+    test account, D10)."""
+    users = _strict(t.users.filter(F.col("registerTime").isNotNull()), strict)
     return exclude_abnormal(users, t.abnormal).select(
         USER, "registerTime", "verification_status", "nationality", "attempt_depo", "FTD", "FTP")
 
@@ -227,9 +234,10 @@ def ticket_prices(t: CampaignTables, product: str = "Instant") -> DataFrame:
 
 
 # ----------------------------------------------------------------------- E6
-def rfm_segment(t: CampaignTables, segment: str) -> DataFrame:
+def rfm_segment(t: CampaignTables, segment: str, strict: bool = False) -> DataFrame:
     """Contactable users of one RFM segment."""
-    return exclude_abnormal(t.rfm.filter(F.col("Segment") == segment).select(USER, "Segment"), t.abnormal)
+    rfm = _strict(t.rfm.filter(F.col("Segment") == segment), strict)
+    return exclude_abnormal(rfm.select(USER, "Segment"), t.abnormal)
 
 
 def rfm_segments(t: CampaignTables) -> DataFrame:
@@ -243,14 +251,14 @@ def _deposit_columns(success_states: Sequence[str] = ("Success",)):
     return [F.count("top_up_id").alias("attempt_transaction"), F.sum(amount).cast(MONEY).alias("success_amount")]
 
 
-def deposit_behavior(t: CampaignTables) -> DataFrame:
+def deposit_behavior(t: CampaignTables, strict: bool = False) -> DataFrame:
     """Per depositor, attempts and the successful amount (null if none)."""
-    agg = t.deposits.groupBy(USER).agg(*_deposit_columns())
+    agg = _strict(t.deposits, strict).groupBy(USER).agg(*_deposit_columns())
     return exclude_abnormal(agg, t.abnormal)
 
 
 # ----------------------------------------------------------------------- E9
-def bank_declined(t: CampaignTables) -> DataFrame:
+def bank_declined(t: CampaignTables, strict: bool = False) -> DataFrame:
     """Depositors with at least one deposit whose gateway memo maps to the
     "Bank declined" group, with their E7 deposit columns.
 
@@ -260,7 +268,7 @@ def bank_declined(t: CampaignTables) -> DataFrame:
     declined = bounded_broadcast(
         t.fail_groups.filter(F.col("fail_group") == BANK_DECLINED)
         .select("gateway_memo", F.lit(True).alias("_declined")).distinct())
-    d = t.deposits.join(declined, "gateway_memo", "left")
+    d = _strict(t.deposits, strict).join(declined, "gateway_memo", "left")
     agg = d.groupBy(USER).agg(F.max(F.coalesce("_declined", F.lit(False))).alias("_any_declined"),
                               *_deposit_columns())
     out = agg.filter("_any_declined").drop("_any_declined")
@@ -272,7 +280,7 @@ _MONEY = MONEY
 
 
 def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_ID,
-                   jackpot_cutoff: int = JACKPOT_CUTOFF) -> DataFrame:
+                   jackpot_cutoff: int = JACKPOT_CUTOFF, strict: bool = False) -> DataFrame:
     """Estimated wallet balance of depositors.
 
     Instead of four aggregates joined three times, the four money flows are
@@ -282,7 +290,7 @@ def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_
     failed (and null-status) rows, refunds keep successful ones; only users with
     a positive successful deposit remain, abnormal users are excluded."""
     money = lambda c: F.col(c).cast(_MONEY)
-    dep = t.deposits.select(
+    dep = _strict(t.deposits, strict).select(
         USER,
         F.when(F.col("top_up_state") == "Success", money("top_up_amount")).alias("dep_success"))
     fs = exclude_test_accounts(t.orders_summary).select(
@@ -292,9 +300,9 @@ def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_
         F.when((F.col("GameID") == draw_game_id) & (F.col("Prize") < jackpot_cutoff),
                money("Prize")).alias("draw_prize"),
         F.when(F.col("GameID") != draw_game_id, money("Prize")).alias("other_prize"))
-    wd = t.withdrawals.filter(~F.col("withdrawal_status").isin("Bank reverted", "Failure")).select(
+    wd = _strict(t.withdrawals, strict).filter(~F.col("withdrawal_status").isin("Bank reverted", "Failure")).select(
         USER, money("withdrawal_amount").alias("withdraw"))
-    rf = t.refunds.filter(F.col("Memo") == "Success").select(USER, money("Refund_amount").alias("refund"))
+    rf = _strict(t.refunds, strict).filter(F.col("Memo") == "Success").select(USER, money("Refund_amount").alias("refund"))
 
     ledger = dep.unionByName(fs, allowMissingColumns=True) \
         .unionByName(wd, allowMissingColumns=True) \

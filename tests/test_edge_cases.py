@@ -163,3 +163,13 @@ def test_metric_rows_display(spark):
     assert dict((r.Metric, r.Value) for r in dep) == {
         "Attempt deposit users": "1", "Total transaction (attempt)": "2", "Success users": "1",
         "Success deposit amount": "3,500", "Min amount": "3,500", "Avg amount": "3500.50", "Max amount": "3,500"}
+
+
+def test_strict_excludes_test_account_everywhere(spark):
+    t = tables(spark, deposits=[deposit("1"), deposit("2")], users=[user("1"), user("2")],
+               rfm=[{"User_ID": "1", "Segment": "Loyal"}, {"User_ID": "2", "Segment": "Loyal"}])
+    assert {r.User_ID for r in A.deposit_behavior(t).collect()} == {"1", "2"}  # parity (D10)
+    assert {r.User_ID for r in A.deposit_behavior(t, strict=True).collect()} == {"2"}
+    assert {r.User_ID for r in A.all_users(t, strict=True).collect()} == {"2"}
+    assert {r.User_ID for r in A.rfm_segment(t, "Loyal", strict=True).collect()} == {"2"}
+    assert {r.User_ID for r in A.wallet_balance(t, "2000-02-01", strict=True).collect()} == {"2"}
