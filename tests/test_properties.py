@@ -87,3 +87,14 @@ def test_keyed_update_keeps_unmatched_rows(td):
     assert untouched_after.exceptAll(untouched_before).count() == 0
     # the must-exclude list follows the updated snapshot
     assert _ids(A.abnormal_users(out)) >= _ids(A.abnormal_users(users))
+
+
+def test_with_users_refreshes_must_exclude(td):
+    t = td.campaign
+    updated = S.update_status(t.users, td.table("upload_rg_limit"), td.table("upload_opt_out"),
+                              td.table("upload_user_status"), rg_id_column="user_id", status_id_column="user_id",
+                              status_column="user_status")
+    t2 = t.with_users(updated)
+    assert _ids(A.must_exclude(t2)) == _ids(A.abnormal_users(updated))
+    assert _ids(A.must_exclude(t2)) > _ids(A.must_exclude(t))
+    assert not (_ids(A.deposit_behavior(t2)) & _ids(A.must_exclude(t2)))
