@@ -77,12 +77,14 @@ def apply_rg_limit(users: DataFrame, upload: DataFrame, id_column: str = RG_UPLO
 
 def apply_opt_out(users: DataFrame, upload: DataFrame) -> DataFrame:
     """Overwrite the three contact flags of uploaded ids. Duplicate ids:
-    the row with the latest ``updated_time`` wins (D24); a tie on time keeps
-    the larger flags (deterministic)."""
+    the row with the latest ``updated_time`` wins (D24); a tie on time (or an
+    upload without that column) keeps the larger flags (deterministic)."""
     up = upload
     for old, new in OPT_OUT_RENAMES.items():
         up = up.withColumnRenamed(old, new)
     up = up.withColumn(USER, F.trim(F.col(USER).cast("string")))
+    if "updated_time" not in up.columns:  # no time: duplicates resolve to the larger flags
+        up = up.withColumn("updated_time", F.lit(None).cast("timestamp"))
     latest = up.filter(F.col(USER).isNotNull()).groupBy(USER).agg(
         F.max(F.struct("updated_time", *OPT_OUT_COLUMNS)).alias("_r"))
     latest = latest.select(USER, *[F.col(f"_r.{c}").alias(c) for c in OPT_OUT_COLUMNS])

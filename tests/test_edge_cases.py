@@ -173,3 +173,10 @@ def test_strict_excludes_test_account_everywhere(spark):
     assert {r.User_ID for r in A.all_users(t, strict=True).collect()} == {"2"}
     assert {r.User_ID for r in A.rfm_segment(t, "Loyal", strict=True).collect()} == {"2"}
     assert {r.User_ID for r in A.wallet_balance(t, "2000-02-01", strict=True).collect()} == {"2"}
+
+
+def test_opt_out_without_time_column(spark):
+    users = frame(spark, "dim_user_authentication", [user("1"), user("2")])
+    opt = spark.createDataFrame([("2", 0, 1, 0)], "user_id string, message_status int, mail_status int, sms_status int")
+    out = {r.User_ID: (r.receive_mail, r.receive_message, r.receive_sms) for r in S.apply_opt_out(users, opt).collect()}
+    assert out == {"1": (1, 1, 1), "2": (1, 0, 0)}
