@@ -29,10 +29,6 @@ OPT_OUT_RENAMES = {"user_id": USER, "message_status": "receive_message", "mail_s
 OPT_OUT_COLUMNS = ("receive_mail", "receive_message", "receive_sms")
 
 
-class ConflictingUpdate(RuntimeError):
-    pass
-
-
 def unique_updates(updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per non-null key. Equal duplicates collapse; a key with
     different values fails the job (JVM-side ``raise_error``, no collect)."""
