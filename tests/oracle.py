@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 
 import duckdb
@@ -20,7 +21,6 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def duck_connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    import os
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
         if os.path.exists(p):
@@ -64,8 +64,8 @@ def compare(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
     if sql is None:
         return True, f"{name}: no oracle, {len(s_rows)} rows"
     con = con or duck_connect(sf_dir)
-    d_cols, d_rows = rows_of(con.sql(sql).arrow().read_all() if hasattr(con.sql(sql).arrow(), "read_all")
-                             else con.sql(sql).arrow())
+    res = con.sql(sql).arrow()
+    d_cols, d_rows = rows_of(res.read_all() if hasattr(res, "read_all") else res)
     if s_cols != d_cols:
         return False, f"{name}: columns differ spark={s_cols} duck={d_cols}"
     if len(s_rows) != len(d_rows):
