@@ -76,6 +76,45 @@ def compare(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
     return True, f"{name}: ok {len(s_rows)} rows"
 
 
+def _norm_pandas(v):
+    import pandas as pd
+
+    try:
+        if pd.isna(v):
+            return None
+    except (TypeError, ValueError):
+        pass
+    if hasattr(v, "item") and not isinstance(v, pd.Timestamp):
+        v = v.item()
+    if isinstance(v, bool):
+        return str(v)
+    if isinstance(v, (decimal.Decimal, float, int)):
+        return round(float(v), 6)
+    if isinstance(v, (pd.Timestamp, dt.datetime, dt.date)):
+        return pd.Timestamp(v).isoformat()
+    return str(v)
+
+
+def compare_pandas(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
+    """The same check through pandas (Spark ``toPandas`` vs DuckDB ``df``),
+    where decimals, nullable integers and dates arrive with different
+    dtypes: values are compared null-aware, numbers as floats."""
+    sys.path.insert(0, "/root/repo")
+    import __spark_entry__ as E
+
+    s = E.queries()[name](spark, sf_dir).toPandas()
+    con = con or duck_connect(sf_dir)
+    d = con.sql(E.oracle_sql()[name]).df()
+    s, d = s[sorted(s.columns)], d[sorted(d.columns)]
+    if list(s.columns) != list(d.columns):
+        return False, f"{name}: columns differ"
+    rows = lambda f: sorted((tuple(_norm_pandas(x) for x in r) for r in f.itertuples(index=False)), key=repr)  # noqa
+    rs, rd = rows(s), rows(d)
+    if rs != rd:
+        return False, f"{name}: values differ, first: {[(a, b) for a, b in zip(rs, rd) if a != b][:2]}"
+    return True, f"{name}: ok {len(rs)} rows"
+
+
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]

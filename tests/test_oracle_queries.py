@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tests.oracle import compare, duck_connect
+from tests.oracle import compare, compare_pandas, duck_connect
 
 NAMES = sorted(E.queries())
 
@@ -43,3 +43,8 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["User_ID", "balance", "Withdrawable_amount", "balance_group", "inactive_days"]
     assert df.count() > 0
+
+
+def test_matches_sql_through_pandas(spark, sf001, duck001):
+    bad = [msg for ok, msg in (compare_pandas(spark, n, sf001, duck001) for n in NAMES) if not ok]
+    assert not bad, bad
