@@ -48,3 +48,24 @@ def test_entry_smoke(spark):
 def test_matches_sql_through_pandas(spark, sf001, duck001):
     bad = [msg for ok, msg in (compare_pandas(spark, n, sf001, duck001) for n in NAMES) if not ok]
     assert not bad, bad
+
+
+_TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR", "DateType()": "DATE",
+               "TimestampNTZType()": "TIMESTAMP", "DoubleType()": "DOUBLE", "BooleanType()": "BOOLEAN"}
+
+
+def _spark_type(t):
+    if hasattr(t, "precision"):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return _TYPE_NAMES.get(repr(t), repr(t))
+
+
+def test_column_types_match_sql(spark, sf001, duck001):
+    bad = {}
+    for n in NAMES:
+        s = {f.name: _spark_type(f.dataType) for f in E.queries()[n](spark, sf001).schema.fields}
+        rel = duck001.sql(E.oracle_sql()[n])
+        d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if s != d:
+            bad[n] = {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+    assert not bad, bad
