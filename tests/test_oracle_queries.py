@@ -69,3 +69,21 @@ def test_column_types_match_sql(spark, sf001, duck001):
         if s != d:
             bad[n] = {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
     assert not bad, bad
+
+
+# Row counts at sf0.001 recorded by the survey's own probes.
+SURVEY_COUNTS_SF0001 = {
+    "all_users": 141, "order_behavior": 142, "winners_all": 563, "winners_by_draw": 13, "winners_by_series": 3,
+    "buyers": 124, "draw_game_by_draw": 5, "draw_game_all": 53, "non_buyers": 37, "product_combinations": 142,
+    "only_buyers": 18, "top_overall_series": 50, "top_overall_price": 50, "top_per_draw": 20, "rfm_segment": 32,
+    "rfm_segments": 5, "deposit_behavior": 143, "wallet_balance": 138, "bank_declined": 125, "must_exclude": 7,
+    "ticket_prices": 5, "audience": 51, "activity_base": 63, "activity_by_user": 30, "activity_by_product": 4,
+    "activity_by_ticket_segment": 7, "activity_deposits": 30, "inactive_months": 50, "reactivation": 12,
+    "reactivation_early": 5, "rg_limit_update": 150, "opt_out_update": 150, "user_status_update": 150,
+    "status_update_all": 150,
+}
+
+
+def test_row_counts_match_survey(spark, sf001):
+    got = {n: E.queries()[n](spark, sf001).count() for n in SURVEY_COUNTS_SF0001}
+    assert got == SURVEY_COUNTS_SF0001
