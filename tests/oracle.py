@@ -95,14 +95,14 @@ def _norm_pandas(v):
     return str(v)
 
 
-def compare_pandas(spark, name: str, sf_dir: str, con=None) -> tuple[bool, str]:
+def compare_pandas(spark, name: str, sf_dir: str, con=None, spark_pdf=None) -> tuple[bool, str]:
     """The same check through pandas (Spark ``toPandas`` vs DuckDB ``df``),
     where decimals, nullable integers and dates arrive with different
     dtypes: values are compared null-aware, numbers as floats."""
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as E
 
-    s = E.queries()[name](spark, sf_dir).toPandas()
+    s = spark_pdf if spark_pdf is not None else E.queries()[name](spark, sf_dir).toPandas()
     con = con or duck_connect(sf_dir)
     d = con.sql(E.oracle_sql()[name]).df()
     s, d = s[sorted(s.columns)], d[sorted(d.columns)]

@@ -45,9 +45,16 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_matches_sql_through_pandas(spark, sf001, duck001):
-    bad = [msg for ok, msg in (compare_pandas(spark, n, sf001, duck001) for n in NAMES) if not ok]
+def test_matches_sql_through_pandas_and_survey_counts(spark, sf001, duck001):
+    bad, counts = [], {}
+    for n in NAMES:
+        pdf = E.queries()[n](spark, sf001).toPandas()
+        counts[n] = len(pdf)
+        ok, msg = compare_pandas(spark, n, sf001, duck001, spark_pdf=pdf)
+        if not ok:
+            bad.append(msg)
     assert not bad, bad
+    assert {n: counts[n] for n in SURVEY_COUNTS_SF0001} == SURVEY_COUNTS_SF0001
 
 
 _TYPE_NAMES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR", "DateType()": "DATE",
@@ -82,8 +89,3 @@ SURVEY_COUNTS_SF0001 = {
     "reactivation_early": 5, "rg_limit_update": 150, "opt_out_update": 150, "user_status_update": 150,
     "status_update_all": 150,
 }
-
-
-def test_row_counts_match_survey(spark, sf001):
-    got = {n: E.queries()[n](spark, sf001).count() for n in SURVEY_COUNTS_SF0001}
-    assert got == SURVEY_COUNTS_SF0001
