@@ -116,6 +116,12 @@ def compare_pandas(spark, name: str, sf_dir: str, con=None, spark_pdf=None) -> t
 
 
 def main(argv):
+    """``python -m tests.oracle [--pandas] [sf_dir] [query ...]``"""
+    argv = list(argv)
+    check = compare
+    if "--pandas" in argv:
+        argv.remove("--pandas")
+        check = compare_pandas
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     sys.path.insert(0, "/root/repo")
@@ -128,7 +134,7 @@ def main(argv):
     bad = 0
     for n in names:
         try:
-            ok, msg = compare(spark, n, sf_dir, con)
+            ok, msg = check(spark, n, sf_dir, con)
         except Exception as e:  # report and continue
             ok, msg = False, f"{n}: ERROR {type(e).__name__}: {str(e)[:400]}"
         bad += not ok
