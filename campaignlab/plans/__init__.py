@@ -5,11 +5,6 @@ from campaignlab.plans.registry import REGISTRY, QuerySpec  # noqa: F401
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from campaignlab.plans import audience_queries  # noqa: F401
-    for mod in ("activity_queries", "status_queries"):
-        try:
-            __import__(f"campaignlab.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from campaignlab.plans import activity_queries, audience_queries, status_queries  # noqa: F401
+
     return REGISTRY
