@@ -62,6 +62,8 @@ def test_jdbc_argument_checks(spark):
 def test_jdbc_table_set_needs_bounds(spark):
     with pytest.raises(ValueError):
         jdbc.load_tables_jdbc(spark, "jdbc:none", partitions={"fact_orders": ("DateID", None, None, 4)})
+    with pytest.raises(ValueError, match="unknown table"):
+        jdbc.load_tables_jdbc(spark, "jdbc:none", partitions={"orders": ("DateID", "2020-01-01", "2021-01-01", 4)})
 
 
 def _exact_median(xs):
