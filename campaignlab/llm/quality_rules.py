@@ -22,9 +22,9 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 PUNCT = b"!?.,;:"
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits",
-          "n_punct", "n_distinct")
-FEATURES = ("chars_per_word", "symbols", "dup_lines", "repeats", "upper", "digits", "punct", "distinct")
+          "n_punct", "n_distinct", "n_bare")
 BINS = 2000
 
 
@@ -72,17 +72,19 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
         rows.append((len(words), len(solid.decode("utf-8", "replace")), len(solid) - len(solid.translate(None, SYMBOLS)),
                      dup, 0, lines, len(solid) - len(solid.translate(None, UPPER)),
                      len(solid) - len(solid.translate(None, DIGITS)), len(solid) - len(solid.translate(None, PUNCT)),
-                     len(set(words))))
+                     len(set(words)), sum([len(w) < 4 and not w.strip(SIGNS) for w in words])))
     table = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
     table[:, COUNTS.index("n_repeat_words")] = repeated_words(ids)
     return {c: table[:, i] for i, c in enumerate(COUNTS)}
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
+    """Word length; symbols by character and by word; words without a letter or
+    digit; capitals; punctuation by word; words in repeated windows; distinct words."""
     words = np.maximum(c["n_words"], 1)
     chars = np.maximum(c["word_chars"], 1)
-    return np.stack([c["word_chars"] / words, c["n_symbols"] / chars, c["n_dup_lines"] / np.maximum(c["n_lines"], 1),
-                     c["n_repeat_words"] / words, c["n_upper"] / chars, c["n_digits"] / chars, c["n_punct"] / words,
+    return np.stack([c["word_chars"] / words, c["n_symbols"] / chars, c["n_symbols"] / words, c["n_bare"] / words,
+                     c["n_upper"] / chars, c["n_punct"] / words, c["n_repeat_words"] / words,
                      c["n_distinct"] / words ** 0.8], 1)
 
 

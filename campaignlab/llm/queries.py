@@ -23,7 +23,7 @@ from campaignlab.llm.wu_manber import find_benchmark
 
 # Production parameter: shares of the output's characters by source.
 MIX = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05, "*": 0.60}
-DOC = F.col(f"{ROW}.doc_id").cast("long").alias("doc_id")
+DOC = f"cast({ROW}.doc_id as long) as doc_id"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = token_counts(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
-    return out.select(DOC, "n_bytes", "n_tokens", "over_limit")
+    return out.selectExpr(DOC, "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(documents(spark, sf_dir), MIX)
-    return out.select(DOC, F.col(f"{ROW}.source").alias("source"), F.col("copy").cast("int").alias("copy"),
-                      F.octet_length(f"{ROW}.text").cast("long").alias("n_bytes"))
+    return out.selectExpr(DOC, f"{ROW}.source as source", "cast(copy as int) as copy",
+                          f"cast(octet_length({ROW}.text) as long) as n_bytes")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir))
-    return out.select(DOC, "n_lines", F.size("deleted").alias("n_deleted"), F.col(f"{ROW}.text").alias("text"))
+    return out.selectExpr(DOC, "n_lines", "size(deleted) as n_deleted", f"{ROW}.text as text")
 
 
 def quality_model(spark: SparkSession, sf_dir: str):
@@ -71,8 +71,8 @@ def quality_model(spark: SparkSession, sf_dir: str):
 
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(documents(spark, sf_dir), quality_model(spark, sf_dir))
-    return out.select(DOC, (remainder(F.col(f"{ROW}.doc_id"), 3) == 1).alias("held_out"), "score",
-                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = out.withColumn("held_out", remainder(F.col(f"{ROW}.doc_id"), 3) == 1)
+    return out.selectExpr(DOC, "held_out", "score", "cast(score >= 0.5 as int) as predicted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,12 @@ def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_benchmark(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
-    return out.select(DOC, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.selectExpr(DOC, "n_words", "n_hit", "cast(size(items) as long) as n_items",
+                          "sha2(concat_ws(',', items), 256) as items_sha256", "n_hit > 0 as contaminated")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir)).select(DOC, "found.*")
+    return scan_licenses(documents(spark, sf_dir)).selectExpr(DOC, "found.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

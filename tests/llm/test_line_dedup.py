@@ -1,0 +1,84 @@
+import difflib
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from campaignlab.llm.line_dedup import common_lines, dedup_lines, line_sequence, patience_blocks, runs
+from campaignlab.llm.queries import op5_line_dedup
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 8), max_size=25), st.lists(st.integers(0, 8), max_size=25))
+def test_alignment_is_a_common_subsequence(a, b):
+    pairs = sorted((i + k, j + k) for i, j, n in patience_blocks(a, b) for k in range(n))
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_long_common_blocks_are_found():
+    rng = random.Random(1)
+    for _ in range(50):
+        shared = [rng.random() for _ in range(5)]
+        a = [rng.random() for _ in range(rng.randrange(9))] + shared + [rng.random() for _ in range(rng.randrange(9))]
+        b = [rng.random() for _ in range(rng.randrange(9))] + shared + [rng.random() for _ in range(rng.randrange(9))]
+        got = common_lines(a, [10] * len(a), b, 50)
+        assert [a[i] for i in got] == shared
+        assert difflib.SequenceMatcher(None, a, b).find_longest_match().size == 5
+
+
+def test_runs_are_minimal():
+    assert len(runs([1, 2, 3, 4], [10, 10, 10, 10], 25)) == 2
+    assert runs([1, 2, 3], [30, 5, 5], 25) == runs([1, 9], [30, 1], 25)
+    assert runs([1], [5], 25) == []
+
+
+def brute(rows, min_words):
+    """Aligns every document with every earlier one."""
+    keyed = sorted({(d if d is not None else 2**63, t or "") for d, t in rows})
+    seqs = [line_sequence(t.encode()) for _, t in keyed]
+    out = {}
+    for n, (pos, hashes, words) in enumerate(seqs):
+        gone = set()
+        for m in range(n):
+            gone |= {pos[k] for k in common_lines(hashes, words, seqs[m][1], min_words)}
+        out[keyed[n]] = gone
+    return out
+
+
+def line(i):
+    return " ".join(f"w{i}x{k}" for k in range(12))
+
+
+ROWS = [(1, "\n".join(map(line, range(6)))), (2, "\n".join(map(line, range(6)))), (3, line(100) + "\n\n" + "\n".join(map(line, (2, 3, 4)))),
+        (4, "\n".join(map(line, (50, 3, 51, 4)))), (5, line(7) + " " + line(8) + " " + line(9)),
+        (6, "a b c\n" + line(7) + " " + line(8) + " " + line(9) + "  \n" + line(3)), (None, "\n".join(map(line, (2, 3, 4)))),
+        (7, None), (8, ""), (9, "x\n" * 200), (9, "x\n" * 200), (10, "\n".join(map(line, (60, 61, 62)))), (10, "\n".join(map(line, (60, 61, 62)))),
+        (10, line(63) + "\n" + "\n".join(map(line, (60, 61, 62))))]
+
+
+def test_against_every_earlier_document(make):
+    want = brute(ROWS, 25)
+    got = dedup_lines(make(ROWS)).collect()
+    assert len(got) == len(ROWS)
+    before = {}
+    for d, t in ROWS:
+        before.setdefault(d, []).append(t)
+    for r in got:
+        d, after = r["__row"]["doc_id"], r["__row"]["text"]
+        fits = []
+        for t in before[d]:
+            gone = want[(d if d is not None else 2**63, t or "")]
+            left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+            fits.append(left == after and sorted(gone) == list(r["deleted"]))
+        assert any(fits), (d, after, r["deleted"])
+    assert dedup_lines(make([])).count() == 0
+    assert set(got[0]["__row"].asDict()) >= {"key", "n", "grp", "a.b", "__row"}
+
+
+def test_test_data(spark, sf001, texts):
+    want = brute(texts, 25)
+    got = {r["doc_id"]: r["n_deleted"] for r in op5_line_dedup(spark, sf001).collect()}
+    for d, t in texts:
+        assert got[d] == len(want[(d, t)]), d
+    assert sum(got.values()) > 0
