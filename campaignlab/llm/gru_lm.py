@@ -14,6 +14,8 @@ Scoring carries the state through the whole document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from campaignlab.llm.common import cuts, doc_key, materialize, remainder, slices, text_bytes
 
 STEPS = 32
+BOUND = 3.0  # of output weights; states are within 1, so exponents stay below 3 * hidden + 20
 RARE, END = 0, 1  # symbols before the words of the vocabulary
 
 
@@ -29,11 +32,58 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+class Window(NamedTuple):
+    """``STEPS`` steps of some lanes: input and target symbols, where texts
+    start, the document of each step (-1: none), and the lanes' former places."""
+
+    x: np.ndarray
+    y: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    lanes: list[int]
+
+
+def feed(docs: Iterator[tuple[int, np.ndarray]], lanes: int, start: int) -> Iterator[Window]:
+    """Deals a stream of documents to lanes: each lane reads on where it stopped
+    and takes the next document when one ends, so windows stay full however
+    uneven the lengths. Lanes without text are dropped."""
+    open_: list = [None] * lanes
+    while True:
+        n = len(open_)
+        x, y = np.zeros((n, STEPS), np.int64), np.zeros((n, STEPS), np.int64)
+        first, owner = np.zeros((n, STEPS), bool), np.full((n, STEPS), -1, np.int64)
+        for i in range(n):
+            t, lane = 0, open_[i]
+            while t < STEPS:
+                if lane is None:
+                    got = next(docs, None)
+                    if got is None:
+                        break
+                    lane = (*got, 0)
+                k, doc, at = lane
+                m = min(STEPS - t, len(doc) - at)
+                y[i, t:t + m] = doc[at:at + m]
+                owner[i, t:t + m] = k
+                if at:
+                    x[i, t:t + m] = doc[at - 1:at + m - 1]
+                else:
+                    x[i, t], first[i, t] = start, True
+                    x[i, t + 1:t + m] = doc[:m - 1]
+                lane = (k, doc, at + m) if at + m < len(doc) else None
+                t += m
+            open_[i] = lane
+        use = np.flatnonzero(owner[:, 0] >= 0).tolist()
+        if not use:
+            return
+        open_ = [open_[i] for i in use]
+        yield Window(x[use], y[use], first[use], owner[use], use)
+
+
 class GruModel:
     """``counts``: training counts of the symbols (rare, end, words by falling
     frequency). ``order`` maps a symbol to its place, classes being stretches of places."""
 
-    def __init__(self, counts: np.ndarray, classes: int = 32, hidden: int = 16, seed: int = 11):
+    def __init__(self, counts: np.ndarray, classes: int = 24, hidden: int = 12, seed: int = 11):
         rng = np.random.default_rng(seed)
         counts = np.asarray(counts, float) + 1
         by = np.argsort(-counts, kind="stable")
@@ -52,13 +102,18 @@ class GruModel:
                   "O": w(k, h) * 0.02, "o": np.log(counts[by] / total[cls]).astype(np.float32)}
         self.hidden, self.start = h, k  # row k of E is read before the first token
 
-    def recur(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the steps; x: input symbols (rows, steps)."""
-        p, n = self.p, self.hidden
-        xw = (p["E"] @ p["W"] + p["b"])[x.T]
-        out = np.empty((x.shape[1], len(h), n), np.float32)
-        for t in range(x.shape[1]):
-            a = h @ p["U"]
+    def table(self) -> np.ndarray:
+        """What each input symbol adds to the gates."""
+        return self.p["E"] @ self.p["W"] + self.p["b"]
+
+    def recur(self, table: np.ndarray, w: Window, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States after each step of a window; a state is cleared where a text starts."""
+        u, n = self.p["U"], self.hidden
+        xw, clear = table[w.x.T], ~w.first.T[..., None]
+        out = np.empty((STEPS, len(h), n), np.float32)
+        for t in range(STEPS):
+            h = h * clear[t]
+            a = h @ u
             g = sigmoid(xw[t][:, :2 * n] + a[:, :2 * n])
             c = np.tanh(xw[t][:, 2 * n:] + g[:, :n] * a[:, 2 * n:])
             new = c + g[:, n:] * (h - c)
@@ -72,9 +127,8 @@ class GruModel:
         the gradients of minus their sum, and ``grad['h']``."""
         p, cls = self.p, self.cls[y]
         z = h @ p["C"] + p["c"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(1)
+        e = np.exp(z)  # states and weights are bounded, so this cannot overflow
+        s = e @ np.ones(e.shape[1], e.dtype)
         rows = np.arange(len(y))
         logp = z[rows, cls] - np.log(s)
         if grad is not None:
@@ -92,9 +146,8 @@ class GruModel:
                 continue
             hk = h[i]
             z = hk @ p["O"][lo:hi].T + p["o"][lo:hi]
-            z -= z.max(1, keepdims=True)
             e = np.exp(z)
-            s = e.sum(1)
+            s = e @ np.ones(hi - lo, e.dtype)
             at = (np.arange(len(i)), y[i] - lo)
             logp[i] += z[at] - np.log(s)
             if grad is not None:
@@ -104,58 +157,45 @@ class GruModel:
                 grad["h"][i] += d @ p["O"][lo:hi]
         return logp
 
-    def windows(self, docs: list[np.ndarray]) -> Iterator[tuple]:
-        """(rows, input, target, mask) of each window, longest documents first,
-        so that the rows still running are always the first ones."""
-        size = np.array([len(d) for d in docs])
-        for t in range(0, int(size.max(initial=0)), STEPS):
-            n = int((size > t).sum())
-            steps = int(min(STEPS, size[0] - t))
-            x = np.zeros((n, steps + 1), np.int64)
-            mask = np.arange(t, t + steps) < size[:n, None]
-            for k in range(n):
-                part = docs[k][max(t - 1, 0):t + steps]
-                x[k, int(t == 0):int(t == 0) + len(part)] = part
-            if t == 0:
-                x[:, 0] = self.start
-            yield n, x[:, :-1], x[:, 1:], mask
-
-    def score(self, docs: list[np.ndarray]) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], lanes: int = 512) -> np.ndarray:
         """Natural log probability of each document (arrays of places)."""
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        docs = [docs[i] for i in order]
-        total, h = np.zeros(len(docs)), np.zeros((len(docs), self.hidden), np.float32)
-        for n, x, y, mask in self.windows(docs):
-            states = self.recur(x, h[:n])
+        total = np.zeros(len(docs))
+        size = [len(d) for d in docs]
+        lanes = int(np.clip(sum(size) // max(max(size, default=1), 1), 1, lanes))
+        order = sorted(range(len(docs)), key=lambda i: -size[i])  # longest first: lanes end together
+        table, h = self.table(), np.zeros((lanes, self.hidden), np.float32)
+        for w in feed(((i, docs[i]) for i in order), lanes, self.start):
+            states = self.recur(table, w, h[w.lanes])
             h = states[-1]
-            t, k = np.nonzero(mask.T)
-            total += np.bincount(k, self.outputs(states[t, k], y[k, t]), len(docs))
-        out = np.empty(len(docs))
-        out[order] = total
-        return out
+            t, k = np.nonzero(w.owner.T >= 0)
+            total += np.bincount(w.owner[k, t], self.outputs(states[t, k], w.y[k, t]), len(docs))
+        return total
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    def gradients(self, w: Window, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """Of minus the window's log probability; the last states; the loss."""
         p, n, keep = self.p, self.hidden, []
-        states = self.recur(x, h0, keep)
-        t, k = np.nonzero(mask.T)
+        states = self.recur(self.table(), w, h0, keep)
+        t, k = np.nonzero(w.owner.T >= 0)
         g: dict = {}
-        loss = -float(self.outputs(states[t, k], y[k, t], g).sum())
+        loss = -float(self.outputs(states[t, k], w.y[k, t], g).sum())
         out = np.zeros_like(states)
         out[t, k] = g.pop("h")
-        dxw = np.empty((x.shape[1], len(x), 3 * n), np.float32)
+        dxw = np.empty((STEPS, len(w.x), 3 * n), np.float32)
+        clear = ~w.first.T[..., None]
         g["U"], dh = np.zeros_like(p["U"]), np.zeros_like(h0)
-        for s in range(x.shape[1] - 1, -1, -1):
+        for s in range(STEPS - 1, -1, -1):
             h, ac, gate, c = keep[s]
             r, u = gate[:, :n], gate[:, n:]
             dh = dh + out[s]
             dc = dh * (1 - u) * (1 - c * c)
-            du = dh * (h - c) * u * (1 - u)
-            dr = dc * ac * r * (1 - r)
-            da = np.concatenate([dr, du, dc * r], 1)
-            dxw[s] = np.concatenate([dr, du, dc], 1)
+            dxw[s, :, :n] = dc * ac * r * (1 - r)
+            dxw[s, :, n:2 * n] = dh * (h - c) * u * (1 - u)
+            dxw[s, :, 2 * n:] = dc
+            da = dxw[s].copy()
+            da[:, 2 * n:] *= r
             g["U"] += h.T @ da
-            dh = dh * u + da @ p["U"].T
-        flat, symbols = dxw.reshape(-1, 3 * n), x.T.ravel()
+            dh = (dh * u + da @ p["U"].T) * clear[s]
+        flat, symbols = dxw.reshape(-1, 3 * n), w.x.T.ravel()
         by = np.argsort(symbols, kind="stable")
         first = np.flatnonzero(np.diff(symbols[by], prepend=-1))
         per = np.zeros((len(p["E"]), 3 * n), np.float32)
@@ -163,22 +203,24 @@ class GruModel:
         g["b"], g["W"], g["E"] = flat.sum(0), p["E"].T @ per, per @ p["W"].T
         return g, states[-1], loss
 
-    def train(self, docs: list[np.ndarray], memory: dict, rate: float) -> int:
-        """One pass over ``docs`` in lockstep; ``memory`` holds Adam's moments."""
-        docs = sorted(docs, key=len, reverse=True)
-        h, tokens = np.zeros((len(docs), self.hidden), np.float32), 0
-        for n, x, y, mask in self.windows(docs):
-            g, h, _ = self.gradients(x, y, mask, h[:n])
-            many = int(mask.sum())
-            tokens += many
-            memory["t"] = t = memory.get("t", 0) + 1
+    def train(self, docs: Iterator[np.ndarray], rate: float, lanes: int = 256) -> int:
+        """One pass over a stream of documents, Adam steps window by window;
+        returns the number of tokens."""
+        h, tokens, t = np.zeros((lanes, self.hidden), np.float32), 0, 0
+        memory = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for w in feed(enumerate(docs), lanes, self.start):
+            g, h, _ = self.gradients(w, h[w.lanes])
+            many = int((w.owner >= 0).sum())
+            tokens, t = tokens + many, t + 1
+            step = rate * min(1.0, t / 20) * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
             for k, d in g.items():
-                m, s = memory.setdefault(k, [np.zeros_like(d), np.zeros_like(d)])
+                m, s = memory[k]
                 d = np.clip(d / many, -1, 1)
                 m += 0.1 * (d - m)
                 s += 0.01 * (d * d - s)
-                step = rate * min(1.0, t / 20)
-                self.p[k] -= (step * m / (1 - 0.9 ** t) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-5)).astype(np.float32)
+                self.p[k] = self.p[k] - (step * m / (np.sqrt(s) + 1e-5)).astype(self.p[k].dtype)
+            for k in ("C", "O"):
+                np.clip(self.p[k], -BOUND, BOUND, out=self.p[k])
         return tokens
 
     def pack(self) -> bytes:
@@ -224,17 +266,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with the highest counts, in falling order. A
+    histogram of counts (exact up to 256, then eight bins an octave) gives the
+    bound, so that no more than these words ever leave the executors."""
+    c = F.col("c")
+    level = F.when(c <= 256, c).otherwise(256 + F.floor(8 * (F.log2(c) - 8)) + 1).cast("int")
+    named = counts.filter("word <> ''").withColumn("level", level)
+    held, least = 0, None
+    for r in sorted(named.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    rows = named.filter(F.col("level") >= least).select("word", "c").collect()
+    return sorted(((r["word"].encode(), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def symbol_docs(texts: list[bytes], symbols: dict[bytes, int], place: np.ndarray) -> list[np.ndarray]:
     get = symbols.get
     return [place[np.array([*(get(w, RARE) for w in words_of(t)), END], np.int64)] for t in texts]
 
 
 def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], shards: int, rounds: int,
-                rate: float, rows: int = 96) -> GruModel:
-    """Every document belongs to one round and shard by its key's hash. The
+                rate: float, share: float) -> GruModel:
+    """Documents of a hashed ``share`` train, each in one round and shard by its key. The
     driver averages ``shards`` weight vectors of fixed size a round."""
     keyed = docs.select(doc_key("doc_id", "text").alias("k"), "text")
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards * rounds)).cast("int"))
+    keyed = (keyed.filter(F.pmod(F.xxhash64(F.lit("share"), "k"), F.lit(1000)) < 1000 * share)
+             .withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards * rounds)).cast("int")))
 
     def name(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -254,30 +316,17 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], sha
 
         import pyarrow as pa
 
-        now, own, memory, waiting, tokens = None, None, {}, [], 0
-
-        def result():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([tokens], pa.int64()),
-                                               pa.array([own.pack()], pa.binary())], names=["shard", "tokens", "weights"])
-
-        for b in batches:
-            for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
-                if shard != now:
-                    if own is not None:
-                        tokens += own.train(waiting, memory, rate)
-                        yield result()
-                    now, own, memory, waiting, tokens = shard, copy.deepcopy(model), {}, [], 0
-                waiting.append(np.frombuffer(ids, "<u2").astype(np.int64))
-                if len(waiting) >= rows:
-                    tokens += own.train(waiting, memory, rate)
-                    waiting = []
-        if own is not None:
-            tokens += own.train(waiting, memory, rate)
-            yield result()
+        rows = ((shard, ids) for b in batches for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()))
+        for shard, mine in groupby(rows, key=lambda r: r[0]):
+            own = copy.deepcopy(model)
+            tokens = own.train((np.frombuffer(ids, "<u2").astype(np.int64) for _, ids in mine), rate)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()),
+                                              pa.array([own.pack()], pa.binary())], names=["shard", "tokens", "weights"])
 
     for r in range(rounds):
         mine = named.filter((F.col("shard") >= r * shards) & (F.col("shard") < (r + 1) * shards))
-        got = (mine.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids")
+        got = (mine.repartition(shards, "shard")
+               .sortWithinPartitions("shard", F.length("ids") < 8192, "h", "ids")  # no lane is left with a long text
                .mapInArrow(fit, "shard int, tokens long, weights binary").collect())
         got.sort(key=lambda x: x["shard"])
         tokens = sum(x["tokens"] for x in got)
@@ -287,13 +336,14 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], sha
     return model
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 65_536, shards: int = 12, rounds: int = 2,
-              rate: float = 0.01, modulus: int = 7, held: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, shards: int = 12, rounds: int = 2,
+              rate: float = 0.01, share: float = 0.5, modulus: int = 7, held: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
 
     Learns from rows whose crc32(doc_id as text) mod ``modulus`` is not
-    ``held``. Null and empty texts are the end token alone; a null id counts as
+    ``held``: counts cover all of them, the network trains on a hashed ``share``
+    of them, whole texts, which grows as they do. Null and empty texts are the end token alone; a null id counts as
     empty text in the fold; repeated rows count each and score alike; an empty
     training fold gives base probabilities of one. The driver sees the
     ``frequent`` most frequent words and weights of fixed size; counts of all
@@ -305,17 +355,16 @@ def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 65_536, s
     counts = materialize(word_counts(train))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    top = [(r["word"].encode(), r["c"]) for r in
-           counts.orderBy(F.desc("c"), "word").limit(frequent + 1).collect()]
-    ends = dict(top).get(b"", 0) or counts.filter("word = ''").agg(F.sum("c")).first()[0] or 0
-    top = [x for x in top if x[0]]
+    top = frequent_words(counts, frequent)
+    ends = int(counts.filter("word = ''").agg(F.sum("c")).first()[0] or 0)
     known = dict(top[:vocabulary])
     symbols = {w: k + 2 for k, w in enumerate(known)}
     rare_n = n - ends - sum(known.values())
     rare_v = max(v - len(known) - (1 if ends else 0), 0)
     model = GruModel(np.array([rare_n, ends, *known.values()], float))
-    model = train_model(train, model, symbols, shards, rounds, rate)
-    often = dict(top)
+    model = train_model(train, model, symbols, shards, rounds, rate, share)
+    place_of = {w: k for k, (w, _) in enumerate(top)}
+    logs = np.log10(np.array([*(c for _, c in top), 0], float) + 1)  # last: words that are not frequent
     end_log = float(np.log10(ends + 1.0))
 
     def scan(batches: Iterator) -> Iterator:
@@ -323,36 +372,48 @@ def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 65_536, s
 
         import pyarrow as pa
 
-        logs = {w: float(np.log10(c + 1.0)) for w, c in often.items()}
         names = ["d", "x", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "inner", "n_rare", "gru"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.int64(), pa.float64())
+        get, last = place_of.get, len(place_of)
+
+        def frame(cols: list, n: int):
+            arrays = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for b in batches:
-            for part in slices(b, "text", 6_000_000):
-                d, x, ids, held_out = (part.column(c).to_pylist() for c in ("d", "x", "doc_id", "held_out"))
-                texts = text_bytes(part.column("text"))
-                gru = np.concatenate([model.score(symbol_docs(texts[i:j], symbols, model.place))
-                                      for i, j in cuts([len(t) for t in texts], 4_000_000)]) / np.log(10)
-                out = []
-                for k, t in enumerate(texts):
-                    tokens = n_known = n_rare = 0
-                    base, inner = end_log, 0.0
-                    for w, m in Counter(words_of(t)).items():
-                        tokens += m
-                        log = logs.get(w)
-                        if log is None:
-                            out.append((d[k], x[k], None, None, w.decode(), m, 0, 0, 0.0, 0.0, m, 0.0))
-                            continue
-                        n_known += m
-                        base += m * log
-                        if w not in symbols:
-                            inner += m * log
-                            n_rare += m
-                    out.append((d[k], x[k], ids[k], held_out[k], f" {d[k]}:{x[k]}", 0, tokens + 1,
-                                n_known + (1 if ends else 0), base, inner, n_rare, float(gru[k])))
-                for i in range(0, len(out), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, q) for c, q in zip(zip(*out[i:i + 50_000]), kinds)],
-                                                     names=names)
+            for part in slices(b, "text", 8_000_000):
+                d, x = (part.column(c).to_numpy() for c in ("d", "x"))
+                size, places, seldom, many, per = [], [], [], [], []
+                for t in text_bytes(part.column("text")):
+                    words = words_of(t)
+                    at = [get(w, last) for w in words]
+                    size.append(len(words) + 1)
+                    places += at
+                    places.append(-1)  # the end
+                    odd = Counter([w for w, k in zip(words, at) if k == last])
+                    seldom += odd
+                    many += odd.values()
+                    per.append(len(odd))
+                size, at = np.array(size, np.int64), np.array(places, np.int64)
+                first = np.cumsum(size) - size
+                places = model.place[np.where(at < 0, END, np.where(at < len(known), at + 2, RARE))]
+                gru = model.score(np.split(places, first[1:])) / np.log(10)
+                log = np.where(at < 0, end_log, logs[at])
+                outer = at >= len(known)
+                whole = lambda v: np.add.reduceat(v, first)
+                tokens_known = whole(((at >= 0) & (at < last)).astype(np.int64)) + (1 if ends else 0)
+                seen_rare = whole((outer & (at < last)).astype(np.int64))
+                mark = [f" {i}:{j}" for i, j in zip(d.tolist(), x.tolist())]
+                yield frame([d, x, part.column("doc_id"), part.column("held_out"), mark, np.zeros(len(d), np.int64), size,
+                             tokens_known, whole(log), whole(np.where(outer, log, 0.0)), seen_rare, gru], len(d))
+                d, x = np.repeat(d, per), np.repeat(x, per)
+                for i in range(0, len(d), 100_000):
+                    cut = slice(i, i + 100_000)
+                    n = len(d[cut])
+                    words = pa.array(seldom[cut], pa.binary()).cast(pa.string())
+                    yield frame([d[cut], x[cut], None, None, words, many[cut], np.zeros(n, np.int64), np.zeros(n, np.int64),
+                                 np.zeros(n), np.zeros(n), many[cut], np.zeros(n)], n)
 
     keyed = rows.select(doc_key("doc_id", "text").alias("k"), "*").select("k.*", "doc_id", "held_out", "text")
     seen = keyed.mapInArrow(scan, "d long, x long, doc_id long, held_out boolean, word string, n long, n_tokens long, "

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from campaignlab.llm.gru_lm import GruModel, lm_scores
+from campaignlab.llm.gru_lm import GruModel, feed, lm_scores
 from campaignlab.llm.queries import op8_gru_lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,8 +27,9 @@ def base(rows):
              sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))) for d, t in rows]
 
 
-def test_base_and_model_on_held_out(spark, sf001, texts):
-    got = {r["doc_id"]: r for r in op8_gru_lm(spark, sf001).collect()}
+def test_base_and_model_on_held_out(spark, sf01):
+    got = {r["doc_id"]: r for r in op8_gru_lm(spark, sf01).collect()}
+    texts = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()
     for d, h, n, k, total, score in base(texts):
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, k, total)
@@ -40,7 +41,7 @@ def test_base_and_model_on_held_out(spark, sf001, texts):
 def test_model_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(1)
     m = GruModel(rng.integers(1, 1000, 60), classes=7, hidden=8)
-    m.train([rng.integers(0, 60, n) for n in (5, 70, 130)], {}, 0.05)
+    m.train(iter([rng.integers(0, 60, n) for n in (5, 70, 130)]), 0.05, lanes=2)
     head = rng.integers(0, 60, 45)  # longer than a window
     every = m.score([np.append(head, k) for k in range(60)]) - m.score([head])[0]
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
@@ -52,17 +53,17 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(4)
     m = GruModel(rng.integers(1, 50, 12), classes=3, hidden=4)
     m.p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in m.p.items()}
-    x, y, mask = rng.integers(0, 12, (3, 6)), rng.integers(0, 12, (3, 6)), np.ones((3, 6), bool)
-    mask[2, 4:] = False
-    h0 = rng.standard_normal((3, 4)).astype(np.float32)
+    docs = [rng.integers(0, 12, n) for n in (20, 9, 40, 3)]
+    w = next(feed(enumerate(docs), 2, m.start))
+    h0 = rng.standard_normal((2, 4)).astype(np.float32)
     m.recur = lambda *a, f=m.recur: f(*a).astype(np.float64)
-    grads, _, _ = m.gradients(x, y, mask, h0)
+    grads, _, _ = m.gradients(w, h0)
     for k, v in m.p.items():
         at = np.unravel_index(np.argmax(np.abs(grads[k])), v.shape)
         old, both = v[at], []
         for d in (1e-2, -1e-2):
             v[at] = old + d
-            both.append(m.gradients(x, y, mask, h0)[2])
+            both.append(m.gradients(w, h0)[2])
         v[at] = old
         assert (both[0] - both[1]) / 2e-2 == pytest.approx(grads[k][at], rel=0.03, abs=0.02), k
 
@@ -71,14 +72,13 @@ def test_training_helps():
     rng = np.random.default_rng(3)
     docs = [np.tile([2, 3, 4, 5], 20 + rng.integers(0, 5)) for _ in range(40)]
     m = GruModel([1, 40, *[800] * 4], classes=3, hidden=8)
-    before, memory = m.score(docs).sum(), {}
-    for _ in range(40):
-        m.train(docs, memory, 0.02)
+    before = m.score(docs).sum()
+    m.train(iter(docs * 40), 0.02, lanes=8)
     assert m.score(docs).sum() > 0.3 * before
 
 
 def test_odd_rows(make, odd):
-    got = lm_scores(make(odd), vocabulary=5, frequent=7, shards=2, rounds=1).collect()
+    got = lm_scores(make(odd), vocabulary=5, frequent=7, shards=2, rounds=1, share=1.0).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     got, want = sorted(map(tuple, got), key=key), sorted(base(odd), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
