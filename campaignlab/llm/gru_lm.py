@@ -337,7 +337,7 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], sha
 
 
 def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, shards: int = 12, rounds: int = 2,
-              rate: float = 0.01, share: float = 0.5, modulus: int = 7, held: int = 2) -> DataFrame:
+              rate: float = 0.01, share: float = 1.0, modulus: int = 7, held: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
 

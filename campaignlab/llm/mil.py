@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW, cuts, slices, text_bytes
+from campaignlab.llm.common import ROW, cuts, hashed_share, slices, text_bytes
 
 PASSAGE = 48
 CLASSES = 40
@@ -141,14 +141,18 @@ class MilModel:
         return self
 
 
-def train_quality(labelled: DataFrame, max_docs: int = 4000, max_passages: int = 60_000) -> MilModel:
-    """Fits on at most ``max_docs`` rows (text, quality) of ``labelled`` taken by
-    hash order, of which the first ones up to ``max_passages`` passages in all.
-    Without any labelled row the model scores every text 0.5 or near."""
+def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 60_000) -> MilModel:
+    """Fits on about ``max_docs`` rows (doc_id, quality) of ``labels`` taken by hash
+    and the texts of ``docs`` with their ids, in hash order up to ``max_passages``
+    passages in all. Of rows that repeat an id the smallest text and label
+    count. Without any labelled document the model is the untrained one."""
     model = MilModel(CLASSES + 4)
-    picked = (labelled.filter("quality in (0, 1)")
-              .select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"))
-              .withColumn("h", F.xxhash64("text")).orderBy("h", "quality").limit(max_docs))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    marks = marks.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marks = hashed_share(marks, max_docs, "doc_id")  # about max_docs rows of two numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    picked = (texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+              .select("text", "quality", F.xxhash64("doc_id").alias("h")))
 
     def passages(batches: Iterator) -> Iterator:
         import pyarrow as pa

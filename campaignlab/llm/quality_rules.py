@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest over rule statistics.
 
 One pass computes the statistics of every document. The forest is grown on a
-hash-chosen sample of at most ``sample_rows`` statistics rows (the method's own
+hash-chosen sample of about ``sample_rows`` statistics rows (the method's own
 subsampling: ``psi`` rows a tree); documents that random splits isolate early
 are anomalous. The threshold on the anomaly score is calibrated on all
 labelled rows from a histogram of scores.
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW, materialize, slices, text_bytes
+from campaignlab.llm.common import hashed_share, materialize, slices, text_bytes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -168,7 +168,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 96, psi: int
 
     stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
     stats = materialize(stats)
-    sample = (stats.orderBy(F.xxhash64("doc_id", "n_words"), *COUNTS).limit(sample_rows).toPandas())
+    sample = hashed_share(stats, sample_rows, "doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS])
     forest = fit_forest(features({c: sample[c].to_numpy(np.int64) for c in COUNTS}), trees, psi)
 
     def score(batches: Iterator) -> Iterator:

@@ -64,9 +64,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str):
     """Trained on labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
-    marks = read(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder("doc_id", 3) != 1)
-    labelled = documents(spark, sf_dir).select("doc_id", "text").join(marks, "doc_id")
-    return train_quality(labelled.select("text", "quality"))
+    return train_quality(documents(spark, sf_dir), read(spark, sf_dir, "labels").filter(remainder("doc_id", 3) != 1))
 
 
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,15 @@ def test_passages_of_each_text_are_its_own():
 
 
 def test_odd_rows(spark, make, odd):
-    model = train_quality(spark.createDataFrame([("good text", 1), ("### bad", 0), (None, 1), ("x", None)], "text string, quality int"))
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (1, 1, 0), (None, 1, 0), (5, None, 0), (4, 0, 0), (99, 1, 1)],
+                                   "doc_id long, quality int, toxic int")
+    model = train_quality(make(odd), labels)
     got = score_quality(make(odd), model).select("__row.doc_id", "__row.text", "score").collect()
     assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
     same = {r["score"] for r in got if r["text"] == "same text here"}
     assert len(same) == 1
     assert len({r["score"] for r in got if not r["text"]}) == 1
     assert score_quality(make([]), model).count() == 0
-    none = train_quality(spark.createDataFrame([], "text string, quality int"))
+    none = train_quality(make(odd), labels.limit(0))
+    train_quality(make([]), labels)
     assert score_quality(make(odd), none).count() == len(odd)
