@@ -17,23 +17,6 @@ USER = "User_ID"
 # The test account id excluded by the order-side extracts.
 TEST_ACCOUNTS = ("1",)
 
-# Largest dimension / id list that is broadcast after an explicit bounded
-# count; anything larger takes the shuffle join (and AQE may still switch to a
-# broadcast from runtime statistics).
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` only when ``df`` provably has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job, which stops reading as
-    soon as the bound is exceeded, so it costs at most ``max_rows`` rows of
-    scan. Beyond the bound the frame is returned unchanged and the join
-    shuffles both sides on the key."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def exclude_abnormal(df: DataFrame, abnormal: DataFrame, key: str = USER) -> DataFrame:
     """B1: drop must-not-contact users (``NOT EXISTS`` = left anti join).
@@ -51,33 +34,21 @@ def exclude_test_accounts(df: DataFrame, ids: Sequence[str] = TEST_ACCOUNTS, key
     return df.filter(~F.col(key).isin(ids))
 
 
-def for_audience(df: DataFrame, ids: DataFrame, key: str = USER,
-                 max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def for_audience(df: DataFrame, ids: DataFrame, key: str = USER) -> DataFrame:
     """Keep rows of users in an uploaded audience (semi join, no
-    duplication even if the upload repeats ids)."""
-    return df.join(bounded_broadcast(ids.select(key), max_broadcast_rows), on=key, how="left_semi")
-
-
-def small_audience(ids: DataFrame, key: str = USER, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame | None:
-    """The audience as a broadcast frame when it provably has at most
-    ``max_rows`` ids, else ``None``."""
-    ids = ids.select(key)
-    return F.broadcast(ids) if ids.limit(max_rows + 1).count() <= max_rows else None
+    duplication even if the upload repeats ids). Spark picks broadcast or
+    shuffle from the upload's size in bytes."""
+    return df.join(ids.select(key), on=key, how="left_semi")
 
 
 def aggregate_for_audience(rows: DataFrame, ids: DataFrame, group_by: Sequence[str], aggs: Sequence[Column],
-                           key: str = USER, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                           key: str = USER) -> DataFrame:
     """B3 + aggregate: per-group aggregates of the rows of audience users.
 
-    A small audience (bounded count) is a broadcast semi join applied to the
-    rows before aggregating, so other users' rows never reach the shuffle. A
-    large one is applied after aggregating (the grouping includes ``key``),
-    so the shuffle only carries map-side-combined rows and a user holding a
-    third of all rows is one row per task, not one hot join partition."""
-    small = small_audience(ids, key, max_broadcast_rows)
-    if small is not None:
-        return rows.join(small, on=key, how="left_semi").groupBy(*group_by).agg(*aggs)
-    return rows.groupBy(*group_by).agg(*aggs).join(ids.select(key), on=key, how="left_semi")
+    One shape at every size: other users' rows are dropped first. A shuffled
+    semi join leaves the rows partitioned by ``key``, which the grouping
+    (it includes ``key``) needs anyway, so there is one shuffle of the rows."""
+    return for_audience(rows, ids, key).groupBy(*group_by).agg(*aggs)
 
 
 def _literal_like(df: DataFrame, col: str, value) -> Column:

@@ -148,7 +148,7 @@ def activity_summary(ids: DataFrame, by_user: DataFrame) -> DataFrame:
     stacked = ids.select(F.col(USER).alias("_receiver")).unionByName(
         by_user.select(F.col(USER).alias("_player"), "Ticket_sold", "Turnover"), allowMissingColumns=True)
     kpi = stacked.agg(
-        F.count_distinct("_receiver").alias("Receiver"),
+        F.count("_receiver").alias("Receiver"),
         F.count("_player").alias("Active_players"),
         F.sum("Ticket_sold").alias("Ticket_sold"),
         money_sum("Turnover").alias("Turnover"))

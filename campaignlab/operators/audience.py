@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlab.functions.blocks import (
-    MONEY, USER, bounded_broadcast, bucket, clamp0, exclude_abnormal, exclude_test_accounts, inactive_days,
+    MONEY, USER, bucket, clamp0, exclude_abnormal, exclude_test_accounts, inactive_days,
     money_sum,
 )
 from campaignlab.sources.tables import CampaignTables
@@ -128,9 +128,10 @@ def buyers(t: CampaignTables, product: str, as_of=None) -> DataFrame:
     """Per buyer of a product, recency and totals (fact joined to games).
     ``distinct_series_bought`` comes from a two-level aggregate (per series,
     then per user) instead of a distinct aggregate."""
-    games = bounded_broadcast(t.games.filter(F.col("Lottery") == product).select("GameID", "Lottery"))
+    games = t.games.filter(F.col("Lottery") == product).select("GameID")
     fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
-    agg = _per_series(fs, [USER, "Lottery"]).groupBy(USER, "Lottery").agg(
+    agg = _per_series(fs, [USER]).groupBy(USER).agg(
+        F.lit(product).alias("Lottery"),
         inactive_days("_last_day", as_of).alias("inactive_days"),
         F.count("Game_series").alias("distinct_series_bought"),
         F.max("_last_draw").alias("Last_active_period"),
@@ -203,7 +204,7 @@ def top_n(t: CampaignTables, product: str, n: int = 50, by: str = "Turnover",
     games = t.games.filter(F.col("Lottery") == product)
     if product == "Instant" and ticket_price != ALL_INSTANT:
         games = games.filter(F.col("Unit_Price") == int(ticket_price))
-    games = bounded_broadcast(games.select("GameID"))
+    games = games.select("GameID")
     fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
     sums = [F.sum("Entries").alias("Ticket"), money_sum("Turnover").alias("Turnover"), money_sum("Prize").alias("Prize")]
 
@@ -262,16 +263,16 @@ def bank_declined(t: CampaignTables, strict: bool = False) -> DataFrame:
     """Depositors with at least one deposit whose gateway memo maps to the
     "Bank declined" group, with their E7 deposit columns.
 
-    One pass over the deposits: the (tiny) memo dimension is broadcast to flag
-    each deposit, and a single per-user aggregate yields both the flag and the
+    One pass over the deposits: a join with the memo dimension flags each
+    deposit (a null user matches no deposit total: its columns are null), and a single per-user aggregate yields both the flag and the
     E7 columns (the reference runs two queries and joins them)."""
-    declined = bounded_broadcast(
-        t.fail_groups.filter(F.col("fail_group") == BANK_DECLINED)
-        .select("gateway_memo", F.lit(True).alias("_declined")).distinct())
+    declined = (t.fail_groups.filter(F.col("fail_group") == BANK_DECLINED)
+                .select("gateway_memo", F.lit(True).alias("_declined")).distinct())
     d = _strict(t.deposits, strict).join(declined, "gateway_memo", "left")
     agg = d.groupBy(USER).agg(F.max(F.coalesce("_declined", F.lit(False))).alias("_any_declined"),
                               *_deposit_columns())
     out = agg.filter("_any_declined").drop("_any_declined")
+    out = out.select(USER, *[F.when(F.col(USER).isNotNull(), F.col(c)).alias(c) for c in out.columns if c != USER])
     return exclude_abnormal(out, t.abnormal)
 
 
@@ -304,6 +305,8 @@ def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_
         USER, money("withdrawal_amount").alias("withdraw"))
     rf = _strict(t.refunds, strict).filter(F.col("Memo") == "Success").select(USER, money("Refund_amount").alias("refund"))
 
+    known = F.col(USER).isNotNull()  # a null user meets no other flow; deposits keep theirs (D13)
+    fs, wd, rf = fs.filter(known), wd.filter(known), rf.filter(known)
     ledger = dep.unionByName(fs, allowMissingColumns=True) \
         .unionByName(wd, allowMissingColumns=True) \
         .unionByName(rf, allowMissingColumns=True)

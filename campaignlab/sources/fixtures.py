@@ -11,7 +11,6 @@ list). See FIXTURES.md for the reasoning behind each view.
 
 from __future__ import annotations
 
-import os
 import re
 from functools import cached_property
 
@@ -19,26 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-# The test-data files hold one row group each, so a scan is a single task no
-# matter how many cores there are. These large sources are hash-spread on a
-# key right after the scan when they arrive in fewer splits than the default
-# parallelism (filters and column pruning still reach the scan). Stored
-# tables at scale arrive in many splits and are never re-spread.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-# Below this file size one task reads and processes the table faster than a
-# shuffle would spread it.
-SPREAD_MIN_BYTES = 1 << 20
-
 # Fixed view definitions (FIXTURES.md). Order matters: a view may only use
 # base tables and views defined above it.
 FIXTURE_SQL: dict[str, str] = {
     "dim_games": """
-select cast(p_partkey as int) as GameID,
- case when p_partkey = 72 or p_type in ('ECONOMY','SMALL') then 'Lucky Day'
-      when p_type in ('STANDARD','LARGE') then 'Instant'
-      when p_type = 'PROMO' then 'Pick 3' else 'Merchant App' end as Lottery,
- cast((p_size % 5 + 1) * 5 as int) as Unit_Price
-from {part} where p_partkey < 100""",
+select cast(p_partkey % 100 as int) as GameID,
+ case p_partkey % 4 when 0 then 'Lucky Day' when 1 then 'Instant' when 2 then 'Pick 3' else 'Merchant App' end as Lottery,
+ cast((sum(p_size) % 5 + 1) * 5 as int) as Unit_Price
+from {part} group by p_partkey % 100, p_partkey % 4""",
     "fact_orders": """
 select cast(o.o_custkey as string) as User_ID, o.o_orderkey as Order_ID, g.GameID, g.Lottery,
  o.o_orderdate as Creation_date, cast(o.o_orderdate as date) as DateID,
@@ -49,16 +36,17 @@ select cast(o.o_custkey as string) as User_ID, o.o_orderkey as Order_ID, g.GameI
  cast(case o.o_custkey % 4 when 0 then 1 when 1 then ceil(l.l_quantity / 10) else l.l_quantity end * g.Unit_Price as decimal(18,2)) as Turnover,
  cast(case when l.l_returnflag <> 'R' then 0 when l.l_linenumber = 7 and g.GameID = 72 then 150000
       else floor(l.l_extendedprice / 200) end as decimal(18,2)) as Prize
-from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey join {dim_games} g on g.GameID = l.l_partkey % 100
-where (o.o_custkey % 8 <> 2 or g.Lottery = 'Instant') and (o.o_custkey % 8 <> 3 or g.Lottery <> 'Pick 3')
- and (o.o_custkey % 8 <> 5 or g.Lottery in ('Lucky Day','Pick 3'))""",
+from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey
+join {dim_games} g on g.GameID = l.l_partkey % 100
+ + case when o.o_custkey % 8 = 2 then 1 - l.l_partkey % 4 when o.o_custkey % 8 = 3 and l.l_partkey % 4 = 2 then -2
+        when o.o_custkey % 8 = 5 and l.l_partkey % 4 in (1, 3) then -1 else 0 end""",
     "fact_orders_summary": """
 select User_ID, GameID, DateID, Draw_Period, Game_series, count(distinct Order_ID) as Orders,
  cast(sum(Entries) as bigint) as Entries, cast(sum(Turnover) as decimal(18,2)) as Turnover,
  cast(sum(Prize) as decimal(18,2)) as Prize
 from {fact_orders} group by User_ID, GameID, DateID, Draw_Period, Game_series""",
     "fact_deposit": """
-select cast(o_custkey as string) as User_ID, o_orderkey as top_up_id,
+select case when o_orderkey % 97 = 0 then null else cast(o_custkey as string) end as User_ID, o_orderkey as top_up_id,
  cast(floor(o_totalprice / 100) as decimal(18,2)) as top_up_amount,
  case o_orderstatus when 'F' then 'Success' when 'O' then 'Handling' else 'Failure' end as top_up_state,
  o_orderdate as creation_date, o_orderpriority as gateway_memo
@@ -69,12 +57,14 @@ select distinct o_orderpriority as gateway_memo,
       else 'Timeout' end as fail_group
 from {orders} where o_orderpriority < '4'""",
     "fact_withdraw": """
-select cast(user_id as string) as User_ID, cast(value as decimal(18,2)) as withdrawal_amount,
+select case when event_id % 89 = 0 then null else cast(user_id as string) end as User_ID,
+ cast(value as decimal(18,2)) as withdrawal_amount,
  case when event_id % 11 = 0 then null when event_id % 7 = 0 then 'Failure' when event_id % 7 = 1 then 'Bank reverted'
       else 'Success' end as withdrawal_status
 from {events} where event_type = 'purchase'""",
     "fact_refund": """
-select cast(user_id as string) as User_ID, cast(value as decimal(18,2)) as Refund_amount,
+select case when event_id % 83 = 0 then null else cast(user_id as string) end as User_ID,
+ cast(value as decimal(18,2)) as Refund_amount,
  case when event_id % 5 = 0 then 'Failure' else 'Success' end as Memo
 from {events} where event_type = 'error'""",
     "dim_user_authentication": """
@@ -180,14 +170,7 @@ class TestData:
         return self._frames[name]
 
     def _scan(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        key = SPREAD_KEYS.get(name)
-        if key is not None and os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
-            n = self.spark.sparkContext.defaultParallelism
-            if n > 1 and df.rdd.getNumPartitions() < n:
-                df = df.repartition(n, key)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def campaign(self):

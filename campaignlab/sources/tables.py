@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -123,12 +124,22 @@ class CampaignTables:
         return replace(self, users=users, abnormal=abnormal_users(users))
 
 
-def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True,
+def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.read.schema(T.StructType([T.StructField(c, t) for c, t in SCHEMAS[table].items()])).parquet(path)
+
+
+def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = False,
                 orders_day: str | None = "DateID") -> CampaignTables:
     """Read ``<path>/<table>`` parquet datasets.
 
-    When the abnormal-user list is not stored, it is derived from the user
-    table (E10b). ``orders_day`` names the orders' day partition column (the
+    The stored must-exclude list is obeyed; ``derive_abnormal`` replaces it by
+    the rule over the user table (E10b) where the caller asks for that. A
+    dataset written from an empty table is read with its contract schema. ``orders_day`` names the orders' day partition column (the
     date of ``Creation_date``, as ``save_tables`` writes it); pass None for
     tables where that does not hold."""
     from campaignlab.operators.audience import abnormal_users
@@ -138,7 +149,7 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = True,
     for attr, name in TABLE_NAMES.items():
         if attr == "abnormal" and derive_abnormal:
             continue
-        frames[attr] = validate(spark.read.parquet(f"{path}/{name}"), name)
+        frames[attr] = validate(read_table(spark, f"{path}/{name}", name), name)
     if derive_abnormal:
         frames["abnormal"] = abnormal_users(frames["users"])
     if orders_day is not None and orders_day not in frames["orders"].columns:
@@ -159,7 +170,10 @@ def save_tables(t: CampaignTables, path: str, mode: str = "overwrite", partition
     path = path.rstrip("/")
     for attr, name in TABLE_NAMES.items():
         df = getattr(t, attr)
+        day = DAY_PARTITIONED.get(name) if partition_facts else None
+        if day is not None:  # one task a day, or several for a large day, instead of tasks x days files
+            df = df.hint("rebalance", day)
         w = df.write.mode(mode)
-        if partition_facts and name in DAY_PARTITIONED:
-            w = w.partitionBy(DAY_PARTITIONED[name])
+        if day is not None:
+            w = w.partitionBy(day)
         w.parquet(f"{path}/{name}")

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# An export larger than this is never funnelled through one task.
-SINGLE_FILE_MAX_ROWS = 5_000_000
-
 
 def read_upload(spark: SparkSession, path: str, columns: Mapping[str, T.DataType | str] | None = None,
                 multi_line: bool = False) -> DataFrame:
@@ -30,19 +27,15 @@ def read_upload(spark: SparkSession, path: str, columns: Mapping[str, T.DataType
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
 
 
-def write_audience_csv(df: DataFrame, path: str, single_file: bool = False,
-                       max_single_file_rows: int = SINGLE_FILE_MAX_ROWS) -> None:
+def write_audience_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """I4: write an audience as CSV with a header, overwriting ``path``.
 
     Rows whose first column is null are left out (the reference drops the
     lines that start with a comma; an empty string is kept, D22). By default
     every task writes its own part file in parallel. ``single_file`` gives one
-    downloadable part, only for audiences proven to have at most
-    ``max_single_file_rows`` rows; larger ones raise instead of squeezing the
-    export through one task."""
+    downloadable part, written by one task that streams the rows: ask for it
+    only where one download is the point."""
     out = df.dropna(subset=[df.columns[0]])
     if single_file:
-        if out.limit(max_single_file_rows + 1).count() > max_single_file_rows:
-            raise ValueError(f"audience has more than {max_single_file_rows} rows; write it as part files")
         out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from campaignlab.functions.blocks import USER, in_window, money_sum, small_audience
+from campaignlab.functions.blocks import USER, for_audience, in_window, money_sum
 from campaignlab.sources.tables import SCHEMAS
 
 
@@ -30,9 +30,7 @@ def activity_stream(orders: DataFrame, ids: DataFrame, start, end) -> DataFrame:
     audience ``ids`` (a static frame)."""
     o = in_window(orders.select(USER, "Lottery", "Entries", "Turnover", "Prize", "Creation_date"),
                   "Creation_date", start, end)
-    aud = small_audience(ids)
-    o = o.join(aud if aud is not None else ids.select(USER), USER, "left_semi")
-    return o.groupBy(USER, "Lottery").agg(
+    return for_audience(o, ids).groupBy(USER, "Lottery").agg(
         F.sum("Entries").alias("Ticket_sold"),
         money_sum("Turnover").alias("Turnover"),
         money_sum("Prize").alias("Prize"))

@@ -143,11 +143,55 @@ def test_audience_paths_agree_and_hot_user(spark):
     rows = tables(spark, orders=hot + [order("a", entries=2), order("b", lottery="Instant", entries=3)]).orders
     aud = ids(spark, "hot", "b", "zzz")
     aggs = [F.sum("Entries").alias("n")]
-    small = aggregate_for_audience(rows, aud, ["User_ID", "Lottery"], aggs)
-    large = aggregate_for_audience(rows, aud, ["User_ID", "Lottery"], aggs, max_broadcast_rows=0)
     want = {("hot", "Lucky Day", 300), ("b", "Instant", 3)}
-    assert {tuple(r) for r in small.collect()} == want
-    assert {tuple(r) for r in large.collect()} == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (old, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = aggregate_for_audience(rows, aud, ["User_ID", "Lottery"], aggs)
+            assert {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_null_users_in_wallet_and_declined(spark):
+    t = tables(spark, deposits=[deposit(None, amount="1000.00")],
+               fail_groups=[{"gateway_memo": "1-URGENT", "fail_group": "Bank declined"}],
+               withdrawals=[{"User_ID": None, "withdrawal_amount": Decimal("100.00"), "withdrawal_status": "Success"}],
+               refunds=[{"User_ID": None, "Refund_amount": Decimal("50.00"), "Memo": "Success"}])
+    row = A.wallet_balance(t, as_of="2000-02-01").collect()[0]
+    assert row.User_ID is None and row.balance == Decimal("1000.00")
+    assert [tuple(r) for r in A.bank_declined(t).collect()] == [(None, None, None)]
+
+
+def test_opt_out_text_times(spark):
+    from campaignlab.operators.status import apply_opt_out
+
+    users = tables(spark, users=[user("u")]).users
+    cols = "user_id string, message_status string, mail_status string, sms_status string, updated_time string"
+    up = spark.createDataFrame([("u", "1", "1", "1", "9/30/2025"), ("u", "0", "0", "0", "10/01/2025")], cols)
+    row = apply_opt_out(users, up).collect()[0]
+    assert (row.receive_message, row.receive_mail, row.receive_sms) == (0, 0, 0)
+    with pytest.raises(Exception, match="not a time"):
+        apply_opt_out(users, spark.createDataFrame([("u", "1", "1", "1", "yesterday")], cols)).collect()
+
+
+def test_stored_exclusion_list_and_empty_facts(spark, tmp_path):
+    from campaignlab.sources.tables import load_tables, save_tables
+
+    t = tables(spark, users=[user("2x"), user("3y", status="suspend")], abnormal=[{"User_ID": "2x"}])
+    save_tables(t, str(tmp_path))
+    got = load_tables(spark, str(tmp_path))
+    assert [r.User_ID for r in got.abnormal.collect()] == ["2x"]
+    assert got.orders.count() == 0 and got.orders.columns == t.orders.columns
+    assert [r.User_ID for r in load_tables(spark, str(tmp_path), derive_abnormal=True).abnormal.collect()] == ["3y"]
+
+
+def test_every_order_line_is_kept(spark, sf001):
+    from campaignlab.sources.fixtures import TestData
+
+    lines = spark.read.parquet(f"{sf001}/lineitem.parquet").count()
+    assert TestData(spark, sf001).table("fact_orders").count() == lines
 
 
 def test_metric_rows_display(spark):

@@ -29,12 +29,6 @@ def test_csv_export_drops_null_key_keeps_empty_and_newlines(spark):
     assert rows == [("", "empty"), ("a", "x"), ("b", "two\nlines")]
 
 
-def test_single_file_export_is_bounded(spark):
-    df = spark.range(10).selectExpr("cast(id as string) as User_ID")
-    with pytest.raises(ValueError):
-        write_audience_csv(df, _scratch() + "/x", single_file=True, max_single_file_rows=5)
-
-
 def test_upload_reads_text_ids_and_casts(spark):
     p = _scratch() + "/up.csv"
     with open(p, "w") as f:
