@@ -6,13 +6,15 @@ distribution over all words. The output softmax is factored into a class and a
 word inside its class; classes hold stretches of the frequency order with equal
 shares of the square roots of counts. Weights start at the corpus
 frequencies and are trained by truncated backpropagation: windows of ``STEPS``
-tokens, the state carried from window to window. Shards of the training
-documents train on their own and their weights are averaged, each round anew.
+tokens, the state carried from window to window. Shards of the training documents
+train on their own and their weights are averaged, each round anew; shards have a
+fixed size, so their number grows with the documents.
 Scoring carries the state through the whole document.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -290,13 +292,16 @@ def symbol_docs(texts: list[bytes], symbols: dict[bytes, int], place: np.ndarray
     return [place[np.array([*(get(w, RARE) for w in words_of(t)), END], np.int64)] for t in texts]
 
 
-def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], shards: int, rounds: int,
-                rate: float, share: float) -> GruModel:
-    """Documents of a hashed ``share`` train, each in one round and shard by its key. The
-    driver averages ``shards`` weight vectors of fixed size a round."""
+def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], tokens: int, shard_tokens: int,
+                rounds: int, rate: float) -> GruModel:
+    """All documents train, each in one round and shard by its key. Shards hold about
+    ``shard_tokens`` tokens, so their number grows with the ``tokens`` and no task's work does.
+    Weights are averaged in tasks first: the driver adds up about the square root of
+    the number of partitions in vectors of fixed size."""
+    shards = max(1, -(-tokens // (shard_tokens * rounds)))
+    parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(doc_key("doc_id", "text").alias("k"), "text")
-    keyed = (keyed.filter(F.pmod(F.xxhash64(F.lit("share"), "k"), F.lit(1000)) < 1000 * share)
-             .withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards * rounds)).cast("int")))
+    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards * rounds)).cast("int"))
 
     def name(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -311,42 +316,59 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], sha
     named = (keyed.select("shard", F.xxhash64("k.x").alias("h"), "text").mapInArrow(name, "shard int, h long, ids binary"))
     named = materialize(named) if rounds > 1 else named
 
+    def summed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator:
+        """One row: the tokens and the sum of the weights."""
+        import pyarrow as pa
+
+        many, total = 0, 0.0
+        for n, weights in pairs:
+            many, total = many + n, total + weights
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array([many], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                                             names=["tokens", "weights"])
+
     def fit(batches: Iterator) -> Iterator:
         import copy
 
-        import pyarrow as pa
+        def trained() -> Iterator[tuple[int, np.ndarray]]:
+            rows = ((shard, ids) for b in batches
+                    for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()))
+            for _, mine in groupby(rows, key=lambda r: r[0]):
+                own = copy.deepcopy(model)
+                n = own.train((np.frombuffer(ids, "<u2").astype(np.int64) for _, ids in mine), rate)
+                yield n, np.frombuffer(own.pack(), np.float32).astype(float) * n
+
+        return summed(trained())
 
-        rows = ((shard, ids) for b in batches for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()))
-        for shard, mine in groupby(rows, key=lambda r: r[0]):
-            own = copy.deepcopy(model)
-            tokens = own.train((np.frombuffer(ids, "<u2").astype(np.int64) for _, ids in mine), rate)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tokens], pa.int64()),
-                                              pa.array([own.pack()], pa.binary())], names=["shard", "tokens", "weights"])
+    def add(batches: Iterator) -> Iterator:
+        return summed((n, np.frombuffer(w, float)) for b in batches
+                      for n, w in zip(b.column("tokens").to_pylist(), b.column("weights").to_pylist()))
 
     for r in range(rounds):
         mine = named.filter((F.col("shard") >= r * shards) & (F.col("shard") < (r + 1) * shards))
-        got = (mine.repartition(shards, "shard")
-               .sortWithinPartitions("shard", F.length("ids") < 8192, "h", "ids")  # no lane is left with a long text
-               .mapInArrow(fit, "shard int, tokens long, weights binary").collect())
-        got.sort(key=lambda x: x["shard"])
-        tokens = sum(x["tokens"] for x in got)
-        if tokens:
-            model.unpack(sum(np.frombuffer(bytes(x["weights"]), np.float32).astype(float) * (x["tokens"] / tokens)
-                             for x in got))
+        sums = (mine.repartitionById(parts, F.pmod("shard", F.lit(parts)))
+                .sortWithinPartitions("shard", F.length("ids") < 8192, "h", "ids")  # no lane is left with a long text
+                .mapInArrow(fit, "tokens long, weights binary"))
+        got = (sums.repartition(math.isqrt(parts), F.xxhash64("weights")).sortWithinPartitions("tokens", "weights")
+               .mapInArrow(add, "tokens long, weights binary").collect())
+        got.sort(key=lambda x: (x["tokens"], bytes(x["weights"])))
+        seen = sum(x["tokens"] for x in got)
+        if seen:
+            model.unpack(sum(np.frombuffer(bytes(x["weights"]), float) for x in got) / seen)
     return model
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, shards: int = 12, rounds: int = 2,
-              rate: float = 0.01, share: float = 1.0, modulus: int = 7, held: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, shard_tokens: int = 2_000_000,
+              rounds: int = 2, rate: float = 0.01, modulus: int = 7, held: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
 
     Learns from rows whose crc32(doc_id as text) mod ``modulus`` is not
-    ``held``: counts cover all of them, the network trains on a hashed ``share``
-    of them, whole texts, which grows as they do. Null and empty texts are the end token alone; a null id counts as
-    empty text in the fold; repeated rows count each and score alike; an empty
-    training fold gives base probabilities of one. The driver sees the
-    ``frequent`` most frequent words and weights of fixed size; counts of all
+    ``held``: counts and the network cover all of them, whole texts, the network in
+    shards of about ``shard_tokens`` tokens. Null and empty texts are the end token
+    alone; a null id counts as empty text in the fold; repeated rows count each and
+    score alike; an empty training fold gives base probabilities of one. The driver
+    sees the ``frequent`` most frequent words and sums of weights; counts of all
     other words meet the documents in a join by word."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -362,7 +384,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, s
     rare_n = n - ends - sum(known.values())
     rare_v = max(v - len(known) - (1 if ends else 0), 0)
     model = GruModel(np.array([rare_n, ends, *known.values()], float))
-    model = train_model(train, model, symbols, shards, rounds, rate, share)
+    model = train_model(train, model, symbols, n, shard_tokens, rounds, rate)
     place_of = {w: k for k, (w, _) in enumerate(top)}
     logs = np.log10(np.array([*(c for _, c in top), 0], float) + 1)  # last: words that are not frequent
     end_log = float(np.log10(ends + 1.0))

@@ -78,7 +78,7 @@ def test_training_helps():
 
 
 def test_odd_rows(make, odd):
-    got = lm_scores(make(odd), vocabulary=5, frequent=7, shards=2, rounds=1, share=1.0).collect()
+    got = lm_scores(make(odd), vocabulary=5, frequent=7, shard_tokens=20, rounds=1).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     got, want = sorted(map(tuple, got), key=key), sorted(base(odd), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -87,3 +87,17 @@ def test_odd_rows(make, odd):
     assert lm_scores(make([])).count() == 0
     alone = lm_scores(make([(d, "a b") for d in range(200) if held(d)])).collect()
     assert alone and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in alone)
+
+
+def test_average_does_not_depend_on_the_number_of_partitions(spark, make):
+    docs = make([(i, " ".join(f"w{(i * k) % 9}" for k in range(1, 12))) for i in range(40)])
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = lm_scores(docs, vocabulary=6, shard_tokens=30, rounds=2).collect()
+            got.append({r.doc_id: r.score for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in got[1:]:
+        assert all(abs(other[k] - v) < 1e-3 for k, v in got[0].items())
