@@ -136,7 +136,7 @@ class GruModel:
         if grad is not None:
             d = e / s[:, None]
             d[rows, cls] -= 1
-            grad["C"], grad["c"] = h.T @ d, d.sum(0)
+            grad["C"], grad["c"] = h.T @ d, np.ones(len(d), d.dtype) @ d
             grad["h"] = d @ p["C"].T
             grad["O"], grad["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
         by = np.argsort(cls, kind="stable")
@@ -155,7 +155,7 @@ class GruModel:
             if grad is not None:
                 d = e / s[:, None]
                 d[at] -= 1
-                grad["O"][lo:hi], grad["o"][lo:hi] = d.T @ hk, d.sum(0)
+                grad["O"][lo:hi], grad["o"][lo:hi] = d.T @ hk, np.ones(len(d), d.dtype) @ d
                 grad["h"][i] += d @ p["O"][lo:hi]
         return logp
 
@@ -182,27 +182,29 @@ class GruModel:
         loss = -float(self.outputs(states[t, k], w.y[k, t], g).sum())
         out = np.zeros_like(states)
         out[t, k] = g.pop("h")
-        dxw = np.empty((STEPS, len(w.x), 3 * n), np.float32)
-        clear = ~w.first.T[..., None]
-        g["U"], dh = np.zeros_like(p["U"]), np.zeros_like(h0)
+        before, ac, gate, c = (np.stack(x) for x in zip(*keep))
+        r, u = (np.ascontiguousarray(x) for x in (gate[..., :n], gate[..., n:]))
+        # what a state's gradient is worth before the candidate, the update gate and the reset gate
+        to_c, to_u, to_r = (1 - u) * (1 - c * c), (before - c) * u * (1 - u), ac * r * (1 - r)
+        clear, back = ~w.first.T[..., None], p["U"].T
+        dxw, da = (np.empty((STEPS, len(w.x), 3 * n), np.float32) for _ in range(2))
+        dh = np.zeros_like(h0)
         for s in range(STEPS - 1, -1, -1):
-            h, ac, gate, c = keep[s]
-            r, u = gate[:, :n], gate[:, n:]
             dh = dh + out[s]
-            dc = dh * (1 - u) * (1 - c * c)
-            dxw[s, :, :n] = dc * ac * r * (1 - r)
-            dxw[s, :, n:2 * n] = dh * (h - c) * u * (1 - u)
+            dc = dh * to_c[s]
+            np.multiply(dc, to_r[s], out=dxw[s, :, :n], casting="same_kind")
+            np.multiply(dh, to_u[s], out=dxw[s, :, n:2 * n], casting="same_kind")
             dxw[s, :, 2 * n:] = dc
-            da = dxw[s].copy()
-            da[:, 2 * n:] *= r
-            g["U"] += h.T @ da
-            dh = (dh * u + da @ p["U"].T) * clear[s]
+            da[s, :, :2 * n] = dxw[s, :, :2 * n]
+            np.multiply(dc, r[s], out=da[s, :, 2 * n:], casting="same_kind")
+            dh = (dh * u[s] + da[s] @ back) * clear[s]
+        g["U"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         flat, symbols = dxw.reshape(-1, 3 * n), w.x.T.ravel()
         by = np.argsort(symbols, kind="stable")
         first = np.flatnonzero(np.diff(symbols[by], prepend=-1))
         per = np.zeros((len(p["E"]), 3 * n), np.float32)
         per[symbols[by][first]] = np.add.reduceat(flat[by], first)
-        g["b"], g["W"], g["E"] = flat.sum(0), p["E"].T @ per, per @ p["W"].T
+        g["b"], g["W"], g["E"] = np.ones(len(flat), flat.dtype) @ flat, p["E"].T @ per, per @ p["W"].T
         return g, states[-1], loss
 
     def train(self, docs: Iterator[np.ndarray], rate: float, lanes: int = 256) -> int:
