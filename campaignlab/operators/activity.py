@@ -7,10 +7,9 @@ shared per-user base once (reliable checkpoint when the cluster names a
 checkpoint folder), so each section reads the small base, not the facts.
 
 Scale notes: the window filter on ``Creation_date`` reaches the parquet scan
-(row groups are skipped by their min/max); the audience is a broadcast semi
-join before aggregating when its count is bounded, else a semi join on the
-map-side-combined aggregate (``aggregate_for_audience``); every grouping is
-map-side combined, and the few-group sections (product, ticket bucket,
+(row groups are skipped by their min/max); a semi join with the audience drops
+other users' rows before they are aggregated, at every size
+(``aggregate_for_audience``); every grouping is map-side combined, and the few-group sections (product, ticket bucket,
 reactivation bucket) never ship more than one partial row per group per task.
 No activity operator excludes abnormal or test accounts (SURVEY D11).
 """
@@ -26,7 +25,7 @@ from campaignlab.functions.blocks import (
     MONEY, USER, aggregate_for_audience, as_date, avg_spend, before, bucket, bucket_rank, in_window,
     money_sum,
 )
-from campaignlab.functions.quantile import VALUE_TYPE, median_from_histogram, value_histogram
+from campaignlab.functions.quantile import VALUE_TYPE, median_from_histogram, value_bins, value_histogram
 from campaignlab.sources.tables import CampaignTables
 from campaignlab.session import checkpoint_dir
 
@@ -180,17 +179,17 @@ def activity_stats(by_user: DataFrame, columns=STAT_COLUMNS) -> DataFrame:
     (rows ``stat`` in that order, one column per statistic input).
 
     The columns are stacked into one value histogram per column; the moments
-    (sum, count, min, max) and the exact medians both come from it, and a
-    single one-row aggregate assembles the table (no join, no pivot)."""
+    (sum, count, min, max) come from the histogram's bins, the exact medians
+    from the values of the middle bins, and a single one-row aggregate
+    assembles the table (no pivot)."""
     stacked = by_user.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("g"), F.col(c).cast(VALUE_TYPE).alias("v")) for c in columns])))
     hist = value_histogram(stacked, "g", "v")
-    moments = hist.groupBy("g").agg(
-        F.sum(F.col("v") * F.col("n")).alias("total"), F.sum("n").alias("count"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    cells = moments.unionByName(median_from_histogram(hist), allowMissingColumns=True)
-    one = cells.agg(*[F.max(F.when(F.col("g") == c, F.col(x))).alias(f"{c}__{x}")
-                      for c in columns for x in ("total", "count", "min", "max", "median")])
+    bins = value_bins(hist)
+    cells = bins.select("g", "total", F.col("n").alias("count"), "min", "max").unionByName(
+        median_from_histogram(hist, bins), allowMissingColumns=True)
+    fold = {"total": F.sum, "count": F.sum, "min": F.min, "max": F.max, "median": F.max}
+    one = cells.agg(*[f(F.when(F.col("g") == c, F.col(x))).alias(f"{c}__{x}") for c in columns for x, f in fold.items()])
     cell = {
         "average": lambda c: avg_spend(F.col(f"{c}__total"), F.col(f"{c}__count")),
         "min": lambda c: F.col(f"{c}__min"),
@@ -230,6 +229,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def empty_signal(base: DataFrame) -> DataFrame:
+    """One row, ``empty``: the audience has no order in the window."""
+    return base.agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
 REPORT_SECTIONS = ("overview", "deposit", "stats", "by_product", "by_ticket", "reactivation")
 
 
@@ -237,18 +241,18 @@ def campaign_report(t: CampaignTables, ids: DataFrame, start, end, title: str =
     """The report bundle: header fields plus six sections in fixed order
     (typed), and the two KPI sections as labelled display tables.
 
-    ``ids`` is the audience (distinct ids, see ``audience``). The per-user
-    base and the deposits are materialised once; ``empty`` is the A12 signal
+    ``ids`` is the audience (distinct ids, see ``audience``). The base, the
+    per-user totals, the deposits and the two KPI rows are materialised once; ``empty`` is the A12 signal
     (no in-window order of the audience), in which case the sections are
     empty or zero rather than an error (D26)."""
     ids = materialize(audience(ids))
     base = materialize(activity_base(t, ids, start, end))
     deposits = materialize(activity_deposits(t, ids, start, end))
-    by_user = activity_by_user(base)
+    by_user = materialize(activity_by_user(base))
     history = inactive_months(t, ids, start)
     sections = {
-        "overview": activity_summary(ids, by_user),
-        "deposit": deposit_summary(deposits),
+        "overview": materialize(activity_summary(ids, by_user)),
+        "deposit": materialize(deposit_summary(deposits)),
         "stats": activity_stats(by_user),
         "by_product": activity_by_product(base),
         "by_ticket": activity_by_ticket_segment(by_user),
@@ -256,7 +260,7 @@ def campaign_report(t: CampaignTables, ids: DataFrame, start, end, title: str =
     }
     display = {"overview": metric_rows(sections["overview"], SUMMARY_LABELS),
                "deposit": metric_rows(sections["deposit"], DEPOSIT_LABELS)}
-    return {"title": title, "start": str(start), "end": str(end), "empty": base.isEmpty(),
+    return {"title": title, "start": str(start), "end": str(end), "empty": empty_signal(base).first()["empty"],
             "sections": sections, "display": display}
 
 

@@ -11,9 +11,10 @@ Scale notes, shared by all operators:
   partial row per map task;
 * the test-account filter applies to the fact rows (Catalyst pushes it into
   the scan); the must-not-contact anti join applies to the per-user
-  aggregate, which is already hash-partitioned on ``User_ID``, so only the
-  list itself is shuffled to meet it (or broadcast when small);
-* dimension tables are broadcast only after a bounded row count.
+  aggregate; where that is grouped by ``User_ID`` alone, only the list itself
+  is shuffled to meet it (or broadcast by Spark, which knows its bytes);
+* joins carry no hints: Spark picks broadcast or shuffle from bytes, also at
+  run time.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from campaignlab.operators import activity as X
 from campaignlab.operators import audience as A
@@ -20,8 +21,6 @@ OPERATORS = ("All users", "RFM Segments", "Order behavior", "Players by Lottery
              "Top N by Draw series", "Deposit behavior", "Wallet balance", "Bank-declined users",
              "Users must exclude")
 BUY_MODES = ("Buy product", "Not buy product", "Only buy product", "All combinations")
-PRODUCTS = ("Lucky Day", "Instant", "Pick 3", "Merchant App")
-SORT_FIELDS = ("Turnover", "Ticket", "Prize")
 
 
 def extract_data(t: CampaignTables, operator: str, filters: Mapping | None = None, as_of=None) -> DataFrame:
@@ -66,11 +65,16 @@ def extract_data(t: CampaignTables, operator: str, filters: Mapping | None = Non
     raise ValueError(f"unknown operator {operator!r}; one of {OPERATORS}")
 
 
+def audience_size(df: DataFrame) -> DataFrame:
+    """One row, ``audience_size``: the number of rows of an extract."""
+    return df.agg(F.count(F.lit(1)).alias("audience_size"))
+
+
 def export_audience(df: DataFrame, path: str, single_file: bool = False) -> int:
     """E12 + I4: the audience size and its CSV export from one execution of
     the plan (materialised once, then counted and written)."""
     done = X.materialize(df)
-    n = done.count()
+    n = audience_size(done).first()["audience_size"]
     write_audience_csv(done, path, single_file=single_file)
     return n
 

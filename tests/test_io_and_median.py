@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
-from campaignlab.functions.quantile import median_frame
+from campaignlab.functions.quantile import grouped_median, median_frame
 from campaignlab.operators.activity import load_audience
 from campaignlab.sources import jdbc
 from campaignlab.sources.uploads import read_upload, write_audience_csv
@@ -73,11 +73,27 @@ def test_median_matches_brute_force(spark, seed):
     xs = [round(rnd.choice([rnd.uniform(-50, 500), rnd.randint(0, 20)]), 2) for _ in range(n)]
     xs += [7.5] * (n // 2)
     df = spark.createDataFrame([(Decimal(str(x)),) for x in xs], "v decimal(18,2)")
-    for parts in (1, 3, 16):
-        got = median_frame(df, "v", partitions=parts).collect()[0].median
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got = median_frame(df.repartition(7), "v").collect()[0].median
+        spark.conf.unset("spark.sql.exchange.reuse")
         assert Decimal(got).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP) == _exact_median(xs)
 
 
+def test_median_of_many_values_without_exchange_reuse(spark):
+    """Two million distinct values in two groups, one of them negative."""
+    n = 1_000_001
+    df = spark.range(2 * n).selectExpr("id % 2 as k", "cast((id div 2) * 7919 % 1000003 * (1 - 2 * (id % 2)) / 100 as decimal(18,2)) as v")
+    values = sorted(i * 7919 % 1000003 for i in range(n))
+    want = Decimal(values[n // 2]) / 100
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.k: r.median for r in grouped_median(df, "k", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == {0: want, 1: -want}
+
+
 def test_median_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "v decimal(18,2)")
     assert median_frame(df, "v").collect()[0].median is None
