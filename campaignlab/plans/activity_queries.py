@@ -112,31 +112,80 @@ def _inactive_months(td):
     return X.inactive_months(td.campaign, _ids(td), START)
 
 
-@query("activity_summary", _V, _base(START, END) + f"""
-, r as (select count(*) as Receiver from {_IDS} a)
-select cast(r.Receiver as bigint) as Receiver, count(u.User_ID) as Active_players,
- cast(((cast(count(u.User_ID) as hugeint) * 10000 * 2 + r.Receiver) // (2 * r.Receiver)) / 100 as decimal(18,2))
-  as Active_percentage,
- cast(sum(u.Ticket_sold) as bigint) as Ticket_sold, cast(sum(u.Turnover) as decimal(18,2)) as Turnover,
- {_avg_sql('sum(u.Turnover)', 'count(u.User_ID)')} as Avg_spend
-from r left join u on true group by r.Receiver""")
-def _activity_summary(td):
+_SUMMARY = _base(START, END) + f"""
+, r as (select count(*) as Receiver from {_IDS} a),
+kpi as (
+ select cast(r.Receiver as bigint) as Receiver, count(u.User_ID) as Active_players,
+  cast(((cast(count(u.User_ID) as hugeint) * 10000 * 2 + r.Receiver) // (2 * r.Receiver)) / 100 as decimal(18,2))
+   as Active_percentage,
+  cast(sum(u.Ticket_sold) as bigint) as Ticket_sold, cast(sum(u.Turnover) as decimal(18,2)) as Turnover,
+  {_avg_sql('sum(u.Turnover)', 'count(u.User_ID)')} as Avg_spend
+ from r left join u on true group by r.Receiver)"""
+
+
+def _summary(td):
     ids = _ids(td)
     return X.activity_summary(ids, X.activity_by_user(X.activity_base(td.campaign, ids, START, END)))
 
 
-@query("deposit_summary", _VD, _deposits(START, END) + f"""
-select count(*) as Attempt_users, cast(coalesce(sum(attempt_depo), 0) as bigint) as Attempts,
- count(case when success_depo_amount > 0 then 1 end) as Success_users,
- cast(sum(success_depo_amount) as decimal(18,2)) as Success_amount,
- cast(min(success_depo_amount) as decimal(18,2)) as Min_amount,
- {_avg_sql('sum(success_depo_amount)', 'count(success_depo_amount)')} as Avg_amount,
- cast(max(success_depo_amount) as decimal(18,2)) as Max_amount
-from d""")
-def _deposit_summary(td):
+@query("activity_summary", _V, _SUMMARY + "\nselect * from kpi")
+def _activity_summary(td):
+    return _summary(td)
+
+
+_DEPOSIT_KPI = _deposits(START, END) + f"""
+, kpi as (
+ select count(*) as Attempt_users, cast(coalesce(sum(attempt_depo), 0) as bigint) as Attempts,
+  count(case when success_depo_amount > 0 then 1 end) as Success_users,
+  cast(sum(success_depo_amount) as decimal(18,2)) as Success_amount,
+  cast(min(success_depo_amount) as decimal(18,2)) as Min_amount,
+  {_avg_sql('sum(success_depo_amount)', 'count(success_depo_amount)')} as Avg_amount,
+  cast(max(success_depo_amount) as decimal(18,2)) as Max_amount
+ from d)"""
+
+
+def _deposit_kpi(td):
     return X.deposit_summary(X.activity_deposits(td.campaign, _ids(td), START, END))
 
 
+@query("deposit_summary", _VD, _DEPOSIT_KPI + "\nselect * from kpi")
+def _deposit_summary(td):
+    return _deposit_kpi(td)
+
+
+def _table_sql(labels: dict[str, str]) -> str:
+    """The KPI row as (Metric, Value) text rows."""
+    whole = lambda c: f"format('{{:,}}', cast(floor({c}) as bigint))"
+    text = {"Active_percentage": "cast(Active_percentage as varchar) || '%'", "Avg_spend": "cast(Avg_spend as varchar)",
+            "Avg_amount": "cast(Avg_amount as varchar)"}
+    return "\n" + "\nunion all ".join(
+        f"select '{label}' as Metric, coalesce({text.get(c, whole(c))}, '') as Value from kpi" for c, label in labels.items())
+
+
+@query("report_overview_table", _V, _SUMMARY + _table_sql(X.SUMMARY_LABELS))
+def _report_overview_table(td):
+    return X.metric_rows(_summary(td), X.SUMMARY_LABELS)
+
+
+@query("report_deposit_table", _VD, _DEPOSIT_KPI + _table_sql(X.DEPOSIT_LABELS))
+def _report_deposit_table(td):
+    return X.metric_rows(_deposit_kpi(td), X.DEPOSIT_LABELS)
+
+
+@query("report_empty", _V, _base(START, END) + "\nselect count(*) = 0 as empty from base")
+def _report_empty(td):
+    return X.empty_signal(X.activity_base(td.campaign, _ids(td), START, END))
+
+
+# Before the first order: the signal is true.
+NEVER_START, NEVER_END = "1980-01-01 00:00:00", "1980-06-30 23:59:00"
+
+
+@query("report_empty_before_orders", _V, _base(NEVER_START, NEVER_END) + "\nselect count(*) = 0 as empty from base")
+def _report_empty_before_orders(td):
+    return X.empty_signal(X.activity_base(td.campaign, _ids(td), NEVER_START, NEVER_END))
+
+
 def _stats_sql() -> str:
     cols = X.STAT_COLUMNS
     avg = ", ".join(f"{_avg_sql(f'sum({c})', f'count({c})')} as {c}" for c in cols)

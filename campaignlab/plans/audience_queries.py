@@ -1,10 +1,19 @@
-"""Audience extraction queries (E1-E11) with their fixture parameters
-(SURVEY §7.2) and oracle SQL."""
+"""Audience extraction queries (E1-E12) with their fixture parameters
+(SURVEY §7.2) and oracle SQL.
+
+The SQL is written from the operators' definitions, apart from how Spark
+computes them: exclusion by anti join on the list, recency by date
+subtraction, money by filtered sums over one list of signed movements."""
 
 from __future__ import annotations
 
+import uuid
+
 from campaignlab.operators import audience as A
-from campaignlab.plans.registry import not_abnormal, query
+from campaignlab.plans.extract import audience_size
+from campaignlab.plans.registry import CONTACTABLE, query
+from campaignlab.session import ensure_checkpoint_dir
+from campaignlab.sources.uploads import read_upload, write_audience_csv
 
 # Fixed test parameters.
 AS_OF = "2002-01-01"
@@ -18,26 +27,31 @@ _in = lambda xs: ", ".join(str(x) for x in xs)
 
 @query("all_users", ("dim_user_authentication",) + _ABN, f"""
 select User_ID, registerTime, verification_status, nationality, attempt_depo, FTD, FTP
-from dim_user_authentication u
-where registerTime is not null and {not_abnormal('u')}""")
+from dim_user_authentication {CONTACTABLE}
+where registerTime is not null""")
 def _all_users(td):
     return A.all_users(td.campaign)
 
 
+# Orders: neither the test account nor a null id.
+_ACTIVE = "User_ID is distinct from '1' and User_ID is not null"
+
+
 @query("order_behavior", ("fact_orders_summary",) + _ABN, f"""
-select fs.User_ID, cast(datediff('day', max(DateID), date '{AS_OF}') as int) as inactive_days,
- cast(sum(Orders) as bigint) as Orders, cast(sum(Entries) as bigint) as Tickets,
- cast(sum(Turnover) as decimal(18,2)) as Turnover, cast(sum(Prize) as decimal(18,2)) as Prize
-from fact_orders_summary fs
-where {not_abnormal('fs')} and fs.User_ID <> '1'
-group by fs.User_ID""")
+, totals as (
+ select User_ID, max(DateID) as latest, sum(Orders) as n, sum(Entries) as tickets, sum(Turnover) as spent, sum(Prize) as won
+ from fact_orders_summary group by User_ID)
+select User_ID, cast(date '{AS_OF}' - latest as int) as inactive_days, cast(n as bigint) as Orders,
+ cast(tickets as bigint) as Tickets, cast(spent as decimal(18,2)) as Turnover, cast(won as decimal(18,2)) as Prize
+from totals {CONTACTABLE} where {_ACTIVE}""")
 def _order_behavior(td):
     return A.order_behavior(td.campaign, as_of=AS_OF)
 
 
 _WINNERS = f"""
-select distinct User_ID, {{col}} from fact_orders fs
-where {not_abnormal('fs')} and Lottery = '{{product}}' and Prize > 0 and fs.User_ID <> '1' {{extra}}"""
+select User_ID, {{col}} from fact_orders {CONTACTABLE}
+where {_ACTIVE} and Lottery = '{{product}}' {{extra}}
+group by all having max(Prize) > 0"""
 
 
 @query("winners_all", ("fact_orders",) + _ABN, _WINNERS.format(col="Draw_Period", product="Lucky Day", extra=""))
@@ -58,22 +72,20 @@ def _winners_by_series(td):
 
 
 @query("buyers", ("fact_orders_summary", "dim_games") + _ABN, f"""
-select fs.User_ID, g.Lottery,
- cast(datediff('day', max(fs.DateID), date '{AS_OF}') as int) as inactive_days,
- cast(count(distinct fs.Game_series) as bigint) as distinct_series_bought,
- max(fs.Draw_Period) as Last_active_period,
- cast(sum(fs.Entries) as bigint) as Tickets,
- cast(sum(fs.Turnover) as decimal(18,2)) as Turnover, cast(sum(fs.Prize) as decimal(18,2)) as Prize
-from fact_orders_summary fs join dim_games g on fs.GameID = g.GameID
-where g.Lottery = 'Lucky Day' and {not_abnormal('fs')} and fs.User_ID <> '1'
-group by fs.User_ID, g.Lottery""")
+, played as (
+ select * from fact_orders_summary semi join (select GameID from dim_games where Lottery = 'Lucky Day') using (GameID))
+select User_ID, 'Lucky Day' as Lottery, cast(date '{AS_OF}' - max(DateID) as int) as inactive_days,
+ cast(len(list_distinct(list(Game_series))) as bigint) as distinct_series_bought, max(Draw_Period) as Last_active_period,
+ cast(sum(Entries) as bigint) as Tickets, cast(sum(Turnover) as decimal(18,2)) as Turnover,
+ cast(sum(Prize) as decimal(18,2)) as Prize
+from played {CONTACTABLE} where {_ACTIVE} group by User_ID""")
 def _buyers(td):
     return A.buyers(td.campaign, "Lucky Day", as_of=AS_OF)
 
 
 _DRAW_GAME = f"""
-select distinct User_ID from fact_orders_summary fs
-where GameID = 72 {{extra}} and {not_abnormal('fs')} and fs.User_ID <> '1'"""
+select User_ID from fact_orders_summary {CONTACTABLE}
+where {_ACTIVE} and GameID = 72 {{extra}} group by User_ID"""
 
 
 @query("draw_game_by_draw", ("fact_orders_summary",) + _ABN,
@@ -91,7 +103,7 @@ _SETS = f"""
 select User_ID, Product_bought from (
  select fs.User_ID, array_to_string(list_sort(list_distinct(list(Lottery))), ', ') as Product_bought,
   bool_or(Lottery = '{{product}}') as has_product, count(distinct Lottery) as n_products
- from fact_orders fs where {not_abnormal('fs')} and fs.User_ID <> '1' group by fs.User_ID) s
+ from fact_orders fs {CONTACTABLE} where {_ACTIVE} group by fs.User_ID) s
 where {{cond}}"""
 
 
@@ -121,8 +133,8 @@ select q.*{tag_col} from (
  select fs.User_ID, {series_col}
   cast(sum(fs.Entries) as bigint) as Ticket, cast(sum(fs.Turnover) as decimal(18,2)) as Turnover,
   cast(sum(fs.Prize) as decimal(18,2)) as Prize
- from fact_orders_summary fs join dim_games g on fs.GameID = g.GameID
- where g.Lottery = '{product}' {price_cond} and {not_abnormal('fs')} and fs.User_ID <> '1'
+ from fact_orders_summary fs join dim_games g on fs.GameID = g.GameID {CONTACTABLE}
+ where g.Lottery = '{product}' {price_cond} and {_ACTIVE}
  group by fs.User_ID) q
 order by q.{by} desc nulls last, q.User_ID
 limit {n}"""
@@ -138,9 +150,8 @@ select r.*, '{product}' as Lottery{tag_col} from (
   select fs.Draw_Period, fs.User_ID,
    cast(sum(fs.Entries) as bigint) as Ticket, cast(sum(fs.Turnover) as decimal(18,2)) as Turnover,
    cast(sum(fs.Prize) as decimal(18,2)) as Prize
-  from fact_orders_summary fs join dim_games g on fs.GameID = g.GameID
-  where g.Lottery = '{product}' {price_cond} and fs.Draw_Period in ({_in(draws)})
-   and {not_abnormal('fs')} and fs.User_ID <> '1'
+  from fact_orders_summary fs join dim_games g on fs.GameID = g.GameID {CONTACTABLE}
+  where g.Lottery = '{product}' {price_cond} and fs.Draw_Period in ({_in(draws)}) and {_ACTIVE}
   group by fs.Draw_Period, fs.User_ID) q) r
 where r.Rank <= {n}"""
 
@@ -179,7 +190,7 @@ def _top_per_draw_instant(td):
 
 
 @query("rfm_segment", ("rfm_score",) + _ABN, f"""
-select User_ID, Segment from rfm_score r where Segment = 'Loyal' and {not_abnormal('r')}""")
+select User_ID, Segment from rfm_score {CONTACTABLE} where Segment = 'Loyal'""")
 def _rfm_segment(td):
     return A.rfm_segment(td.campaign, "Loyal")
 
@@ -190,9 +201,9 @@ def _rfm_segments(td):
 
 
 _DEPOSIT_SQL = f"""
-select d.User_ID, cast(count(top_up_id) as bigint) as attempt_transaction,
- cast(sum(case when top_up_state = 'Success' then top_up_amount end) as decimal(18,2)) as success_amount
-from fact_deposit d where {not_abnormal('d')} group by d.User_ID"""
+select User_ID, cast(count(top_up_id) as bigint) as attempt_transaction,
+ cast(sum(top_up_amount) filter (top_up_state = 'Success') as decimal(18,2)) as success_amount
+from fact_deposit {CONTACTABLE} group by User_ID"""
 
 
 @query("deposit_behavior", ("fact_deposit",) + _ABN, _DEPOSIT_SQL)
@@ -200,50 +211,37 @@ def _deposit_behavior(td):
     return A.deposit_behavior(td.campaign)
 
 
+# One list of movements per user. Signs: what a movement does to the balance.
+# A null user's deposits meet no other movement; withdrawals count only where their sum is positive.
 @query("wallet_balance", ("fact_deposit", "fact_orders_summary", "fact_withdraw", "fact_refund") + _ABN, f"""
-, depo as ({_DEPOSIT_SQL}),
-prize as (
- select fs.User_ID, sum(Turnover) as Turnover,
-  datediff('day', max(DateID), date '{AS_OF}') as inactive_days,
-  sum(case when GameID = 72 and Prize < 100000 then Prize end) as Draw_prize,
-  sum(case when GameID <> 72 then Prize end) as Other_prize
- from fact_orders_summary fs where {not_abnormal('fs')} and fs.User_ID <> '1' group by fs.User_ID),
-withdraw as (
- select w.User_ID, sum(withdrawal_amount) as withdraw from fact_withdraw w
- where withdrawal_status not in ('Bank reverted', 'Failure') and {not_abnormal('w')}
- group by w.User_ID having sum(withdrawal_amount) > 0),
-refund as (
- select r.User_ID, sum(Refund_amount) as refund from fact_refund r
- where Memo = 'Success' and {not_abnormal('r')} group by r.User_ID),
-j as (
- select d.User_ID, d.success_amount, coalesce(p.Turnover, 0) as Turnover, coalesce(rf.refund, 0) as refund,
-  coalesce(w.withdraw, 0) as withdraw, coalesce(p.Other_prize, 0) as Other_prize,
-  coalesce(p.Draw_prize, 0) as Draw_prize, p.inactive_days
- from depo d left join prize p on d.User_ID = p.User_ID left join withdraw w on d.User_ID = w.User_ID
- left join refund rf on d.User_ID = rf.User_ID
- where d.success_amount > 0),
-b as (
- select User_ID,
-  case when success_amount - Turnover - refund - withdraw + Other_prize + Draw_prize > 0
-       then success_amount - Turnover - refund - withdraw + Other_prize + Draw_prize else 0 end as bal,
-  case when Other_prize + Draw_prize - withdraw - Turnover > 0
-       then Other_prize + Draw_prize - withdraw - Turnover else 0 end as wdr,
-  inactive_days
- from j)
-select User_ID, cast(bal as decimal(18,2)) as balance, cast(wdr as decimal(18,2)) as Withdrawable_amount,
- case when bal <= 200 then '<=200' when bal <= 1000 then '<=1000' when bal <= 5000 then '<=5000' else '>5000' end
-  as balance_group,
- cast(inactive_days as int) as inactive_days
-from b""")
+, moves as (
+ select User_ID, 'paid in' as kind, top_up_amount as amount, null as played from fact_deposit where top_up_state = 'Success'
+ union all select User_ID, 'stake', -Turnover, DateID from fact_orders_summary where {_ACTIVE}
+ union all select User_ID, 'win', Prize, null from fact_orders_summary
+  where {_ACTIVE} and (GameID <> 72 or Prize < 100000)
+ union all select User_ID, 'refund', -Refund_amount, null from fact_refund where Memo = 'Success' and User_ID is not null
+ union all select User_ID, 'out', -greatest(sum(withdrawal_amount), 0), null from fact_withdraw
+  where withdrawal_status not in ('Bank reverted', 'Failure') and User_ID is not null group by User_ID),
+wallets as (
+ select User_ID, greatest(sum(amount), 0) as balance,
+  greatest(coalesce(sum(amount) filter (kind in ('stake', 'win', 'out')), 0), 0) as withdrawable,
+  date '{AS_OF}' - max(played) as idle
+ from moves {CONTACTABLE} group by User_ID having sum(amount) filter (kind = 'paid in') > 0)
+select User_ID, cast(balance as decimal(18,2)) as balance, cast(withdrawable as decimal(18,2)) as Withdrawable_amount,
+ coalesce((select label from (values (200, '<=200'), (1000, '<=1000'), (5000, '<=5000')) b(upto, label)
+           where balance <= upto order by upto limit 1), '>5000') as balance_group,
+ cast(idle as int) as inactive_days
+from wallets""")
 def _wallet_balance(td):
     return A.wallet_balance(td.campaign, as_of=AS_OF)
 
 
 @query("bank_declined", ("fact_deposit", "dim_fail_deposit_group") + _ABN, f"""
-select b.User_ID, dep.attempt_transaction, dep.success_amount
-from (select distinct d.User_ID from fact_deposit d join dim_fail_deposit_group f on d.gateway_memo = f.gateway_memo
-      where f.fail_group = 'Bank declined' and {not_abnormal('d')}) b
-left join ({_DEPOSIT_SQL}) dep on b.User_ID = dep.User_ID""")
+, refused as (
+ select User_ID from fact_deposit
+ where gateway_memo in (select gateway_memo from dim_fail_deposit_group where fail_group = 'Bank declined') group by User_ID)
+select r.User_ID, t.attempt_transaction, t.success_amount
+from refused r {CONTACTABLE} left join ({_DEPOSIT_SQL}) t on t.User_ID = r.User_ID""")
 def _bank_declined(td):
     return A.bank_declined(td.campaign)
 
@@ -256,3 +254,18 @@ def _must_exclude(td):
 @query("ticket_prices", ("dim_games",), "select distinct Unit_Price from dim_games where Lottery = 'Instant'")
 def _ticket_prices(td):
     return A.ticket_prices(td.campaign, "Instant")
+
+
+@query("audience_size", ("rfm_score",) + _ABN, f"""
+select count(*) as audience_size from rfm_score {CONTACTABLE} where Segment = 'Loyal'""")
+def _audience_size(td):
+    return audience_size(A.rfm_segment(td.campaign, "Loyal"))
+
+
+@query("audience_csv_round_trip", ("rfm_score",) + _ABN, f"""
+select User_ID, Segment from rfm_score {CONTACTABLE} where Segment = 'Loyal'""")
+def _audience_csv_round_trip(td):
+    """I4 then I1: an extract exported as CSV to the shared folder and read as an upload."""
+    folder = f"{ensure_checkpoint_dir(td.spark).rstrip('/')}/audience-{uuid.uuid4()}"
+    write_audience_csv(A.rfm_segment(td.campaign, "Loyal"), folder)
+    return read_upload(td.spark, folder, {"User_ID": "string", "Segment": "string"})

@@ -23,7 +23,7 @@ class QuerySpec:
     sql: str | None  # body after the WITH list; None = no SQL equivalent
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(TestData.shared(spark, sf_dir))
+        return self.build(TestData(spark, sf_dir))
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -44,6 +44,5 @@ def query(name: str, views: tuple[str, ...] | list[str], sql: str | None):
     return deco
 
 
-def not_abnormal(alias: str) -> str:
-    """SQL text of the must-not-contact exclusion (correlated NOT EXISTS)."""
-    return f"not exists (select 1 from vw_abnormal_users ab where ab.User_ID = {alias}.User_ID)"
+# SQL text of the must-not-contact exclusion, after a FROM item with a User_ID (a null id stays).
+CONTACTABLE = "anti join vw_abnormal_users using (User_ID)"

@@ -142,18 +142,6 @@ class TestData:
     """
 
     __test__ = False  # not a pytest test class
-    _shared: dict[tuple, "TestData"] = {}
-
-    @classmethod
-    def shared(cls, spark: SparkSession, sf_dir: str) -> "TestData":
-        """One instance per (Spark application, folder). The views are lazy,
-        immutable plans, so queries can share them: only the driver-side
-        work (reading footers, parsing and analysing the view SQL) is done
-        once; every query still executes from the parquet scans."""
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-        if key not in cls._shared:
-            cls._shared[key] = cls(spark, sf_dir)
-        return cls._shared[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark

@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__ as E
+from campaignlab.operators.activity import STAT_NAMES, TICKET_LABELS
 from campaignlab.plans import load_all
+from campaignlab.sources.fixtures import BASE_TABLES, TestData
 from tests.oracle import compare, compare_pandas, duck_connect
 
 NAMES = sorted(load_all())  # the campaign queries; corpus queries have tests of their own
@@ -90,3 +92,38 @@ SURVEY_COUNTS_SF0001 = {
     "reactivation_early": 5, "rg_limit_update": 150, "opt_out_update": 150, "user_status_update": 150,
     "status_update_all": 150,
 }
+
+
+# Ordered results: sort key of each row, ascending.
+_MONTHS = lambda r: (r.inactive_month == "FTP", int("".join(c for c in r.inactive_month if c.isdigit()) or 0))
+ORDERED = {
+    "winners_all": lambda r: (-r.Draw_Period, r.User_ID),
+    "top_overall": lambda r: (-r.Prize, r.User_ID),
+    "top_overall_series": lambda r: (-r.Turnover, r.User_ID),
+    "top_overall_price": lambda r: (-r.Ticket, r.User_ID),
+    "activity_by_ticket_segment": lambda r: TICKET_LABELS.index(r.ticket_segment),
+    "activity_stats": lambda r: STAT_NAMES.index(r.stat),
+    "reactivation": _MONTHS,
+    "reactivation_early": _MONTHS,
+}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_results(spark, sf001, name):
+    keys = [ORDERED[name](r) for r in E.queries()[name](spark, sf001).collect()]
+    assert len(keys) > 1 and keys == sorted(keys)
+
+
+# Building a plan runs nothing but schema reads of the inputs (the round trip writes its file).
+def test_building_plans_runs_no_query_jobs(spark, sf001):
+    specs = {n: s for n, s in load_all().items() if n != "audience_csv_round_trip"}
+    td = TestData(spark, sf001)
+    for t in BASE_TABLES:
+        td.table(t)
+    spark.sparkContext.setJobGroup("plans", "building plans")
+    try:
+        for s in specs.values():
+            s.build(td)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
