@@ -360,7 +360,7 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], tok
     return model
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 65_536, shard_tokens: int = 2_000_000,
+def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144, shard_tokens: int = 2_000_000,
               rounds: int = 2, rate: float = 0.01, modulus: int = 7, held: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).
