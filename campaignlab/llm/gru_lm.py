@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -45,25 +45,27 @@ class Window(NamedTuple):
     lanes: list[int]
 
 
-def feed(docs: Iterator[tuple[int, np.ndarray]], lanes: int, start: int) -> Iterator[Window]:
+def feed(docs: Iterator[tuple[int, np.ndarray]], lanes: int, start: int, ahead: int = 8) -> Iterator[Window]:
     """Deals a stream of documents to lanes: each lane reads on where it stopped
     and takes the next document when one ends, so windows stay full however
-    uneven the lengths. Lanes without text are dropped."""
+    uneven the lengths. Lanes are filled ``ahead`` windows at a time; lanes
+    without text are dropped."""
+    size = ahead * STEPS
     open_: list = [None] * lanes
     while True:
         n = len(open_)
-        x, y = np.zeros((n, STEPS), np.int64), np.zeros((n, STEPS), np.int64)
-        first, owner = np.zeros((n, STEPS), bool), np.full((n, STEPS), -1, np.int64)
+        x, y = np.zeros((n, size), np.int64), np.zeros((n, size), np.int64)
+        first, owner = np.zeros((n, size), bool), np.full((n, size), -1, np.int64)
         for i in range(n):
             t, lane = 0, open_[i]
-            while t < STEPS:
+            while t < size:
                 if lane is None:
                     got = next(docs, None)
                     if got is None:
                         break
                     lane = (*got, 0)
                 k, doc, at = lane
-                m = min(STEPS - t, len(doc) - at)
+                m = min(size - t, len(doc) - at)
                 y[i, t:t + m] = doc[at:at + m]
                 owner[i, t:t + m] = k
                 if at:
@@ -74,11 +76,14 @@ def feed(docs: Iterator[tuple[int, np.ndarray]], lanes: int, start: int) -> Iter
                 lane = (k, doc, at + m) if at + m < len(doc) else None
                 t += m
             open_[i] = lane
-        use = np.flatnonzero(owner[:, 0] >= 0).tolist()
-        if not use:
-            return
-        open_ = [open_[i] for i in use]
-        yield Window(x[use], y[use], first[use], owner[use], use)
+        alive = np.arange(n)
+        for t in range(0, size, STEPS):
+            use = np.flatnonzero(owner[alive, t] >= 0)
+            if not len(use):
+                return
+            alive, cut = alive[use], slice(t, t + STEPS)
+            yield Window(*(a[alive, cut] for a in (x, y, first, owner)), use.tolist())
+        open_ = [open_[i] for i in alive]
 
 
 class GruModel:
@@ -290,8 +295,8 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def symbol_docs(texts: list[bytes], symbols: dict[bytes, int], place: np.ndarray) -> list[np.ndarray]:
-    get = symbols.get
-    return [place[np.array([*(get(w, RARE) for w in words_of(t)), END], np.int64)] for t in texts]
+    lists = (list(map(symbols.get, words_of(t), repeat(RARE))) for t in texts)
+    return [place[np.array([*ids, END], np.int64)] for ids in lists]
 
 
 def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], tokens: int, shard_tokens: int,
@@ -399,7 +404,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144,
         names = ["d", "x", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "inner", "n_rare", "gru"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.int64(), pa.float64())
-        get, last = place_of.get, len(place_of)
+        get, last, end = place_of.get, len(place_of), np.array([-1], np.int64)
 
         def frame(cols: list, n: int):
             arrays = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
@@ -411,15 +416,14 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144,
                 size, places, seldom, many, per = [], [], [], [], []
                 for t in text_bytes(part.column("text")):
                     words = words_of(t)
-                    at = [get(w, last) for w in words]
+                    at = np.fromiter(map(get, words, repeat(last)), np.int64, len(words))
                     size.append(len(words) + 1)
-                    places += at
-                    places.append(-1)  # the end
-                    odd = Counter([w for w, k in zip(words, at) if k == last])
+                    places += [at, end]
+                    odd = Counter([words[i] for i in np.flatnonzero(at == last).tolist()])
                     seldom += odd
                     many += odd.values()
                     per.append(len(odd))
-                size, at = np.array(size, np.int64), np.array(places, np.int64)
+                size, at = np.array(size, np.int64), np.concatenate(places)
                 first = np.cumsum(size) - size
                 places = model.place[np.where(at < 0, END, np.where(at < len(known), at + 2, RARE))]
                 gru = model.score(np.split(places, first[1:])) / np.log(10)

@@ -54,7 +54,7 @@ def test_gradients_match_differences():
     m = GruModel(rng.integers(1, 50, 12), classes=3, hidden=4)
     m.p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in m.p.items()}
     docs = [rng.integers(0, 12, n) for n in (20, 9, 40, 3)]
-    w = next(feed(enumerate(docs), 2, m.start))
+    w = next(feed(enumerate(docs), 2, m.start, ahead=1))
     h0 = rng.standard_normal((2, 4)).astype(np.float32)
     m.recur = lambda *a, f=m.recur: f(*a).astype(np.float64)
     grads, _, _ = m.gradients(w, h0)
