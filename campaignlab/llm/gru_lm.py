@@ -30,8 +30,12 @@ BOUND = 3.0  # of output weights; states are within 1, so exponents stay below 3
 RARE, END = 0, 1  # symbols before the words of the vocabulary
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
 class Window(NamedTuple):
@@ -99,7 +103,7 @@ class GruModel:
         cls = np.unique(cls, return_inverse=True)[1]
         self.place = np.empty(len(by), np.int64)
         self.place[by] = np.arange(len(by))
-        self.cls = cls
+        self.cls = cls.astype(np.uint16)  # two-byte keys are sorted by radix
         self.edge = np.searchsorted(cls, np.arange(cls.max() + 2))
         k, n, h = len(by), cls.max() + 1, hidden
         total = np.add.reduceat(counts[by], self.edge[:-1])
@@ -114,55 +118,75 @@ class GruModel:
         return self.p["E"] @ self.p["W"] + self.p["b"]
 
     def recur(self, table: np.ndarray, w: Window, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step of a window; a state is cleared where a text starts."""
-        u, n = self.p["U"], self.hidden
-        xw, clear = table[w.x.T], ~w.first.T[..., None]
-        out = np.empty((STEPS, len(h), n), np.float32)
+        """States after each step of a window; a state is cleared where a text
+        starts. ``keep`` receives recurrent inputs, gates and candidates."""
+        u, n, lanes = self.p["U"], self.hidden, len(h)
+        xw, first = table[w.x.T], w.first.T
+        steps = 1 if keep is None else STEPS
+        inner = [np.empty((steps, lanes, m), table.dtype) for m in (3 * n, 2 * n, n)]
+        out = np.empty((STEPS, lanes, n), table.dtype)
         for t in range(STEPS):
-            h = h * clear[t]
-            a = h @ u
-            g = sigmoid(xw[t][:, :2 * n] + a[:, :2 * n])
-            c = np.tanh(xw[t][:, 2 * n:] + g[:, :n] * a[:, 2 * n:])
-            new = c + g[:, n:] * (h - c)
-            if keep is not None:
-                keep.append((h, a[:, 2 * n:], g, c))
-            out[t] = h = new
+            a, g, c = (x[t % steps] for x in inner)
+            if first[t].any():
+                h = h * ~first[t][:, None]
+            np.matmul(h, u, out=a)
+            np.add(xw[t][:, :2 * n], a[:, :2 * n], out=g)
+            sigmoid(g)
+            np.multiply(g[:, :n], a[:, 2 * n:], out=c)
+            c += xw[t][:, 2 * n:]
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= g[:, n:]
+            new += c
+            h = new
+        if keep is not None:
+            keep += inner
         return out
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
         """Log probability of places ``y`` after states ``h``; with ``grad`` also
-        the gradients of minus their sum, and ``grad['h']``."""
-        p, cls = self.p, self.cls[y]
-        z = h @ p["C"] + p["c"]
-        e = np.exp(z)  # states and weights are bounded, so this cannot overflow
-        s = e @ np.ones(e.shape[1], e.dtype)
-        rows = np.arange(len(y))
-        logp = z[rows, cls] - np.log(s)
+        the gradients of minus their sum, and ``grad['h']``. Rows are brought into
+        the order of their classes, so each class is one slice."""
+        p = self.p
+        by = np.argsort(self.cls[y], kind="stable")
+        h, y, rows = h[by], y[by], np.arange(len(y))
+        cls = self.cls[y]
+        cut = np.searchsorted(cls, np.arange(len(self.edge)))
+        z = h @ p["C"]
+        z += p["c"]
+        logp = z[rows, cls]
+        np.exp(z, out=z)  # states and weights are bounded, so this cannot overflow
+        s = z @ np.ones(z.shape[1], z.dtype)
+        logp -= np.log(s)
         if grad is not None:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            grad["C"], grad["c"] = h.T @ d, np.ones(len(d), d.dtype) @ d
-            grad["h"] = d @ p["C"].T
+            z /= s[:, None]
+            z[rows, cls] -= 1
+            grad["C"], grad["c"] = h.T @ z, np.ones(len(z), z.dtype) @ z
+            dh = z @ p["C"].T
             grad["O"], grad["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
-        by = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[by], np.arange(len(self.edge)))
         for k in range(len(self.edge) - 1):
-            lo, hi = self.edge[k], self.edge[k + 1]
-            i = by[cut[k]:cut[k + 1]]
-            if not len(i) or hi - lo == 1:
+            lo, hi, mine = self.edge[k], self.edge[k + 1], slice(cut[k], cut[k + 1])
+            if cut[k] == cut[k + 1] or hi - lo == 1:
                 continue
-            hk = h[i]
-            z = hk @ p["O"][lo:hi].T + p["o"][lo:hi]
-            e = np.exp(z)
-            s = e @ np.ones(hi - lo, e.dtype)
-            at = (np.arange(len(i)), y[i] - lo)
-            logp[i] += z[at] - np.log(s)
+            hk, at = h[mine], (rows[:cut[k + 1] - cut[k]], y[mine] - lo)
+            z = hk @ p["O"][lo:hi].T
+            z += p["o"][lo:hi]
+            logp[mine] += z[at]
+            np.exp(z, out=z)
+            s = z @ np.ones(hi - lo, z.dtype)
+            logp[mine] -= np.log(s)
             if grad is not None:
-                d = e / s[:, None]
-                d[at] -= 1
-                grad["O"][lo:hi], grad["o"][lo:hi] = d.T @ hk, np.ones(len(d), d.dtype) @ d
-                grad["h"][i] += d @ p["O"][lo:hi]
-        return logp
+                z /= s[:, None]
+                z[at] -= 1
+                grad["O"][lo:hi], grad["o"][lo:hi] = z.T @ hk, np.ones(len(z), z.dtype) @ z
+                dh[mine] += z @ p["O"][lo:hi]
+        out = np.empty_like(logp)
+        out[by] = logp
+        if grad is not None:
+            grad["h"] = np.empty_like(dh)
+            grad["h"][by] = dh
+        return out
 
     def score(self, docs: list[np.ndarray], lanes: int = 512) -> np.ndarray:
         """Natural log probability of each document (arrays of places)."""
@@ -187,24 +211,29 @@ class GruModel:
         loss = -float(self.outputs(states[t, k], w.y[k, t], g).sum())
         out = np.zeros_like(states)
         out[t, k] = g.pop("h")
-        before, ac, gate, c = (np.stack(x) for x in zip(*keep))
+        rec, gate, c = keep
+        clear, back = ~w.first.T[..., None], p["U"].T
+        before = np.concatenate([h0[None], states[:-1]]) * clear
         r, u = (np.ascontiguousarray(x) for x in (gate[..., :n], gate[..., n:]))
         # what a state's gradient is worth before the candidate, the update gate and the reset gate
-        to_c, to_u, to_r = (1 - u) * (1 - c * c), (before - c) * u * (1 - u), ac * r * (1 - r)
-        clear, back = ~w.first.T[..., None], p["U"].T
-        dxw, da = (np.empty((STEPS, len(w.x), 3 * n), np.float32) for _ in range(2))
+        to_c, to_u, to_r = (1 - u) * (1 - c * c), (before - c) * u * (1 - u), rec[..., 2 * n:] * r * (1 - r)
+        u *= clear
+        da, dc = np.empty_like(rec), np.empty_like(c)
         dh = np.zeros_like(h0)
         for s in range(STEPS - 1, -1, -1):
             dh = dh + out[s]
-            dc = dh * to_c[s]
-            np.multiply(dc, to_r[s], out=dxw[s, :, :n], casting="same_kind")
-            np.multiply(dh, to_u[s], out=dxw[s, :, n:2 * n], casting="same_kind")
-            dxw[s, :, 2 * n:] = dc
-            da[s, :, :2 * n] = dxw[s, :, :2 * n]
-            np.multiply(dc, r[s], out=da[s, :, 2 * n:], casting="same_kind")
-            dh = (dh * u[s] + da[s] @ back) * clear[s]
+            np.multiply(dh, to_c[s], out=dc[s])
+            np.multiply(dc[s], to_r[s], out=da[s, :, :n])
+            np.multiply(dh, to_u[s], out=da[s, :, n:2 * n])
+            np.multiply(dc[s], r[s], out=da[s, :, 2 * n:])
+            into = da[s] @ back
+            if not clear[s].all():
+                into *= clear[s]
+            dh *= u[s]
+            dh += into
         g["U"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
-        flat, symbols = dxw.reshape(-1, 3 * n), w.x.T.ravel()
+        da[..., 2 * n:] = dc  # what reaches the gates from the inputs: the candidate is not reset
+        flat, symbols = da.reshape(-1, 3 * n), w.x.T.ravel().astype(np.uint16)
         by = np.argsort(symbols, kind="stable")
         first = np.flatnonzero(np.diff(symbols[by], prepend=-1))
         per = np.zeros((len(p["E"]), 3 * n), np.float32)
