@@ -48,6 +48,8 @@ def main(argv=None) -> int:
     u.add_argument("--rg-limit", required=True)
     u.add_argument("--opt-out", required=True)
     u.add_argument("--user-status", required=True)
+    u.add_argument("--on-conflict", choices=("error", "max"), default="error",
+                   help="user ids uploaded with different statuses: fail, or take the largest text")
     u.add_argument("--out", required=True)
     d = sub.add_parser("derive-tables")
     d.add_argument("--sf-dir", required=True)
@@ -75,7 +77,7 @@ def main(argv=None) -> int:
             raise SystemExit("write the new snapshot to another folder, then swap it in")
         t = load_tables(spark, args.tables)
         out = run_update_user_status(t.users, read_upload(spark, args.rg_limit), read_upload(spark, args.opt_out),
-                                     read_upload(spark, args.user_status))
+                                     read_upload(spark, args.user_status), args.on_conflict)
         out.write.mode("overwrite").parquet(args.out)
         print(f"user snapshot written to {args.out}")
     elif args.cmd == "derive-tables":

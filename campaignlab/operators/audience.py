@@ -102,7 +102,11 @@ def winners(t: CampaignTables, product: str, draws: Sequence[int] | None = None,
     """E3a-c: distinct winners of a product, per draw.
 
     With no draws, all draws, newest first (D6: distinct, then sort). With
-    draws, only those draws; "Pick 3" selects on ``Series_No`` (D18)."""
+    draws, only those draws; "Pick 3" selects on ``Series_No`` (D18).
+
+    Draws are gathered per user, so one map-side combined shuffle by user
+    serves the distinct and the exclusion; a set holds at most the product's
+    draws. The draw is wrapped in a struct because a set drops nulls."""
     draws = _draw_list(draws)
     if by is None:
         by = "Series_No" if (product == "Pick 3" and draws is not None) else "Draw_Period"
@@ -110,7 +114,8 @@ def winners(t: CampaignTables, product: str, draws: Sequence[int] | None = None,
     o = exclude_test_accounts(o)
     if draws is not None:
         o = o.filter(F.col(by).isin(draws))
-    out = exclude_abnormal(o.select(USER, by).distinct(), t.abnormal)
+    won = o.groupBy(USER).agg(F.collect_set(F.struct(by)).alias("_draws"))
+    out = exclude_abnormal(won, t.abnormal).select(USER, F.explode("_draws").alias("_d")).select(USER, f"_d.{by}")
     if draws is None:
         out = out.orderBy(F.col(by).desc(), F.col(USER))
     return out

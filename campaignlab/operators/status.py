@@ -7,9 +7,9 @@ new).otherwise(old)`` per updated column; the caller writes the new snapshot
 once (one atomic overwrite, or ``MERGE INTO`` on a table format that has it).
 
 Scale: the upload is reduced to one row per key by a map-side-combined
-aggregate, then broadcast after a bounded count (else both sides shuffle on
-the key). Chained updates join on the same key, so the user table is
-shuffled at most once for all three.
+aggregate, then joined by key; Spark picks broadcast or shuffle from its bytes.
+Chained updates join on the same key, so the user table is shuffled at most
+once for all three.
 """
 
 from __future__ import annotations
@@ -116,9 +116,9 @@ def apply_user_status(users: DataFrame, upload: DataFrame, id_column: str = STAT
 
 def update_status(users: DataFrame, rg_limit: DataFrame, opt_out: DataFrame, user_status: DataFrame,
                   rg_id_column: str = RG_UPLOAD_ID, status_id_column: str = STATUS_UPLOAD_ID,
-                  status_column: str = STATUS_UPLOAD_VALUE) -> DataFrame:
+                  status_column: str = STATUS_UPLOAD_VALUE, on_conflict: str = "error") -> DataFrame:
     """The three updates in the reference order (RG limit, opt-out,
-    status) as one snapshot transform."""
+    status) as one snapshot transform; ``on_conflict`` as in U3."""
     out = apply_rg_limit(users, rg_limit, rg_id_column)
     out = apply_opt_out(out, opt_out)
-    return apply_user_status(out, user_status, status_id_column, status_column)
+    return apply_user_status(out, user_status, status_id_column, status_column, on_conflict)

@@ -8,11 +8,13 @@ subtraction, money by filtered sums over one list of signed movements."""
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from campaignlab.operators import audience as A
 from campaignlab.plans.extract import audience_size
 from campaignlab.plans.registry import CONTACTABLE, query
 from campaignlab.session import ensure_checkpoint_dir
+from campaignlab.sources.tables import load_tables, save_tables
 from campaignlab.sources.uploads import read_upload, write_audience_csv
 
 # Fixed test parameters.
@@ -269,3 +271,20 @@ def _audience_csv_round_trip(td):
     folder = f"{ensure_checkpoint_dir(td.spark).rstrip('/')}/audience-{uuid.uuid4()}"
     write_audience_csv(A.rfm_segment(td.campaign, "Loyal"), folder)
     return read_upload(td.spark, folder, {"User_ID": "string", "Segment": "string"})
+
+
+@query("order_behavior_stored", ("fact_orders_summary", "rfm_score"), f"""
+, totals as (
+ select User_ID, max(DateID) as latest, sum(Orders) as n, sum(Entries) as tickets, sum(Turnover) as spent, sum(Prize) as won
+ from fact_orders_summary group by User_ID),
+listed as (select User_ID from rfm_score where Segment = 'Loyal')
+select User_ID, cast(date '{AS_OF}' - latest as int) as inactive_days, cast(n as bigint) as Orders,
+ cast(tickets as bigint) as Tickets, cast(spent as decimal(18,2)) as Turnover, cast(won as decimal(18,2)) as Prize
+from totals anti join listed using (User_ID) where {_ACTIVE}""")
+def _order_behavior_stored(td):
+    """A table set saved to the shared folder and loaded again. Its stored
+    must-exclude list is a segment, not what the rule over the users gives."""
+    folder = f"{ensure_checkpoint_dir(td.spark).rstrip('/')}/tables-{uuid.uuid4()}"
+    loyal = td.table("rfm_score").filter("Segment = 'Loyal'").select("User_ID")
+    save_tables(replace(td.campaign, abnormal=loyal), folder, partition_facts=False)
+    return A.order_behavior(load_tables(td.spark, folder), as_of=AS_OF)

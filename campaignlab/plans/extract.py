@@ -85,6 +85,6 @@ def run_activity_check(t: CampaignTables, ids: DataFrame, start, end, title: str
 
 
 def run_update_user_status(users: DataFrame, rg_limit: DataFrame, opt_out: DataFrame,
-                           user_status: DataFrame) -> DataFrame:
+                           user_status: DataFrame, on_conflict: str = "error") -> DataFrame:
     """U5 under the reference's name: the updated user snapshot."""
-    return S.update_status(users, rg_limit, opt_out, user_status)
+    return S.update_status(users, rg_limit, opt_out, user_status, on_conflict=on_conflict)

@@ -99,6 +99,15 @@ def test_conflicting_status_upload_raises(spark):
     same = spark.createDataFrame([("2", "close"), ("2", "close")], "`User ID` string, `User Status` string")
     out = {r.User_ID: r.user_status for r in S.apply_user_status(users, same).collect()}
     assert out == {"1": "active", "2": "close"}
+    none = spark.createDataFrame([], "`User ID` string, user_id string, mail_status int, message_status int, sms_status int")
+    out = S.update_status(users, none, none.drop("User ID"), up, on_conflict="max")
+    assert {r.User_ID: r.user_status for r in out.collect()} == {"1": "active", "2": "locked"}
+
+
+def test_winners_keep_null_draws_and_drop_repeats(spark):
+    rows = [order("5", draw=d, prize="1.00") for d in (None, None, 7, 7)]
+    got = A.winners(tables(spark, orders=rows), "Lucky Day").collect()
+    assert [(r.User_ID, r.Draw_Period) for r in got] == [("5", 7), ("5", None)]
 
 
 def test_id_types_are_text(spark):

@@ -1,5 +1,9 @@
 """Every registered query against its DuckDB SQL on the derived test views."""
 
+import contextlib
+import io
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -114,9 +118,9 @@ def test_ordered_results(spark, sf001, name):
     assert len(keys) > 1 and keys == sorted(keys)
 
 
-# Building a plan runs nothing but schema reads of the inputs (the round trip writes its file).
+# Building a plan runs nothing but schema reads of the inputs (but for queries that write and read files).
 def test_building_plans_runs_no_query_jobs(spark, sf001):
-    specs = {n: s for n, s in load_all().items() if n != "audience_csv_round_trip"}
+    specs = {n: s for n, s in load_all().items() if n not in ("audience_csv_round_trip", "order_behavior_stored")}
     td = TestData(spark, sf001)
     for t in BASE_TABLES:
         td.table(t)
@@ -127,3 +131,19 @@ def test_building_plans_runs_no_query_jobs(spark, sf001):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["winners_by_draw", "winners_by_series", "buyers", "order_behavior", "wallet_balance"])
+def test_exclusion_reuses_the_shuffle_by_user(spark, sf001, name):
+    """Without broadcasts only the list is shuffled besides the rows: two exchanges by user alone."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        td = TestData(spark, sf001)
+        df = load_all()[name].build(td)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        assert len(re.findall(r"hashpartitioning\(User_ID#\d+, \d+\)", buf.getvalue())) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
