@@ -421,9 +421,17 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144,
     rare_v = max(v - len(known) - (1 if ends else 0), 0)
     model = GruModel(np.array([rare_n, ends, *known.values()], float))
     model = train_model(train, model, symbols, n, shard_tokens, rounds, rate)
-    place_of = {w: k for k, (w, _) in enumerate(top)}
-    logs = np.log10(np.array([*(c for _, c in top), 0], float) + 1)  # last: words that are not frequent
-    end_log = float(np.log10(ends + 1.0))
+    rank = {w: k for k, (w, _) in enumerate(top)}
+    # tables by rank; then words that are not frequent, then the end of a text
+    many = len(top)
+    own, frequent_ = np.arange(many + 2) < len(known), np.arange(many + 2) < many
+    places = model.place[np.where(own, np.arange(many + 2) + 2, RARE)].astype(np.int32)
+    places[-1] = model.place[END]
+    logs = np.log10(np.array([*(c for _, c in top), 0, ends], float) + 1)
+    inner = np.where(own, 0.0, logs)
+    inner[-1] = 0.0
+    is_known, is_rare = frequent_.astype(np.int8), (frequent_ & ~own).astype(np.int8)
+    is_known[-1] = ends > 0
 
     def scan(batches: Iterator) -> Iterator:
         from collections import Counter
@@ -433,7 +441,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144,
         names = ["d", "x", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "inner", "n_rare", "gru"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.int64(), pa.float64())
-        get, last, end = place_of.get, len(place_of), np.array([-1], np.int64)
+        get, end = rank.get, np.array([many + 1], np.int32)
 
         def frame(cols: list, n: int):
             arrays = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
@@ -442,35 +450,31 @@ def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144,
         for b in batches:
             for part in slices(b, "text", 8_000_000):
                 d, x = (part.column(c).to_numpy() for c in ("d", "x"))
-                size, places, seldom, many, per = [], [], [], [], []
+                size, ranks, seldom, times, per = [], [], [], [], []
                 for t in text_bytes(part.column("text")):
                     words = words_of(t)
-                    at = np.fromiter(map(get, words, repeat(last)), np.int64, len(words))
+                    at = np.fromiter(map(get, words, repeat(many)), np.int32, len(words))
                     size.append(len(words) + 1)
-                    places += [at, end]
-                    odd = Counter([words[i] for i in np.flatnonzero(at == last).tolist()])
+                    ranks += [at, end]
+                    odd = Counter([words[i] for i in np.flatnonzero(at == many).tolist()])
                     seldom += odd
-                    many += odd.values()
+                    times += odd.values()
                     per.append(len(odd))
-                size, at = np.array(size, np.int64), np.concatenate(places)
+                size, at = np.array(size, np.int64), np.concatenate(ranks)
                 first = np.cumsum(size) - size
-                places = model.place[np.where(at < 0, END, np.where(at < len(known), at + 2, RARE))]
-                gru = model.score(np.split(places, first[1:])) / np.log(10)
-                log = np.where(at < 0, end_log, logs[at])
-                outer = at >= len(known)
-                whole = lambda v: np.add.reduceat(v, first)
-                tokens_known = whole(((at >= 0) & (at < last)).astype(np.int64)) + (1 if ends else 0)
-                seen_rare = whole((outer & (at < last)).astype(np.int64))
+                gru = model.score(np.split(places[at], first[1:])) / np.log(10)
+                whole = lambda table, kind: np.add.reduceat(table[at], first, dtype=kind)
                 mark = [f" {i}:{j}" for i, j in zip(d.tolist(), x.tolist())]
                 yield frame([d, x, part.column("doc_id"), part.column("held_out"), mark, np.zeros(len(d), np.int64), size,
-                             tokens_known, whole(log), whole(np.where(outer, log, 0.0)), seen_rare, gru], len(d))
+                             whole(is_known, np.int64), whole(logs, float), whole(inner, float), whole(is_rare, np.int64), gru],
+                            len(d))
                 d, x = np.repeat(d, per), np.repeat(x, per)
                 for i in range(0, len(d), 100_000):
                     cut = slice(i, i + 100_000)
                     n = len(d[cut])
                     words = pa.array(seldom[cut], pa.binary()).cast(pa.string())
-                    yield frame([d[cut], x[cut], None, None, words, many[cut], np.zeros(n, np.int64), np.zeros(n, np.int64),
-                                 np.zeros(n), np.zeros(n), many[cut], np.zeros(n)], n)
+                    yield frame([d[cut], x[cut], None, None, words, times[cut], np.zeros(n, np.int64), np.zeros(n, np.int64),
+                                 np.zeros(n), np.zeros(n), times[cut], np.zeros(n)], n)
 
     keyed = rows.select(doc_key("doc_id", "text").alias("k"), "*").select("k.*", "doc_id", "held_out", "text")
     seen = keyed.mapInArrow(scan, "d long, x long, doc_id long, held_out boolean, word string, n long, n_tokens long, "
