@@ -5,9 +5,10 @@ The same per (User_ID, Lottery) in-window totals as the batch
 stream-static semi join with the audience, then a running aggregate. Orders
 outside the campaign window are filtered before the state store, so state is
 bounded by audience x products (no watermark needed: the grouping has no time
-key). Each trigger rewrites the small result table through ``foreachBatch``;
-progress and state live in the checkpoint location, so a restarted query
-resumes where it stopped.
+key). Each trigger writes the result table through ``foreachBatch`` to one of
+two folders in turn and then notes its number, so ``current_activity`` reads
+the last whole result while the next is written; progress and state live in
+the checkpoint location, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -40,16 +41,24 @@ def start_activity_monitor(spark: SparkSession, orders_path: str, ids: DataFrame
                            checkpoint_location: str, trigger_seconds: int = 60,
                            max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Run ``activity_stream`` over parquet order files landing in
-    ``orders_path``; after every trigger ``out_path`` holds the current
-    totals (parquet, overwritten)."""
+    ``orders_path``; ``current_activity(spark, out_path)`` gives the totals of
+    the last finished trigger."""
     reader = spark.readStream.schema(orders_schema())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     agg = activity_stream(reader.parquet(orders_path), ids, start, end)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/totals-{epoch_id % 2}")
+        batch.sparkSession.range(epoch_id, epoch_id + 1, 1, 1).write.mode("append").parquet(f"{out_path}/finished")
 
     return (agg.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint_location)
             .trigger(processingTime=f"{trigger_seconds} seconds").start())
+
+
+def current_activity(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals written by the last finished trigger of the monitor. Read it
+    before two more triggers end: then its folder is written again."""
+    last = spark.read.parquet(f"{out_path}/finished").agg(F.max("id")).first()[0]
+    return spark.read.parquet(f"{out_path}/totals-{last % 2}")

@@ -4,7 +4,7 @@ import tempfile
 
 from campaignlab.operators import activity as X
 from campaignlab.sources.fixtures import TestData
-from campaignlab.streaming.activity import start_activity_monitor
+from campaignlab.streaming.activity import current_activity, start_activity_monitor
 
 START, END = "2000-01-01 00:00:00", "2000-06-30 23:59:00"
 
@@ -30,5 +30,5 @@ def test_monitor_matches_batch(spark, sf001):
         q.processAllAvailable()
     finally:
         q.stop()
-    got = spark.read.parquet(scratch + "/out")
+    got = current_activity(spark, scratch + "/out")
     assert _rows(got) == _rows(X.activity_base(t, ids, START, END))
