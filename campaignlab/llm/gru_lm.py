@@ -94,7 +94,7 @@ class GruModel:
     """``counts``: training counts of the symbols (rare, end, words by falling
     frequency). ``order`` maps a symbol to its place, classes being stretches of places."""
 
-    def __init__(self, counts: np.ndarray, classes: int = 24, hidden: int = 12, seed: int = 11):
+    def __init__(self, counts: np.ndarray, classes: int = 32, hidden: int = 16, seed: int = 11):
         rng = np.random.default_rng(seed)
         counts = np.asarray(counts, float) + 1
         by = np.argsort(-counts, kind="stable")
@@ -394,7 +394,7 @@ def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], tok
     return model
 
 
-def lm_scores(docs: DataFrame, vocabulary: int = 1022, frequent: int = 262_144, shard_tokens: int = 2_000_000,
+def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 262_144, shard_tokens: int = 2_000_000,
               rounds: int = 2, rate: float = 0.01, modulus: int = 7, held: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10).

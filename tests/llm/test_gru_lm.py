@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from campaignlab.llm import gru_lm
 from campaignlab.llm.gru_lm import GruModel, feed, lm_scores
 from campaignlab.llm.queries import op8_gru_lm
 
@@ -101,3 +102,16 @@ def test_average_does_not_depend_on_the_number_of_partitions(spark, make):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     for other in got[1:]:
         assert all(abs(other[k] - v) < 1e-3 for k, v in got[0].items())
+
+
+def test_network_has_its_whole_size(make, monkeypatch):
+    seen = []
+
+    def look(docs, model, symbols, *rest):
+        seen.append((len(symbols), model.hidden, len(model.edge) - 1))
+        return model
+
+    monkeypatch.setattr(gru_lm, "train_model", look)
+    text = " ".join(f"w{i}" for i in range(3000))
+    assert lm_scores(make([(d, text) for d in range(8) if not held(d)])).count()
+    assert seen == [(2046, 16, 32)]
