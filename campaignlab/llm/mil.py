@@ -4,7 +4,7 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded
 from its shares of character classes, word lengths and repetition; gated
 attention (tanh and sigmoid branches) weighs the passages, and the weighted
 mean representation is scored. Weights come from document labels only, by Adam
-on a bounded sample of labelled rows; all documents are scored whole.
+on whole texts of a sample of labelled rows; all documents are scored whole.
 """
 
 from __future__ import annotations
@@ -118,9 +118,17 @@ class MilModel:
                 "w": f["z"].T @ d, "b": d.sum(0)}
 
     def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.01,
-            seed: int = 5) -> MilModel:
+            seed: int = 5, part: int = 65_536) -> MilModel:
+        """``x`` may lie on disk: about ``part`` passages of it are read at a time, a
+        bag always whole; a step adds up the gradients of its parts."""
         rng = np.random.default_rng(seed)
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
+        total, square = np.zeros((2, x.shape[1]))
+        for lo in range(0, len(x), part):
+            some = x[lo:lo + part].astype(float)
+            total, square = total + some.sum(0), square + (some * some).sum(0)
+        mean = total / len(x)
+        self.mean = mean.astype(np.float32)
+        self.std = np.sqrt(np.maximum(square / len(x) - mean * mean, 0)).astype(np.float32) + np.float32(1e-3)
         first = np.cumsum(bags) - bags
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -129,22 +137,37 @@ class MilModel:
             order = rng.permutation(len(bags))
             for lo in range(0, len(order), batch):
                 pick = order[lo:lo + batch]
-                size = bags[pick]
-                rows = np.repeat(first[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 t += 1
-                for k, g in self.gradients(x[rows], size, y[pick]).items():
-                    g = g + 1e-5 * self.p[k]
+                sums = {k: 1e-5 * v for k, v in self.p.items()}
+                for a, b in cuts(bags[pick], part):
+                    mine = pick[a:b]
+                    size = bags[mine]
+                    rows = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    for k, g in self.gradients(np.asarray(x[rows]), size, y[mine]).items():
+                        sums[k] = sums[k] + g * np.float32(len(mine) / len(pick))
+                for k, g in sums.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.99 * s[k] + 0.01 * g * g
                     self.p[k] = (self.p[k] - rate * m[k] / (1 - 0.9 ** t)
                                  / (np.sqrt(s[k] / (1 - 0.99 ** t)) + 1e-6)).astype(np.float32)
         return self
 
+    def pack(self) -> bytes:
+        return np.concatenate([v.ravel() for v in (self.mean, self.std, *self.p.values())]).astype(np.float32).tobytes()
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 60_000) -> MilModel:
+    def unpack(self, flat: np.ndarray) -> None:
+        n = len(self.mean)
+        self.mean, self.std, at = flat[:n].copy(), flat[n:2 * n].copy(), 2 * n
+        for k, v in self.p.items():
+            self.p[k] = flat[at:at + v.size].reshape(v.shape).copy()
+            at += v.size
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> MilModel:
     """Fits on about ``max_docs`` rows (doc_id, quality) of ``labels`` taken by hash
-    and the texts of ``docs`` with their ids, in hash order up to ``max_passages``
-    passages in all. Of rows that repeat an id the smallest text and label
+    and the whole texts of ``docs`` with their ids, however long. One task trains:
+    it keeps the passages in a file of its own and reads them batch by batch; the
+    driver gets the weights. Of rows that repeat an id the smallest text and label
     count. Without any labelled document the model is the untrained one."""
     model = MilModel(CLASSES + 4)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -165,14 +188,28 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_
                     [part.column("quality"), part.column("h"),
                      pa.array([x[e - n:e].tobytes() for e, n in zip(ends, bags)], pa.binary())], names=["quality", "h", "x"])
 
-    rows = picked.mapInArrow(passages, "quality int, h long, x binary").collect()
-    rows.sort(key=lambda r: (r["h"], r["quality"]))
-    bags = np.array([len(r["x"]) // (4 * (CLASSES + 4)) for r in rows], np.int64)
-    use = int((np.cumsum(bags) <= max_passages).sum())
-    if not use:
-        return model
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows[:use]), np.float32).reshape(-1, CLASSES + 4)
-    return model.fit(x, bags[:use], np.array([r["quality"] for r in rows[:use]], np.float32))
+    def fit(batches: Iterator) -> Iterator:
+        from tempfile import TemporaryFile
+
+        import pyarrow as pa
+
+        bags, y, width = [], [], 4 * (CLASSES + 4)
+        with TemporaryFile() as file:
+            for b in batches:
+                for quality, x in zip(b.column("quality").to_pylist(), b.column("x")):
+                    bags.append(file.write(x.as_buffer()) // width)
+                    y.append(quality)
+            if bags:
+                file.flush()
+                x = np.memmap(file, np.float32, "r", shape=(sum(bags), CLASSES + 4))
+                model.fit(x, np.array(bags, np.int64), np.array(y, np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([model.pack()], pa.binary())], names=["weights"])
+
+    got = (picked.mapInArrow(passages, "quality int, h long, x binary").repartition(1).sortWithinPartitions("h", "quality")
+           .mapInArrow(fit, "weights binary").collect())
+    if got:
+        model.unpack(np.frombuffer(bytes(got[0]["weights"]), np.float32))
+    return model
 
 
 def score_quality(docs: DataFrame, model: MilModel) -> DataFrame:

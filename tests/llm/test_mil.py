@@ -59,3 +59,30 @@ def test_odd_rows(spark, make, odd):
     none = train_quality(make(odd), labels.limit(0))
     train_quality(make([]), labels)
     assert score_quality(make(odd), none).count() == len(odd)
+
+
+def test_long_text_neither_ends_nor_leaves_the_sample(spark, make):
+    clean = "The house stands by the river and many people walk there. " * 12
+    noise = "$$ ## 0101 %% x1 |> " * 40
+    rows = [(i, (clean if i % 2 else noise) + f" {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+
+    def right(docs):
+        got = score_quality(make(rows), train_quality(make(docs), labels)).select("__row.doc_id", "score").collect()
+        return sum((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+    first = spark.sql("select id from range(200) order by xxhash64(id)").first()["id"]
+    giant = (clean if first % 2 else noise) * (30_000 if first % 2 else 15_000)  # over 60000 passages, first by hash
+    assert right(rows) == 200
+    assert right([(first, giant), *(r for r in rows if r[0] != first)]) == 200
+
+
+def test_parts_of_a_step_add_up():
+    rng = np.random.default_rng(2)
+    bags = rng.integers(1, 9, 60)
+    x, y = rng.standard_normal((bags.sum(), 6)).astype(np.float32), rng.integers(0, 2, 60).astype(np.float32)
+    whole, parts = (MilModel(6).fit(x, bags, y, epochs=3, batch=16, part=n) for n in (65_536, 7))
+    assert all(np.allclose(whole.p[k], parts.p[k], atol=1e-3) for k in whole.p)
+    other = MilModel(6)
+    other.unpack(np.frombuffer(whole.pack(), np.float32))
+    assert np.array_equal(other.forward(x, bags)["score"], whole.forward(x, bags)["score"])
