@@ -2,7 +2,8 @@
 
 1. Every document becomes the sequence of its non-blank lines (hash, words).
    Each line starts a *run*: the shortest stretch of lines from it on that holds
-   ``min_words`` words. Run hashes are rare: short boilerplate makes none alone.
+   ``min_words`` words; it also ends one, the shortest such stretch up to it.
+   Run hashes are rare: short boilerplate makes none alone.
 2. The earliest document with a run owns it. A document is paired with the
    owners of its runs only, so the pairs grow with the rows and never with the
    square of a group, whatever the frequency of a run; no run is left out. Two
@@ -10,6 +11,11 @@
    starts it, and its owner holds that same run.
 3. A pair is aligned by patience diff over line hashes; common blocks of
    ``min_words`` words or more are deleted from the later document.
+4. An alignment cannot hold crossing blocks, takes one copy of a repeated
+   passage and may split a block. So the runs that an earlier document owns are
+   deleted wherever the later one holds them. Every line of a common block lies
+   in a run inside it, from the line on or up to the block's end, so this
+   leaves no line of any block of ``min_words`` words an earlier document holds.
 """
 
 from __future__ import annotations
@@ -56,6 +62,40 @@ def runs(hashes: list[int], words: list[int], min_words: int) -> list[int]:
     return out
 
 
+def places(hashes: list[int], words: list[int], min_words: int) -> dict[int, list[int]]:
+    """By hash of a run, starting or ending at any line: where it lies, as starts
+    and ends in turn, merged where they meet."""
+    import struct
+
+    import xxhash
+
+    spans, total, at = set(), 0, 0
+    for i, w in enumerate(words):
+        while total < min_words and at < len(words):
+            total += words[at]
+            at += 1
+        if total < min_words:
+            break
+        spans.add((i, at))
+        total -= w
+    total, at = 0, 0
+    for i, w in enumerate(words):
+        total += w
+        while total - words[at] >= min_words:
+            total -= words[at]
+            at += 1
+        if total >= min_words:
+            spans.add((at, i + 1))
+    out: dict[int, list[int]] = {}
+    for i, end in sorted(spans):
+        flat = out.setdefault(xxhash.xxh64_intdigest(struct.pack(f"<{end - i}q", *hashes[i:end])) - 2**63, [])
+        if flat and i <= flat[-1]:
+            flat[-1] = max(flat[-1], end)
+        else:
+            flat += [i, end]
+    return out
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence of (a, b), sorted by a, with b rising: patience sorting."""
     tops, ends, back = [], [], []
@@ -141,30 +181,39 @@ def dedup_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
         for b in batches:
             seqs = [line_sequence(t) for t in text_bytes(b.column("text"))]
             cols = [pa.array([s[k] for s in seqs], pa.list_(pa.int32() if k != 1 else pa.int64())) for k in range(3)]
-            cols.append(pa.array([runs(s[1], s[2], min_words) for s in seqs], pa.list_(pa.int64())))
+            held = [places(s[1], s[2], min_words) for s in seqs]
+            cols.append(pa.array([list(h) for h in held], pa.list_(pa.int64())))
+            cols.append(pa.array([list(h.values()) for h in held], pa.list_(pa.list_(pa.int32()))))
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("x"), *cols],
-                                             names=["d", "x", "pos", "hashes", "words", "runs"])
+                                             names=["d", "x", "pos", "hashes", "words", "runs", "places"])
 
     seqs = materialize(rows.select("key.*", F.col(f"{ROW}.text").cast("string").alias("text"))
                        .mapInArrow(sequences, "d long, x long, pos array<int>, hashes array<long>, words array<int>, "
-                                              "runs array<long>")
+                                              "runs array<long>, places array<array<int>>")
                        .filter(F.size("runs") > 0))
-    keyed = seqs.select(F.struct("d", "x").alias("key"), F.explode(F.array_distinct("runs")).alias("run"))
+    keyed = (seqs.select(F.struct("d", "x").alias("key"), F.explode(F.arrays_zip("runs", "places")).alias("r"))
+             .select("key", F.col("r.runs").alias("run"), F.col("r.places").alias("places")))
     owners = materialize(keyed.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
                          .filter("owner <> last").select("run", "owner"))
-    pairs = keyed.join(owners, "run").filter("key <> owner").select("key", "owner").distinct()
+    pairs = (keyed.join(owners, "run").filter("key <> owner").groupBy("key", "owner")
+             .agg(F.collect_set("places").alias("owned")))
     side = seqs.select(F.struct("d", "x").alias("key"), "pos", "hashes", "words")
     other = seqs.dropDuplicates(["d", "x"]).select(F.struct("d", "x").alias("owner"), F.col("hashes").alias("earlier"))
     both = (pairs.join(side.dropDuplicates(["key"]), "key").join(other, "owner")
-            .select("key.*", "pos", "hashes", "words", "earlier"))
+            .select("key.*", "pos", "hashes", "words", "earlier", "owned"))
 
     def align(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("pos", "hashes", "words", "earlier")}
-            out = [[p[k] for k in common_lines(h, w, e, min_words)]
-                   for p, h, w, e in zip(c["pos"], c["hashes"], c["words"], c["earlier"])]
+            c = {n: b.column(n).to_pylist() for n in ("pos", "hashes", "words", "earlier", "owned")}
+            out = []
+            for p, h, w, e, owned in zip(c["pos"], c["hashes"], c["words"], c["earlier"], c["owned"]):
+                off = set(common_lines(h, w, e, min_words))
+                for flat in owned:
+                    for lo, hi in zip(flat[::2], flat[1::2]):
+                        off.update(range(lo, hi))
+                out.append([p[k] for k in sorted(off)])
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("x"), pa.array(out, pa.list_(pa.int32()))],
                                              names=["d", "x", "gone"])
 

@@ -82,3 +82,31 @@ def test_test_data(spark, sf001, texts):
     for d, t in texts:
         assert got[d] == len(want[(d, t)]), d
     assert sum(got.values()) > 0
+
+
+def every_block(rows, min_words):
+    """Lines of every stretch of ``min_words`` words that an earlier document holds, by comparing all stretches."""
+    keyed = sorted(rows)
+    seqs = [[(i, x.strip(), len(x.split())) for i, x in enumerate(t.split("\n")) if x.strip()] for _, t in keyed]
+    stretches = lambda s: [(i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+    out, seen = {}, set()
+    for (d, _), s in zip(keyed, seqs):
+        held = [(i, j, tuple(x for _, x, _ in s[i:j])) for i, j in stretches(s) if sum(w for *_, w in s[i:j]) >= min_words]
+        out[d] = sorted({s[k][0] for i, j, x in held if x in seen for k in range(i, j)})
+        seen |= {x for *_, x in held}
+    return out
+
+
+def test_no_block_of_an_earlier_document_stays(make):
+    long, short = (lambda i: " ".join([f"l{i}"] * 30)), (lambda i: " ".join([f"s{i}"] * 10))
+    rows = [(1, [long(1), long(2)]), (2, [long(2)]), (3, [long(2), long(1)]),  # crossing lines
+            (4, [long(3)]), (5, [long(3), "x", long(3)]),  # a passage held twice
+            (6, [short(1), "y", short(1), short(2), short(3), "z"]), (7, [short(1), short(2), short(3), "z"])]  # a split block
+    rng = random.Random(6)
+    lines = [" ".join([f"r{i}"] * n) for i, n in enumerate((1, 3, 8, 12, 12, 30))]
+    rows += [(d, rng.choices(lines, k=rng.randrange(1, 10)) + [""] * (d % 2)) for d in range(10, 40)]
+    rows = [(d, "\n".join(t)) for d, t in rows]
+    want = every_block(rows, 25)
+    assert (want[3], want[5], want[7]) == ([0, 1], [0, 2], [0, 1, 2, 3])
+    got = {r["__row"]["doc_id"]: list(r["deleted"]) for r in dedup_lines(make(rows)).collect()}
+    assert got == want
