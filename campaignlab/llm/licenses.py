@@ -64,7 +64,7 @@ FAMILIES = (
     ("wtfpl", "do what the fuck you want to public licen[sc]e", "fuck", "2"),
     ("isc", "isc licen[sc]e", "isc", ""),
     ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", ""),
-    ("unlicense", "unlicen[sc]e", "unlicense", ""),
+    ("unlicense", "unlicen[sc]e", "", ""),
     ("mit", "(?:mit|expat|x11) licen[sc]e", "", ""),
     ("bsd-2", "(?:2|two) clause bsd(?: licen[sc]e)?", "bsd", ""),
     ("bsd-2", "(?:simplified|freebsd) bsd licen[sc]e", "bsd", ""),

@@ -66,3 +66,12 @@ def test_odd_rows(make, odd):
     for r in got:
         assert tuple(r)[2:7] == brute(r["text"])
     assert scan_licenses(make([])).count() == 0
+
+
+def test_keywords_are_implied_by_their_pattern():
+    assert "unlicense" in scan_text("released under the unlicence", rules())[5]
+    for label, pattern, keys, _ in rules():
+        rest, before = pattern.pattern, None
+        while rest != before:
+            before, rest = rest, re.sub(rb"\(\?[^()]*\)\??", b"", rest)  # groups may be left out or differ
+        assert keys <= set(rest.split()), label
