@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlab.llm import sql
+from campaignlab.llm.align import align_tokenizers
 from campaignlab.llm.chat import chat_digests, format_chat
 from campaignlab.llm.common import ROW, read, remainder
 from campaignlab.llm.gru_lm import lm_scores
@@ -92,9 +93,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).selectExpr(DOC, "found.*")
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = align_tokenizers(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")),
+                           str(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.selectExpr(DOC, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mix_sources, op4_chat_format, op5_line_dedup,
-                                    op6_quality_mil, op7_simhash, op8_gru_lm, op9_decontaminate, op10_licenses)}
+                                    op6_quality_mil, op7_simhash, op8_gru_lm, op9_decontaminate, op10_licenses, op13_align)}
 
 
 def oracle_sql() -> dict[str, str]:
