@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignlab.llm.common import ROW, cuts, slices
+from campaignlab.llm.common import ROW, cuts, per_worker, slices
 from campaignlab.session import ensure_checkpoint_dir
 
 CUT = re.compile(r"(?<=\S) (?=.)", re.S)
@@ -83,7 +83,7 @@ class Aligner:
     """Aligns texts by tokenizers in the two files. Remembers up to ``memory``
     stretches; ``piece`` bounds the UTF-8 bytes of a text aligned at a time."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 400_000, piece: int = 2_000_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 600_000, piece: int = 2_000_000):
         import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
@@ -97,6 +97,7 @@ class Aligner:
         self.bytes = {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
         self.sizes = {k: np.array([len(x) for x in v], np.int64) for k, v in (("a", a), ("b", b))}
         self.universe, self.width = pair_universe(a, b), len(b)
+        self.codes = pa.array(self.universe)
         # each id in decimal with the sign that follows it: inside a group, or at its end
         self.shown = pa.array([f"{k}{sign}" for sign in ",|" for k in range(len(a))]
                               + [f"{k}{sign}" for sign in ",;" for k in range(len(b))], pa.string())
@@ -116,15 +117,33 @@ class Aligner:
         import pyarrow.compute as pc
 
         plain = words.to_pylist()
-        spaced = [f" {w}" for w in plain]
-        new = {"word": words, "a": id_lists([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]),
-               "b": id_lists(self.b.encode(plain, num_threads=1))}
-        want = pa.array([w.encode() for w in spaced], pa.binary())
+        new = {"word": words, "a": self.encode_a(plain), "b": id_lists(self.b.encode(plain, num_threads=1))}
+        want = pc.binary_join_element_wise("", words, " ").cast(pa.binary())  # a space before each
         same = [pc.equal(pc.binary_join(pa.ListArray.from_arrays(new[k].offsets, self.bytes[k].take(new[k].values)), b""),
                          want) for k in "ab"]
         new["good"] = pc.and_(*same)
         self.known = {k: pa.concat_arrays([v, new[k]]) for k, v in self.known.items()}
 
+    def encode_a(self, words: list[str], at_once: int = 500):
+        """Token ids by A of every stretch. Many are encoded as one text, which
+        is cut at the stretches' ends again: there a token ends. A stretch that
+        ends with white space (the end of its text) ends such a text too."""
+        import pyarrow as pa
+
+        texts, run = [], []
+        for w in words:
+            run.append(w)
+            if len(run) == at_once or w[-1].isspace():
+                texts.append(" " + " ".join(run))
+                run = []
+        if run:
+            texts.append(" " + " ".join(run))
+        ids = np.concatenate([np.array(e.ids, np.int32)
+                              for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        size = np.array([len(w.encode()) + 1 for w in words], np.int64)
+        until = np.searchsorted(np.cumsum(self.sizes["a"][ids]), np.cumsum(size)) + 1
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], until]).astype(np.int32)), pa.array(ids))
+
     def places(self, words):
         """Row of ``known`` of every stretch."""
         import pyarrow.compute as pc
@@ -171,8 +190,8 @@ class Aligner:
             if bad:
                 key = key[~np.isin(key // len(self.universe), list(bad))]
             pairs.append(key + lo * len(self.universe))
-        key, out["n"] = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
-        out["of"], out["pair"] = np.divmod(key, max(1, len(self.universe)))
+        key = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        out["of"], out["pair"] = np.divmod(key, len(self.universe))
         return out
 
     def align(self, stretches: list[list[str]], sizes: list[int]) -> dict:
@@ -187,14 +206,15 @@ class Aligner:
         at = self.places(lists.flatten())
         good = self.known["good"].take(at).to_numpy(zero_copy_only=False)
         bad = np.unique(doc[~good])
-        if len(bad):
+        if len(bad):  # else all take part
             keep = ~np.isin(doc, bad)
             doc, at = doc[keep], at.filter(pa.array(keep))
         n = len(stretches)
         out = {"bad": bad.tolist(), "shown": [], "pairs": np.zeros(0, np.int64)}
         start = np.zeros(n + 1, np.int64)  # bytes before each text, its space included
-        start[1:] = np.cumsum([0 if d in set(out["bad"]) or not w else size + 1
-                               for d, (w, size) in enumerate(zip(stretches, sizes))])
+        start[1:] = [size + 1 if w else 0 for w, size in zip(stretches, sizes)]
+        start[1 + bad] = 0
+        start = np.cumsum(start)
         ids, owner, end = {}, {}, {}
         for k in "ab":
             tokens = self.known[k].take(at)
@@ -205,13 +225,17 @@ class Aligner:
                                         "end": end[k] - start[owner[k]], row: np.arange(len(ids[k]), dtype=np.int64)})
         links = side("a", "i").join(side("b", "j"), keys=["doc", "end"], join_type="inner", use_threads=False)
         i, j = links["i"].to_numpy(), links["j"].to_numpy()
-        both = np.unique(end["a"][i])  # ends of groups
+        order = np.argsort(i, kind="stable")  # a join keeps no order
+        i, j = i[order], j[order]
+        both = end["a"][i]
+        both = both[np.diff(both, append=-1) != 0]  # ends of groups
         for k in "ab":
             out[f"n_{k}"] = np.bincount(owner[k], minlength=n)
         out["n_links"] = np.bincount(owner["a"][i], minlength=n)
         out["n_groups"] = np.bincount(np.searchsorted(start, both, "left") - 1, minlength=n)
-        out["pairs"] = owner["a"][i] * len(self.universe) + np.searchsorted(
-            self.universe, ids["a"][i].astype(np.int64) * self.width + ids["b"][j])
+        linked = pa.array(ids["a"][i].astype(np.int64) * self.width + ids["b"][j])
+        numbers = pc.index_in(linked, value_set=self.codes).to_numpy(zero_copy_only=False)
+        out["pairs"] = owner["a"][i] * len(self.universe) + numbers
         # Text of the groups: each group's A tokens, then its B tokens.
         group = {k: np.searchsorted(both, end[k], "left") for k in "ab"}
         until = {k: np.cumsum(np.bincount(group[k], minlength=len(both))) for k in "ab"}
@@ -266,8 +290,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str,
     counts = [T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")]
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(ROW, rows.schema[ROW].dataType), *counts,
                            T.StructField("groups_sha256", T.StringType()),
-                           T.StructField("pairs", T.ArrayType(T.IntegerType())), T.StructField("ns", T.ArrayType(T.IntegerType())),
-                           T.StructField("pair", T.IntegerType()), T.StructField("n", T.LongType())])
+                           T.StructField("pairs", T.ArrayType(T.IntegerType())), T.StructField("pair", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def encode(batches: Iterator) -> Iterator:
         import os
@@ -275,31 +298,32 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str,
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner, partial = Aligner(a_path, b_path, piece=slice_bytes), []
+        aligner = per_worker(("aligner", a_path, b_path, slice_bytes), lambda: Aligner(a_path, b_path, piece=slice_bytes))
+        partial = []
 
-        def record(rows: int, kind, **cols):
-            empty = {"pairs": pa.nulls(rows, pa.list_(pa.int32())), "ns": pa.nulls(rows, pa.list_(pa.int32())),
-                     "pair": pa.nulls(rows, pa.int32()), "groups_sha256": pa.nulls(rows, pa.string()), ROW: pa.nulls(rows, kind)}
-            full = {"part": pa.array(np.full(rows, "pair" in cols, np.int32))} | {
-                f.name: cols[f.name] if f.name in cols else empty.get(f.name, pa.nulls(rows, pa.int64())) for f in schema.fields[1:]}
-            return pa.RecordBatch.from_arrays(list(full.values()), list(full))
+        def record(size: int, **cols):
+            """A batch of the written table; columns that are not given are null."""
+            missing = {f.name: pa.nulls(size, kinds[f.name]) for f in schema if f.name not in cols}
+            return pa.RecordBatch.from_arrays([cols[c] if c in cols else missing[c] for c in schema.names], schema.names)
 
-        kind = None
+        kinds = {"groups_sha256": pa.string(), "pairs": pa.list_(pa.int32()), "part": pa.int32(), "pair": pa.int32()}
+        kinds |= {f.name: pa.int64() for f in schema if f.name not in kinds}
         for whole in batches:
-            kind = whole.column(0).type
+            kinds[ROW] = whole.column(0).type
             for b in slices(whole, "text", slice_bytes):
                 got = aligner.batch(b.column(1).to_pylist())
+                pair = pa.array(got["pair"].astype(np.int32))
                 offsets = pa.array(np.searchsorted(got["of"], np.arange(len(b) + 1)).astype(np.int32))
-                pair, ns = pa.array(got["pair"].astype(np.int32)), pa.array(got["n"].astype(np.int32))
-                yield record(len(b), kind, **{ROW: b.column(0)}, groups_sha256=pa.array(got["sha"], pa.string()),
-                             pairs=pa.ListArray.from_arrays(offsets, pair), ns=pa.ListArray.from_arrays(offsets, ns),
+                yield record(len(b), part=pa.array(np.zeros(len(b), np.int32)), groups_sha256=pa.array(got["sha"], pa.string()),
+                             pairs=pa.ListArray.from_arrays(offsets, pair), **{ROW: b.column(0)},
                              **{f.name: pa.array(got[f.name]) for f in counts})
-                partial.append(added([pa.table({"pair": pair, "n": pa.array(got["n"].astype(np.int64))})]))
+                counted = pa.table({"pair": pair}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+                partial.append(counted.rename_columns(["pair", "n"]))
                 if sum(map(len, partial)) > 1_000_000:
                     partial = [added(partial)]
         if partial:
-            for b in added(partial).to_batches():
-                yield record(len(b), kind, pair=b.column(0), n=b.column(1))
+            for b in added(partial).combine_chunks().to_batches():
+                yield record(len(b), part=pa.array(np.ones(len(b), np.int32)), pair=b.column("pair"), n=b.column("n"))
 
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/align-{uuid.uuid4()}"
     rows.mapInArrow(encode, schema).write.parquet(folder)
@@ -319,15 +343,15 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str,
 
         count, best = table.value
         for b in batches:
-            pairs, ns = b.column("pairs"), b.column("ns").flatten().to_numpy().astype(np.int64)
+            pairs = b.column("pairs")
             at = pairs.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             sums = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]))
             out = {c: b.column(c) for c in (ROW, "n_a", "n_b", "n_groups", "n_links")}
-            out |= {"n_best": sums(ns * best[at]), "count_sum": sums(ns * count[at]), "groups_sha256": b.column("groups_sha256")}
+            out |= {"n_best": sums(best[at]), "count_sum": sums(count[at]), "groups_sha256": b.column("groups_sha256")}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     result = T.StructType([schema[ROW], *counts, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType()),
                            schema["groups_sha256"]])
-    return written.filter("part = 0").select(ROW, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "ns") \
+    return written.filter("part = 0").select(ROW, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs") \
         .mapInArrow(look_up, result)

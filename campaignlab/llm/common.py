@@ -45,6 +45,17 @@ def hashed_share(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("share"), *cols), F.lit(n)) < rows) if n > rows else df
 
 
+def per_worker(key: tuple, make):
+    """The object ``make()`` gives, made once in a Python worker process and kept for
+    its later tasks. Shipped functions carry their own globals, so it is kept in ``sys``."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_campaignlab_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa
