@@ -17,9 +17,11 @@ from campaignlab.llm.licenses import scan_licenses
 from campaignlab.llm.line_dedup import dedup_lines
 from campaignlab.llm.mil import score_quality, train_quality
 from campaignlab.llm.mixing import mix_sources
+from campaignlab.llm.negatives import hard_negatives
 from campaignlab.llm.quality_rules import quality_rules
 from campaignlab.llm.simhash import simhash_groups
 from campaignlab.llm.tokens import token_counts
+from campaignlab.llm.topk import top_k
 from campaignlab.llm.wu_manber import find_benchmark
 
 # Production parameter: shares of the output's characters by source.
@@ -93,6 +95,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).selectExpr(DOC, "found.*")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = top_k(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    table = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(table, lambda vec_id: vec_id % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,8 +117,9 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_mix_sources, op4_chat_format, op5_line_dedup,
-                                    op6_quality_mil, op7_simhash, op8_gru_lm, op9_decontaminate, op10_licenses, op13_align)}
+                                    op6_quality_mil, op7_simhash, op8_gru_lm, op9_decontaminate, op10_licenses, op11_top_k, op12_hard_negatives, op13_align)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": sql.mix(MIX), "op4_chat_format": sql.CHAT, "op9_decontaminate": sql.DECONTAMINATE}
+    return {"op3_mix_sources": sql.mix(MIX), "op4_chat_format": sql.CHAT, "op9_decontaminate": sql.DECONTAMINATE,
+            "op11_top_k": sql.TOP_K, "op12_hard_negatives": sql.HARD_NEGATIVES}

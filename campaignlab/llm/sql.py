@@ -69,3 +69,35 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
 from doc_words d left join hits h using (doc_id) left join ids i using (doc_id)
 """
+
+WHOLE = """select row_number() over () as uid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where embedding is not null
+    and coalesce(list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))), true)"""
+
+TOP_K = f"""
+with rows as ({WHOLE}),
+scored as (
+  select q.uid, q.vec_id as query_id, c.vec_id, c.uid as other, list_dot_product(q.v, c.v)::bigint as score
+  from rows q join rows c on q.uid <> c.uid where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by uid order by score desc, vec_id nulls last, other)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+HARD_NEGATIVES = f"""
+with whole as ({WHOLE}),
+rows as (select uid, vec_id, v, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label
+         from whole where label is not null),
+scored as (
+  select a.uid, a.vec_id as anchor_id, a.label = c.label as same, c.uid as other, c.vec_id as id,
+         list_dot_product(a.v, c.v)::bigint as score
+  from rows a join rows c on a.uid <> c.uid where a.vec_id % 100 = 0),
+positives as (
+  select * from (select *, row_number() over (partition by uid order by score desc, id nulls last, other) as n
+                 from scored where same) where n <= 5),
+ranked as (
+  select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+         row_number() over (partition by p.uid, p.other order by s.score desc, s.id nulls last, s.other)::int as rank
+  from positives p join scored s on p.uid = s.uid and not s.same
+    and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
