@@ -83,7 +83,7 @@ class Aligner:
     """Aligns texts by tokenizers in the two files. Remembers up to ``memory``
     stretches; ``piece`` bounds the UTF-8 bytes of a text aligned at a time."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 400_000, piece: int = 1_000_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 1_000_000, piece: int = 1_000_000):
         import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
@@ -342,14 +342,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str,
         import pyarrow as pa
 
         count, best = table.value
-        for b in batches:
-            pairs = b.column("pairs")
-            at = pairs.flatten().to_numpy()
-            ends = np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            sums = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]))
-            out = {c: b.column(c) for c in (ROW, "n_a", "n_b", "n_groups", "n_links")}
-            out |= {"n_best": sums(best[at]), "count_sum": sums(count[at]), "groups_sha256": b.column("groups_sha256")}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        for whole in batches:
+            links = whole.column("pairs").value_lengths().to_numpy(zero_copy_only=False)
+            for lo, hi in cuts(links.tolist(), slice_bytes):
+                b = whole.slice(lo, hi - lo)
+                at = b.column("pairs").flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(links[lo:hi])]).astype(np.int64)
+                sums = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[ends]))
+                out = {c: b.column(c) for c in (ROW, "n_a", "n_b", "n_groups", "n_links")}
+                out |= {"n_best": sums(best[at]), "count_sum": sums(count[at]), "groups_sha256": b.column("groups_sha256")}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     result = T.StructType([schema[ROW], *counts, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType()),
                            schema["groups_sha256"]])
