@@ -1,11 +1,13 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with character offsets. Two
-neighbouring chunks are spliced at a boundary that both encodings share and
-that is *stable*: tokens on its left cannot depend on what is on its right and
-the other way round. Where the overlap holds no such boundary it is widened,
-at last to the whole remainder, so counts always equal those of encoding the
-text in one call, while memory is bound by the chunk.
+A huge text is encoded in overlapping chunks. Two neighbouring chunks are spliced
+at a boundary that both encodings share and that is *stable*: tokens on its left
+cannot depend on what is on its right and the other way round. Offsets are taken
+only in the overlap: its own encoding, with character offsets, tells the tokens
+on both sides of a stable place, and they must be the last tokens of the left chunk
+and the first of the right one. Where no place of the overlap aligns so, the
+overlap is widened, at last to all that is left of the old chunk, so counts always
+equal those of encoding the text in one call, while memory is bound by the chunk.
 
 Why the boundaries are stable for this vocabulary: its normaliser (NFC, white
 space to one space, per-character lower case) never joins characters across
@@ -19,11 +21,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW
+from campaignlab.llm.common import ROW, per_worker
 
 # ASCII white space to the right, or ASCII digit next to an ASCII letter or digit.
 STABLE = re.compile(r"(?=[ \t\n\r])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
@@ -35,15 +38,19 @@ class TokenCounter:
 
     Texts of up to ``chunk`` characters are cut at white space (the same proof)
     and the library's count of each piece is remembered, for up to ``memory``
-    pieces of at most 48 characters."""
+    pieces of at most 48 characters. ``divider`` is a special token of the
+    tokenizer: new pieces are counted by the hundred, with one between them."""
 
-    def __init__(self, path: str, chunk: int = 8192, overlap: int = 256, memory: int = 400_000):
+    def __init__(self, path: str, chunk: int = 8192, overlap: int = 256, memory: int = 700_000,
+                 divider: str = "<|startoftext|>"):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.chunk, self.overlap, self.memory = chunk, overlap, memory
+        special = {t.content: k for k, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.divider, self.divider_id = divider, special.get(divider)
         self.known: dict[str, int] = {}
         self.widened = 0
 
@@ -60,51 +67,69 @@ class TokenCounter:
                 pieces = PIECE.findall(t)
                 short.append((i, pieces))
                 fresh.update((p, None) for p in pieces if p not in known)
-        new = list(fresh)
-        counts = dict(zip(new, (len(e) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        counts = self.sizes(list(fresh))
         known.update((p, n) for p, n in counts.items() if len(p) <= 48)
         for i, pieces in short:
             out[i] = sum([known[p] if p in known else counts[p] for p in pieces])
         return out
 
-    def encode(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(start, end, id) of each token of text[lo:hi], offsets in the whole text."""
-        e = self.tok.encode(text[lo:hi], add_special_tokens=False)
-        return [(s + lo, t + lo, i) for (s, t), i in zip(e.offsets, e.ids)]
-
-    def boundary(self, text: str, lo: int, hi: int, left: list, right: list) -> int | None:
-        """The last stable place in (lo, hi) before which, back to an earlier
-        stable place, both encodings have the same tokens."""
-        stable = [m.start() for m in STABLE.finditer(text, lo + 1, hi)]
-        a = [t for t in left if t[1] > lo]
-        b = [t for t in right if t[0] < hi]
-        for q, p in zip(stable[-2::-1], stable[:0:-1]):
-            x = [t for t in a if t[0] < p and t[1] > q]
-            y = [t for t in b if t[0] < p and t[1] > q]
-            if x and x == y and x[0][0] >= q and all(t[1] <= p for t in x):
-                return p
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def sizes(self, pieces: list[str], at_once: int = 100) -> dict[str, int]:
+        """Tokens of each piece. The library cuts a text at special strings before
+        all else, so pieces between dividers are encoded as if alone."""
+        if self.divider_id is None:
+            return dict(zip(pieces, map(len, self.ids(pieces))))
+        alone = [p for p in pieces if self.divider in p]
+        others = [p for p in pieces if self.divider not in p] if alone else pieces
+        out = dict(zip(alone, map(len, self.ids(alone))))
+        groups = [others[k:k + at_once] for k in range(0, len(others), at_once)]
+        mark = self.divider
+        for group, ids in zip(groups, self.ids([f"{mark}{mark.join(g)}{mark}" for g in groups])):
+            out.update(zip(group, (np.diff(np.flatnonzero(ids == self.divider_id)) - 1).tolist()))
+        return out
+
+    def splice(self, text: str, lo: int, hi: int, zone, left: np.ndarray, right: np.ndarray) -> tuple[int, int, int] | None:
+        """The last stable place of the overlap text[lo:hi] where the encodings of both chunks
+        agree, the number of tokens the right chunk has before it and the left one after it."""
+        ids = np.array(zone.ids, np.int32)
+        starts, ends = np.array(zone.offsets, np.int64).reshape(-1, 2).T + lo
+        for m in reversed(list(STABLE.finditer(text, lo + 1, hi))):
+            p = m.start()
+            head, tail = int((ends <= p).sum()), int((starts >= p).sum())
+            if (head and tail and head + tail == len(ids) and np.array_equal(ids[:head], right[:head])
+                    and np.array_equal(ids[head:], left[-tail:])):
+                return p, head, tail
         return None
 
-    def resynchronise(self, text: str) -> int:
-        n, total, start, end = len(text), 0, 0, self.chunk
-        left = self.encode(text, 0, end)
-        while end < n:
-            width, p = self.overlap, None
-            while p is None:
-                lo = max(start, end - width)
-                hi = min(n, lo + width + self.chunk)
-                right = self.encode(text, lo, hi)
-                if lo == start:  # the overlap holds all that is left of the old chunk
-                    left, end, p = right, hi, start
-                    break
-                p = self.boundary(text, lo, end, left, right)
-                if p is None:
+    def resynchronise(self, text: str, at_once: int = 32) -> int:
+        n, total = len(text), 0
+        spans = [(max(0, k - self.overlap), k, min(n, k + self.chunk)) for k in range(0, n, self.chunk)]
+        start = end = taken = 0  # of the current chunk: its first place, its end, tokens that the chunk before has
+        left = None
+        for g in range(0, len(spans), at_once):
+            group = spans[g:g + at_once]
+            zones = self.tok.encode_batch([text[lo:k] for lo, k, _ in group], add_special_tokens=False)
+            for (lo, _, hi), right, zone in zip(group, self.ids([text[lo:hi] for lo, _, hi in group]), zones):
+                if left is None:
+                    left, end = right, hi
+                    continue
+                found = self.splice(text, lo, end, zone, left, right)
+                while found is None:
                     self.widened += 1
-                    width *= 4
-            if p > start:
-                total += sum(start <= s and e <= p for s, e, _ in left)
-                left, end, start = right, hi, p
-        return total + sum(s >= start for s, _, _ in left)
+                    lo = end - 4 * (end - lo)
+                    if lo <= start:  # the overlap holds all that is left of the old chunk
+                        break
+                    right, zone = self.ids([text[lo:hi]])[0], self.tok.encode(text[lo:end], add_special_tokens=False)
+                    found = self.splice(text, lo, end, zone, left, right)
+                if found is None:  # one chunk from the last splice on, which is stable
+                    left, end, taken = self.ids([text[start:hi]])[0], hi, 0
+                    continue
+                total += len(left) - taken - found[2]
+                start, taken = found[:2]
+                left, end = right, hi
+        return total + len(left) - taken
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int = 8192, overlap: int = 256,
@@ -122,7 +147,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = TokenCounter(tokenizer, chunk, overlap)
+        counter = per_worker(("counter", tokenizer, chunk, overlap), lambda: TokenCounter(tokenizer, chunk, overlap))
         for part in parts:
             yield pd.Series(counter.count([t or "" for t in part]), dtype="int64")
 
