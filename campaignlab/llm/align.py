@@ -83,7 +83,7 @@ class Aligner:
     """Aligns texts by tokenizers in the two files. Remembers up to ``memory``
     stretches; ``piece`` bounds the UTF-8 bytes of a text aligned at a time."""
 
-    def __init__(self, a_path: str, b_path: str, memory: int = 1_000_000, piece: int = 1_000_000):
+    def __init__(self, a_path: str, b_path: str, memory: int = 400_000, piece: int = 2_000_000):
         import pyarrow as pa
         import sentencepiece
         from tokenizers import Tokenizer
@@ -146,13 +146,15 @@ class Aligner:
 
     def places(self, words):
         """Row of ``known`` of every stretch."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         coded = words.dictionary_encode()
         at = pc.index_in(coded.dictionary, value_set=self.known["word"])
         if at.null_count:
-            self.learn(coded.dictionary.filter(pc.is_null(at)))
-            at = pc.index_in(coded.dictionary, value_set=self.known["word"])
+            new, n = at.is_null(), len(self.known["word"])
+            self.learn(coded.dictionary.filter(new))
+            at = pc.replace_with_mask(at, new, pa.array(np.arange(n, len(self.known["word"]), dtype=np.int32)))
         return at.take(coded.indices)
 
     def batch(self, texts: list[str | None]) -> dict:
@@ -274,7 +276,7 @@ def added(tables: list):
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("doc_id",),
-                     text: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
+                     text: str = "text", slice_bytes: int = 2_000_000) -> DataFrame:
     """Per row of ``docs``: struct ``__row`` of the columns ``keep``, n_a, n_b (tokens),
     n_groups, n_links, n_best (links whose id pair is the most frequent of its B id in
     the corpus, ties included), count_sum (over links, of their pair's count) and
