@@ -89,12 +89,31 @@ def as_date(value) -> Column:
     return F.lit(str(value)[:10]).cast("date")
 
 
+def until(df: DataFrame, col: str, as_of) -> DataFrame:
+    """Rows up to and including the day ``as_of`` (``None``: all rows). Rows without a date, and
+    all rows of a frame without the column ``col``, count at every day."""
+    if as_of is None or col not in df.columns:
+        return df
+    bound = F.date_add(as_date(as_of), 1).cast(df.schema[col].dataType)
+    return df.filter(F.col(col).isNull() | (F.col(col) < bound))
+
+
 def inactive_days(date_col: str, as_of=None) -> Column:
     """Whole days from the last activity date to ``as_of`` (an aggregate
     expression; ``as_of`` replaces the server clock, default today)."""
     return F.datediff(as_date(as_of), F.max(date_col))
 
 
+DAYS_PER_MONTH = 30
+
+
+def inactive_label(last: Column, start: Column) -> Column:
+    """Whole 30-day months from a last order day to the start day, as the report's label."""
+    days = F.datediff(start, last)
+    months = ((days - days % DAYS_PER_MONTH) / DAYS_PER_MONTH).cast("int")  # toward zero, as integer division
+    return F.concat(F.lit(">= "), months.cast("string"), F.lit(" month"))
+
+
 def bucket(c: Column, edges: Sequence, labels: Sequence[str], equal_first: bool = False) -> Column:
     """Ordered bucket label. ``labels[i]`` for ``c <= edges[i]`` (or
     ``c == edges[0]`` when ``equal_first``), the last label otherwise; a null

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlab.functions.blocks import (
-    MONEY, USER, aggregate_for_audience, as_date, avg_spend, before, bucket, bucket_rank, in_window,
+    MONEY, USER, aggregate_for_audience, as_date, avg_spend, before, bucket, bucket_rank, in_window, inactive_label,
     money_sum,
 )
 from campaignlab.functions.quantile import VALUE_TYPE, median_from_histogram, value_bins, value_histogram
@@ -34,7 +34,6 @@ TICKET_EDGES = (1, 5, 10, 50, 100, 200)
 TICKET_LABELS = ("1", "<=5", "<=10", "<=50", "<=100", "<=200", ">200")
 ACTIVITY_DEPOSIT_STATES = ("Handling", "Success")
 FIRST_TIME = "FTP"
-DAYS_PER_MONTH = 30
 STAT_NAMES = ("average", "min", "median", "max")
 STAT_COLUMNS = ("Ticket_sold", "Turnover", "Prize")
 
@@ -133,10 +132,8 @@ def inactive_months(t: CampaignTables, ids: DataFrame, start) -> DataFrame:
     30-day months from the last order day to the start day (D2)."""
     cols = list(dict.fromkeys([USER, "DateID", "Creation_date"] + ([t.orders_day] if t.orders_day else [])))
     o = before(t.orders.select(*cols), "Creation_date", start, day_col=t.orders_day)
-    months = F.expr(f"datediff(_start, _last) div {DAYS_PER_MONTH}")
-    return (aggregate_for_audience(o, ids, [USER], [F.max("DateID").alias("_last")])
-            .withColumn("_start", as_date(start))
-            .select(USER, F.concat(F.lit(">= "), months.cast("string"), F.lit(" month")).alias("inactive_month")))
+    return aggregate_for_audience(o, ids, [USER], [F.max("DateID").alias("_last")]).select(
+        USER, inactive_label(F.col("_last"), as_date(start)).alias("inactive_month"))
 
 
 # ----------------------------------------------------------------------- A8

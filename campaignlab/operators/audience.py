@@ -20,13 +20,14 @@ Scale notes, shared by all operators:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlab.functions.blocks import (
-    MONEY, USER, bucket, clamp0, exclude_abnormal, exclude_test_accounts, inactive_days,
-    money_sum,
+    MONEY, USER, as_date, bucket, clamp0, exclude_abnormal, exclude_test_accounts, inactive_days,
+    money_sum, until,
 )
 from campaignlab.sources.tables import CampaignTables
 
@@ -84,8 +85,8 @@ def all_users(t: CampaignTables, strict: bool = False) -> DataFrame:
 
 # ----------------------------------------------------------------------- E2
 def order_behavior(t: CampaignTables, as_of=None) -> DataFrame:
-    """Per user days since last order and lifetime totals."""
-    fs = exclude_test_accounts(t.orders_summary)
+    """Per user days since last order and lifetime totals (up to ``as_of``, where given)."""
+    fs = until(exclude_test_accounts(t.orders_summary), "DateID", as_of)
     agg = fs.groupBy(USER).agg(
         inactive_days("DateID", as_of).alias("inactive_days"),
         F.sum("Orders").alias("Orders"),
@@ -104,9 +105,8 @@ def winners(t: CampaignTables, product: str, draws: Sequence[int] | None = None,
     With no draws, all draws, newest first (D6: distinct, then sort). With
     draws, only those draws; "Pick 3" selects on ``Series_No`` (D18).
 
-    Draws are gathered per user, so one map-side combined shuffle by user
-    serves the distinct and the exclusion; a set holds at most the product's
-    draws. The draw is wrapped in a struct because a set drops nulls."""
+    The distinct is combined map-side, so a hot user ships one row per draw and
+    task, and what is left is shuffled by user to meet the exclusion list."""
     draws = _draw_list(draws)
     if by is None:
         by = "Series_No" if (product == "Pick 3" and draws is not None) else "Draw_Period"
@@ -114,8 +114,7 @@ def winners(t: CampaignTables, product: str, draws: Sequence[int] | None = None,
     o = exclude_test_accounts(o)
     if draws is not None:
         o = o.filter(F.col(by).isin(draws))
-    won = o.groupBy(USER).agg(F.collect_set(F.struct(by)).alias("_draws"))
-    out = exclude_abnormal(won, t.abnormal).select(USER, F.explode("_draws").alias("_d")).select(USER, f"_d.{by}")
+    out = exclude_abnormal(o.select(USER, by).distinct(), t.abnormal)
     if draws is None:
         out = out.orderBy(F.col(by).desc(), F.col(USER))
     return out
@@ -131,11 +130,11 @@ def _per_series(fs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def buyers(t: CampaignTables, product: str, as_of=None) -> DataFrame:
-    """Per buyer of a product, recency and totals (fact joined to games).
+    """Per buyer of a product, recency and totals (fact joined to games; up to ``as_of``, where given).
     ``distinct_series_bought`` comes from a two-level aggregate (per series,
     then per user) instead of a distinct aggregate."""
     games = t.games.filter(F.col("Lottery") == product).select("GameID")
-    fs = exclude_test_accounts(t.orders_summary).join(games, "GameID")
+    fs = until(exclude_test_accounts(t.orders_summary), "DateID", as_of).join(games, "GameID")
     agg = _per_series(fs, [USER]).groupBy(USER).agg(
         F.lit(product).alias("Lottery"),
         inactive_days("_last_day", as_of).alias("inactive_days"),
@@ -160,10 +159,11 @@ def draw_game_players(t: CampaignTables, draws: Sequence[int] | None = None,
 
 
 def _product_sets(t: CampaignTables) -> DataFrame:
-    """Per user the sorted set of products ever bought (bounded by the product
-    count, so the set stays tiny whatever the user's order count)."""
-    o = exclude_test_accounts(t.orders.select(USER, "Lottery"))
-    sets = o.groupBy(USER).agg(F.sort_array(F.collect_set("Lottery")).alias("_products"))
+    """Per user the sorted set of products ever bought. Distinct pairs first: they
+    are combined map-side in generated code, and the lists gathered from them
+    hold at most the product count, whatever the user's order count."""
+    pairs = exclude_test_accounts(t.orders.select(USER, "Lottery")).distinct()
+    sets = pairs.groupBy(USER).agg(F.sort_array(F.collect_list("Lottery")).alias("_products"))
     return exclude_abnormal(sets, t.abnormal)
 
 
@@ -286,56 +286,76 @@ def bank_declined(t: CampaignTables, strict: bool = False) -> DataFrame:
 _MONEY = MONEY
 
 
+def wallet_flows(t: CampaignTables, draw_game_id: int = DRAW_GAME_ID, jackpot_cutoff: int = JACKPOT_CUTOFF,
+                 strict: bool = False) -> dict[str, DataFrame]:
+    """The four money flows of E8, each with its user and a column ``day`` (null where the table
+    has no date: deposits ``creation_date``, orders ``DateID``, withdrawals ``withdrawal_date`` and
+    refunds ``refund_date``, the last two optional).
+
+    Per-source filters keep the reference placement: orders drop the test account,
+    withdrawals drop the reverted and failed (and null-status) rows, refunds keep
+    successful ones. A null user meets no other flow; deposits keep theirs (D13)."""
+    money = lambda c: F.col(c).cast(_MONEY)
+
+    def day(df: DataFrame, col: str):
+        return (F.col(col) if col in df.columns else F.lit(None)).cast("date").alias("day")
+
+    known = F.col(USER).isNotNull()
+    dep, fs = _strict(t.deposits, strict), exclude_test_accounts(t.orders_summary)
+    wd = _strict(t.withdrawals, strict).filter(~F.col("withdrawal_status").isin("Bank reverted", "Failure"))
+    rf = _strict(t.refunds, strict).filter(F.col("Memo") == "Success")
+    return {
+        "deposits": dep.select(USER, day(dep, "creation_date"),
+                               F.when(F.col("top_up_state") == "Success", money("top_up_amount")).alias("dep_success")),
+        "orders": fs.filter(known).select(
+            USER, day(fs, "DateID"), money("Turnover").alias("turnover"), F.col("DateID").alias("last_date"),
+            F.when((F.col("GameID") == draw_game_id) & (F.col("Prize") < jackpot_cutoff), money("Prize")).alias("draw_prize"),
+            F.when(F.col("GameID") != draw_game_id, money("Prize")).alias("other_prize")),
+        "withdrawals": wd.filter(known).select(USER, day(wd, "withdrawal_date"), money("withdrawal_amount").alias("withdraw")),
+        "refunds": rf.filter(known).select(USER, day(rf, "refund_date"), money("Refund_amount").alias("refund")),
+    }
+
+
+# How the columns of the flows add up per user.
+WALLET_SUMS = {"dep_success": F.sum, "turnover": F.sum, "last_date": F.max, "draw_prize": F.sum, "other_prize": F.sum,
+               "withdraw": F.sum, "refund": F.sum}
+
+
+def wallets(sums: DataFrame, as_of) -> DataFrame:
+    """E8 columns from per-user sums (``WALLET_SUMS``; other columns of ``sums`` stay, first).
+    Only users with a positive successful deposit have a wallet."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    # HAVING sum(withdrawal) > 0: a non-positive total counts as no withdrawal.
+    withdraw = F.when(F.col("withdraw") > 0, F.col("withdraw")).otherwise(F.lit(0))
+    prizes = z("other_prize") + z("draw_prize")
+    balance = clamp0(F.col("dep_success") - z("turnover") - z("refund") - withdraw + prizes)
+    withdrawable = clamp0(prizes - withdraw - z("turnover"))
+    keys = [c for c in sums.columns if c not in WALLET_SUMS]
+    as_of = as_of if isinstance(as_of, Column) else as_date(as_of)
+    out = sums.filter(F.col("dep_success") > 0).select(
+        *keys, balance.cast(_MONEY).alias("balance"), withdrawable.cast(_MONEY).alias("Withdrawable_amount"),
+        F.datediff(as_of, F.col("last_date")).alias("inactive_days"))
+    out = out.withColumn("balance_group", bucket(F.col("balance"), WALLET_EDGES, WALLET_LABELS))
+    return out.select(*keys, "balance", "Withdrawable_amount", "balance_group", "inactive_days")
+
+
 def wallet_balance(t: CampaignTables, as_of=None, draw_game_id: int = DRAW_GAME_ID,
                    jackpot_cutoff: int = JACKPOT_CUTOFF, strict: bool = False) -> DataFrame:
-    """Estimated wallet balance of depositors.
+    """Estimated wallet balance of depositors, as of a day where one is given:
+    later movements do not count.
 
     Instead of four aggregates joined three times, the four money flows are
     stacked as one ledger (``unionByName``) and aggregated once per user: one
-    shuffle with map-side combine. Per-source filters keep the reference
-    placement: orders drop the test account, withdrawals drop the reverted and
-    failed (and null-status) rows, refunds keep successful ones; only users with
-    a positive successful deposit remain, abnormal users are excluded."""
-    money = lambda c: F.col(c).cast(_MONEY)
-    dep = _strict(t.deposits, strict).select(
-        USER,
-        F.when(F.col("top_up_state") == "Success", money("top_up_amount")).alias("dep_success"))
-    fs = exclude_test_accounts(t.orders_summary).select(
-        USER,
-        money("Turnover").alias("turnover"),
-        F.col("DateID").alias("last_date"),
-        F.when((F.col("GameID") == draw_game_id) & (F.col("Prize") < jackpot_cutoff),
-               money("Prize")).alias("draw_prize"),
-        F.when(F.col("GameID") != draw_game_id, money("Prize")).alias("other_prize"))
-    wd = _strict(t.withdrawals, strict).filter(~F.col("withdrawal_status").isin("Bank reverted", "Failure")).select(
-        USER, money("withdrawal_amount").alias("withdraw"))
-    rf = _strict(t.refunds, strict).filter(F.col("Memo") == "Success").select(USER, money("Refund_amount").alias("refund"))
-
-    known = F.col(USER).isNotNull()  # a null user meets no other flow; deposits keep theirs (D13)
-    fs, wd, rf = fs.filter(known), wd.filter(known), rf.filter(known)
-    ledger = dep.unionByName(fs, allowMissingColumns=True) \
-        .unionByName(wd, allowMissingColumns=True) \
-        .unionByName(rf, allowMissingColumns=True)
-    per_user = ledger.groupBy(USER).agg(
-        F.sum("dep_success").alias("success_amount"),
-        F.sum("turnover").alias("Turnover"),
-        inactive_days("last_date", as_of).alias("inactive_days"),
-        F.sum("draw_prize").alias("Draw_prize"),
-        F.sum("other_prize").alias("Other_prize"),
-        F.sum("withdraw").alias("withdraw_sum"),
-        F.sum("refund").alias("refund"),
-    ).filter(F.col("success_amount") > 0)
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    # HAVING sum(withdrawal) > 0: a non-positive total counts as no withdrawal.
-    withdraw = F.when(F.col("withdraw_sum") > 0, F.col("withdraw_sum")).otherwise(F.lit(0))
-    prizes = z("Other_prize") + z("Draw_prize")
-    balance = clamp0(F.col("success_amount") - z("Turnover") - z("refund") - withdraw + prizes)
-    withdrawable = clamp0(prizes - withdraw - z("Turnover"))
-    out = per_user.select(
-        USER,
-        balance.cast(_MONEY).alias("balance"),
-        withdrawable.cast(_MONEY).alias("Withdrawable_amount"),
-        "inactive_days",
-    ).withColumn("balance_group", bucket(F.col("balance"), WALLET_EDGES, WALLET_LABELS))
-    out = out.select(USER, "balance", "Withdrawable_amount", "balance_group", "inactive_days")
-    return exclude_abnormal(out, t.abnormal)
+    shuffle with map-side combine. Where all four are stored clustered by user
+    (``t.by_user``) nothing has to be shuffled: each flow is aggregated in
+    its buckets and the aggregates meet bucket against bucket."""
+    flows = [until(f, "day", as_of).drop("day") for f in wallet_flows(t, draw_game_id, jackpot_cutoff, strict).values()]
+    sums = lambda df: [agg(c).alias(c) for c, agg in WALLET_SUMS.items() if c in df.columns]
+    if t.by_user:
+        per_user, *others = [f.groupBy(USER).agg(*sums(f)) for f in flows]
+        for o in others:
+            per_user = per_user.join(o, USER, "left")
+    else:
+        ledger = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flows)
+        per_user = ledger.groupBy(USER).agg(*sums(ledger))
+    return exclude_abnormal(wallets(per_user, as_of), t.abnormal)

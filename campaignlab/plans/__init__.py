@@ -5,6 +5,6 @@ from campaignlab.plans.registry import REGISTRY, QuerySpec  # noqa: F401
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from campaignlab.plans import activity_queries, audience_queries, status_queries  # noqa: F401
+    from campaignlab.plans import activity_queries, audience_queries, campaign_queries, status_queries  # noqa: F401
 
     return REGISTRY

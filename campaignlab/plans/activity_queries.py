@@ -177,15 +177,6 @@ def _report_empty(td):
     return X.empty_signal(X.activity_base(td.campaign, _ids(td), START, END))
 
 
-# Before the first order: the signal is true.
-NEVER_START, NEVER_END = "1980-01-01 00:00:00", "1980-06-30 23:59:00"
-
-
-@query("report_empty_before_orders", _V, _base(NEVER_START, NEVER_END) + "\nselect count(*) = 0 as empty from base")
-def _report_empty_before_orders(td):
-    return X.empty_signal(X.activity_base(td.campaign, _ids(td), NEVER_START, NEVER_END))
-
-
 def _stats_sql() -> str:
     cols = X.STAT_COLUMNS
     avg = ", ".join(f"{_avg_sql(f'sum({c})', f'count({c})')} as {c}" for c in cols)

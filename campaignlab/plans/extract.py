@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from campaignlab.operators import activity as X
@@ -72,11 +72,10 @@ def audience_size(df: DataFrame) -> DataFrame:
 
 def export_audience(df: DataFrame, path: str, single_file: bool = False) -> int:
     """E12 + I4: the audience size and its CSV export from one execution of
-    the plan (materialised once, then counted and written)."""
-    done = X.materialize(df)
-    n = audience_size(done).first()["audience_size"]
-    write_audience_csv(done, path, single_file=single_file)
-    return n
+    the plan: the rows are counted as they are written."""
+    size = Observation()
+    write_audience_csv(df.observe(size, F.count(F.lit(1)).alias("audience_size")), path, single_file=single_file)
+    return size.get["audience_size"]
 
 
 def run_activity_check(t: CampaignTables, ids: DataFrame, start, end, title: str = "") -> dict:

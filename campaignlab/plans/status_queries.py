@@ -4,9 +4,13 @@ headers ``User ID`` / ``User Status`` are the operator defaults)."""
 
 from __future__ import annotations
 
+import uuid
+
 from campaignlab.operators import audience as A
 from campaignlab.operators import status as S
 from campaignlab.plans.registry import query
+from campaignlab.session import ensure_checkpoint_dir
+from campaignlab.sources import snapshots as P
 
 _USER_COLS = ["User_ID", "registerTime", "verification_status", "nationality", "attempt_depo", "FTD", "FTP",
               "user_status", "RG_limit", "receive_mail", "receive_message", "receive_sms"]
@@ -82,6 +86,16 @@ def _status_update_all(td):
     return _all(td)
 
 
+@query("status_update_partial", _ALL_VIEWS, _ALL + "\nselect * from s3")
+def _status_update_partial(td):
+    """U4, U5 on a stored snapshot: only the folders that hold an uploaded id are rewritten."""
+    folder = f"{ensure_checkpoint_dir(td.spark).rstrip('/')}/users-{uuid.uuid4()}"
+    P.save_snapshot(_users(td), folder, parts=32)
+    P.update_snapshot(td.spark, folder, td.table("upload_rg_limit"), td.table("upload_opt_out"), td.table("upload_user_status"),
+                      rg_id_column="user_id", status_id_column="user_id", status_column="user_status")
+    return P.read_snapshot(td.spark, folder)
+
+
 @query("must_exclude_after_update", _ALL_VIEWS, _ALL + """
 select User_ID from s3
 where RG_limit = 1 or receive_message = 0 or user_status in ('suspend','close','locked','restricted')""")

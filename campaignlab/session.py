@@ -8,6 +8,7 @@ command-line entry points.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -72,11 +73,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) fall back to a fresh scratch folder."""
+    """Use the session's ``spark.checkpoint.dir``. Only a local master, whose tasks run in
+    the driver's process, falls back to a fresh scratch folder where it is unset;
+    on a cluster executors would write to a folder that only the driver has, so that fails."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="campaignlab-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="campaignlab-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d

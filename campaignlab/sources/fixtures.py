@@ -60,12 +60,13 @@ from {orders} where o_orderpriority < '4'""",
 select case when event_id % 89 = 0 then null else cast(user_id as string) end as User_ID,
  cast(value as decimal(18,2)) as withdrawal_amount,
  case when event_id % 11 = 0 then null when event_id % 7 = 0 then 'Failure' when event_id % 7 = 1 then 'Bank reverted'
-      else 'Success' end as withdrawal_status
+      else 'Success' end as withdrawal_status, date '1995-01-01' + cast(event_id % 2500 as int) as withdrawal_date
 from {events} where event_type = 'purchase'""",
     "fact_refund": """
 select case when event_id % 83 = 0 then null else cast(user_id as string) end as User_ID,
  cast(value as decimal(18,2)) as Refund_amount,
- case when event_id % 5 = 0 then 'Failure' else 'Success' end as Memo
+ case when event_id % 5 = 0 then 'Failure' else 'Success' end as Memo,
+ date '1995-01-01' + cast(event_id * 7 % 2500 as int) as refund_date
 from {events} where event_type = 'error'""",
     "dim_user_authentication": """
 select cast(c.c_custkey as string) as User_ID, case when c.c_custkey % 50 = 0 then null else f.first_order end as registerTime,
@@ -91,6 +92,20 @@ from {customer}""",
 select cast(c_custkey as string) as User_ID from {customer} where c_custkey % 3 = 0
 union all select cast(c_custkey as string) from {customer} where c_custkey % 6 = 0
 union all select '999999999'""",
+    "campaign_windows": """
+select concat('campaign ', cast(r_regionkey as string)) as campaign,
+ concat(cast(date '1995-03-11' + cast(r_regionkey * 410 as int) as string), ' 06:30:00') as start,
+ concat(cast(date '1995-03-11' + cast(r_regionkey * 410 + 500 as int) as string), ' 23:59:00') as end
+from {region}
+union all select concat('test ', cast(r_regionkey as string)), '1990-01-01 00:00:00', '1990-02-01 00:00:00' from {region} where r_regionkey < 2""",
+    "campaign_audiences": """
+select 'campaign 0' as campaign, cast(c_custkey as string) as User_ID from {customer} where c_custkey % 2 = 0
+union all select 'campaign 1', cast(c_custkey as string) from {customer} where c_custkey % 3 = 0
+union all select 'campaign 2', cast(c_custkey as string) from {customer} where c_custkey % 4 = 0
+union all select 'campaign 3', cast(c_custkey as string) from {customer} where c_custkey % 5 = 0
+union all select concat('campaign ', cast(r_regionkey as string)), '999999999' from {region} where r_regionkey < 4
+union all select 'test 1', cast(c_custkey as string) from {customer} where c_custkey % 7 = 0
+union all select 'unknown', cast(c_custkey as string) from {customer} where c_custkey % 7 = 0""",
     "upload_rg_limit": """
 select cast(c_custkey as string) as user_id from {customer} where c_custkey % 11 = 0
 union all select cast(c_custkey as string) from {customer} where c_custkey % 22 = 0

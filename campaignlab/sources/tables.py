@@ -8,6 +8,7 @@ schema test data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.errors import AnalysisException
@@ -109,6 +110,9 @@ class CampaignTables:
     # ``Creation_date`` (as ``save_tables`` writes them). Time windows then
     # also filter it, which prunes whole day folders. None: no such column.
     orders_day: str | None = None
+    # Deposits, orders summary, withdrawals and refunds are clustered by user in
+    # equally many buckets (``sources.clustered``): per-user results need no shuffle.
+    by_user: bool = False
 
     def validated(self, strict_types: bool = False) -> "CampaignTables":
         for f in fields(self):
@@ -133,13 +137,14 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
         return spark.read.schema(T.StructType([T.StructField(c, t) for c, t in SCHEMAS[table].items()])).parquet(path)
 
 
-def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = False,
-                orders_day: str | None = "DateID") -> CampaignTables:
+def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = False, orders_day: str | None = "DateID",
+                base: CampaignTables | None = None, only: Sequence[str] | None = None) -> CampaignTables:
     """Read ``<path>/<table>`` parquet datasets.
 
     The stored must-exclude list is obeyed; ``derive_abnormal`` replaces it by
     the rule over the user table (E10b) where the caller asks for that. A
-    dataset written from an empty table is read with its contract schema. ``orders_day`` names the orders' day partition column (the
+    dataset written from an empty table is read with its contract schema. With ``only`` (attributes)
+    the other tables are those of ``base``. ``orders_day`` names the orders' day partition column (the
     date of ``Creation_date``, as ``save_tables`` writes it); pass None for
     tables where that does not hold."""
     from campaignlab.operators.audience import abnormal_users
@@ -149,6 +154,9 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = False,
     for attr, name in TABLE_NAMES.items():
         if attr == "abnormal" and derive_abnormal:
             continue
+        if only is not None and attr not in only:
+            frames[attr] = getattr(base, attr)
+            continue
         frames[attr] = validate(read_table(spark, f"{path}/{name}", name), name)
     if derive_abnormal:
         frames["abnormal"] = abnormal_users(frames["users"])
@@ -162,13 +170,17 @@ def load_tables(spark: SparkSession, path: str, derive_abnormal: bool = False,
 DAY_PARTITIONED = {"fact_orders": "DateID", "fact_orders_summary": "DateID"}
 
 
-def save_tables(t: CampaignTables, path: str, mode: str = "overwrite", partition_facts: bool = True) -> None:
+def save_tables(t: CampaignTables, path: str, mode: str = "overwrite", partition_facts: bool = True,
+                only: Sequence[str] | None = None) -> None:
     """Write a table set as parquet datasets readable by ``load_tables``.
 
     ``partition_facts=False`` writes the facts unpartitioned (small test
-    sizes, where day folders would only hold tiny files)."""
+    sizes, where day folders would only hold tiny files); ``only`` names the
+    tables (attributes) to write, if not all."""
     path = path.rstrip("/")
     for attr, name in TABLE_NAMES.items():
+        if only is not None and attr not in only:
+            continue
         df = getattr(t, attr)
         day = DAY_PARTITIONED.get(name) if partition_facts else None
         if day is not None:  # one task a day, or several for a large day, instead of tasks x days files
