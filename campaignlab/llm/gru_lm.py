@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import cuts, doc_key, materialize, remainder, slices, text_bytes
+from campaignlab.llm.common import doc_key, materialize, remainder, slices
 
 STEPS = 32
 BOUND = 3.0  # of output weights; states are within 1, so exponents stay below 3 * hidden + 20
@@ -271,37 +271,62 @@ class GruModel:
             at += v.size
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_in(texts):
+    """Words of all texts (an Arrow string array), lower-cased by A-Z, and the text of each."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, doc = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty string
+    return words.filter(full), doc.filter(full).to_numpy()
+
+
+def ranked(texts, top) -> tuple:
+    """Per token the place of its word in ``top``, len(top) for other words and one
+    more for the end that closes each text; tokens per text; and of the words: their text,
+    their code, and the dictionary of codes."""
+    import pyarrow.compute as pc
+
+    words, doc = words_in(texts)
+    coded = words.dictionary_encode()
+    rank = pc.fill_null(pc.index_in(coded.dictionary, value_set=top), len(top)).to_numpy()
+    codes = coded.indices.to_numpy()
+    size = np.bincount(doc, minlength=len(texts)) + 1
+    at = np.full(size.sum(), len(top) + 1, np.int32)
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(size) - 1] = False
+    at[inner] = rank[codes]
+    return at, size, doc, codes, coded.dictionary
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over whole texts; word '' is the end of a text."""
 
     def count(batches: Iterator) -> Iterator:
-        from collections import Counter
-
         import pyarrow as pa
 
-        seen: Counter = Counter()
+        parts, held, ends = [], 0, 0
 
-        def flush():
-            words = pa.array(list(seen), pa.binary()).cast(pa.string())
-            out = pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
+        def added():
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for b in batches:
-            for part in slices(b, "text"):
-                for t in text_bytes(part.column("text")):
-                    seen.update(words_of(t))
-                    seen[b""] += 1
-                if len(seen) > 400_000:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            for part in slices(b, "text", 8_000_000):
+                got = words_in(part.column("text"))[0].value_counts()
+                parts.append(pa.table({"word": got.field("values"), "c": got.field("counts")}))
+                held, ends = held + len(got), ends + len(part)
+                if held > 1_500_000:
+                    parts = [added()]
+                    held = len(parts[0])
+                if held > 1_000_000:  # one table by now
+                    yield from parts[0].combine_chunks().to_batches()
+                    parts, held = [], 0
+        if ends:
+            parts.append(pa.table({"word": pa.array([""]), "c": pa.array([ends], pa.int64())}))
+            yield from added().combine_chunks().to_batches()
+
+    text = F.col("text").cast("string").alias("text")
+    return docs.select(text).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -323,39 +348,35 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((r["word"].encode(), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def symbol_docs(texts: list[bytes], symbols: dict[bytes, int], place: np.ndarray) -> list[np.ndarray]:
-    lists = (list(map(symbols.get, words_of(t), repeat(RARE))) for t in texts)
-    return [place[np.array([*ids, END], np.int64)] for ids in lists]
-
-
 def train_model(docs: DataFrame, model: GruModel, symbols: dict[bytes, int], tokens: int, shard_tokens: int,
                 rounds: int, rate: float) -> GruModel:
     """All documents train, each in one round and shard by its key. Shards hold about
     ``shard_tokens`` tokens, so their number grows with the ``tokens`` and no task's work does.
     Weights are averaged in tasks first: the driver adds up about the square root of
     the number of partitions in vectors of fixed size."""
+    import pyarrow as pa
+
     shards = max(1, -(-tokens // (shard_tokens * rounds)))
     parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(doc_key("doc_id", "text").alias("k"), "text")
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards * rounds)).cast("int"))
+    # rows that repeat a document go to a shard for each part of the input, not all to one
+    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(shards * rounds)).cast("int"))
+    known = pa.array([w.decode() for w in symbols], pa.string())
+    place = model.place[[*symbols.values(), RARE, END]].astype("<u2")
 
     def name(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            for part in slices(b, "text"):
-                ids = symbol_docs(text_bytes(part.column("text")), symbols, model.place)
-                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("h"),
-                                                  pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())],
-                                                 names=["shard", "h", "ids"])
+            for part in slices(b, "text", 8_000_000):
+                at, size, *_ = ranked(part.column("text"), known)
+                ends = np.concatenate([[0], np.cumsum(2 * size)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(place[at])])
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("h"), ids], names=["shard", "h", "ids"])
 
     named = (keyed.select("shard", F.xxhash64("k.x").alias("h"), "text").mapInArrow(name, "shard int, h long, ids binary"))
     named = materialize(named) if rounds > 1 else named
 
     def summed(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator:
         """One row: the tokens and the sum of the weights."""
-        import pyarrow as pa
-
         many, total = 0, 0.0
         for n, weights in pairs:
             many, total = many + n, total + weights
@@ -406,6 +427,8 @@ def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 262_144,
     score alike; an empty training fold gives base probabilities of one. The driver
     sees the ``frequent`` most frequent words and sums of weights; counts of all
     other words meet the documents in a join by word."""
+    import pyarrow as pa
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", remainder("doc_id", modulus) == held)
@@ -421,7 +444,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 262_144,
     rare_v = max(v - len(known) - (1 if ends else 0), 0)
     model = GruModel(np.array([rare_n, ends, *known.values()], float))
     model = train_model(train, model, symbols, n, shard_tokens, rounds, rate)
-    rank = {w: k for k, (w, _) in enumerate(top)}
+    words_ranked = pa.array([w.decode() for w, _ in top], pa.string())
     # tables by rank; then words that are not frequent, then the end of a text
     many = len(top)
     own, frequent_ = np.arange(many + 2) < len(known), np.arange(many + 2) < many
@@ -434,64 +457,46 @@ def lm_scores(docs: DataFrame, vocabulary: int = 2046, frequent: int = 262_144,
     is_known[-1] = ends > 0
 
     def scan(batches: Iterator) -> Iterator:
-        from collections import Counter
-
-        import pyarrow as pa
-
-        names = ["d", "x", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "inner", "n_rare", "gru"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
+        names = ["uid", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "inner", "n_rare", "gru"]
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
                  pa.float64(), pa.int64(), pa.float64())
-        get, end = rank.get, np.array([many + 1], np.int32)
 
         def frame(cols: list, n: int):
-            arrays = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)]
+            arrays = [pa.nulls(n, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for b in batches:
             for part in slices(b, "text", 8_000_000):
-                d, x = (part.column(c).to_numpy() for c in ("d", "x"))
-                size, ranks, seldom, times, per = [], [], [], [], []
-                for t in text_bytes(part.column("text")):
-                    words = words_of(t)
-                    at = np.fromiter(map(get, words, repeat(many)), np.int32, len(words))
-                    size.append(len(words) + 1)
-                    ranks += [at, end]
-                    odd = Counter([words[i] for i in np.flatnonzero(at == many).tolist()])
-                    seldom += odd
-                    times += odd.values()
-                    per.append(len(odd))
-                size, at = np.array(size, np.int64), np.concatenate(ranks)
+                uid = part.column("uid").to_numpy()
+                at, size, doc, codes, words = ranked(part.column("text"), words_ranked)
                 first = np.cumsum(size) - size
                 gru = model.score(np.split(places[at], first[1:])) / np.log(10)
                 whole = lambda table, kind: np.add.reduceat(table[at], first, dtype=kind)
-                mark = [f" {i}:{j}" for i, j in zip(d.tolist(), x.tolist())]
-                yield frame([d, x, part.column("doc_id"), part.column("held_out"), mark, np.zeros(len(d), np.int64), size,
+                mark = [f" {i}" for i in uid.tolist()]
+                yield frame([uid, part.column("doc_id"), part.column("held_out"), mark, np.zeros(len(uid), np.int64), size,
                              whole(is_known, np.int64), whole(logs, float), whole(inner, float), whole(is_rare, np.int64), gru],
-                            len(d))
-                d, x = np.repeat(d, per), np.repeat(x, per)
-                for i in range(0, len(d), 100_000):
-                    cut = slice(i, i + 100_000)
-                    n = len(d[cut])
-                    words = pa.array(seldom[cut], pa.binary()).cast(pa.string())
-                    yield frame([d[cut], x[cut], None, None, words, times[cut], np.zeros(n, np.int64), np.zeros(n, np.int64),
-                                 np.zeros(n), np.zeros(n), times[cut], np.zeros(n)], n)
-
-    keyed = rows.select(doc_key("doc_id", "text").alias("k"), "*").select("k.*", "doc_id", "held_out", "text")
-    seen = keyed.mapInArrow(scan, "d long, x long, doc_id long, held_out boolean, word string, n long, n_tokens long, "
+                            len(uid))
+                at = at[at != many + 1] == many  # the words that are not frequent
+                seldom, times = np.unique(doc[at].astype(np.int64) * len(words) + codes[at], return_counts=True)
+                for i in range(0, len(seldom), 100_000):
+                    of, word = np.divmod(seldom[i:i + 100_000], len(words))
+                    n, many_times = len(of), times[i:i + 100_000]
+                    yield frame([uid[of], None, None, words.take(pa.array(word)), many_times, np.zeros(n, np.int64),
+                                 np.zeros(n, np.int64), np.zeros(n), np.zeros(n), many_times, np.zeros(n)], n)
+
+    keyed = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
+    seen = keyed.mapInArrow(scan, "uid long, doc_id long, held_out boolean, word string, n long, n_tokens long, "
                                   "n_known long, base double, inner double, n_rare long, gru double")
     # a document's own row carries a word no text can hold, so it meets no count and no other document
     met = seen.join(counts, "word", "left")
     log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    per = (met.groupBy("d", "x").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("held_out").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
+    per = (met.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
+        (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(log)).alias("base"), (F.sum("inner") + F.sum(log)).alias("inner"),
         F.sum("n_rare").alias("n_rare"), F.sum("gru").alias("gru")))
     whole = float(np.log10(n + v + 1.0))
     rare = float(np.log10(rare_n + rare_v + 1.0))
-    share = lambda c: F.expr(f"{c} div copies")
-    return (per.select("doc_id", "held_out", share("n_tokens").alias("n_tokens"), share("n_known").alias("n_known"),
-                       F.lit(n).cast("long").alias("train_tokens"),
-                       ((F.col("base") - F.col("n_tokens") * whole) / F.col("copies")).alias("base_score"),
-                       ((F.col("gru") + F.col("inner") - F.col("n_rare") * rare) / F.col("copies")).alias("score"),
-                       F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"))
+    return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+                      (F.col("base") - F.col("n_tokens") * whole).alias("base_score"),
+                      (F.col("gru") + F.col("inner") - F.col("n_rare") * rare).alias("score"))
