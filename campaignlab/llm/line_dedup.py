@@ -10,12 +10,14 @@
    documents that share a block of ``min_words`` words share the run that
    starts it, and its owner holds that same run.
 3. A pair is aligned by patience diff over line hashes; common blocks of
-   ``min_words`` words or more are deleted from the later document.
-4. An alignment cannot hold crossing blocks, takes one copy of a repeated
-   passage and may split a block. So the runs that an earlier document owns are
-   deleted wherever the later one holds them. Every line of a common block lies
-   in a run inside it, from the line on or up to the block's end, so this
-   leaves no line of any block of ``min_words`` words an earlier document holds.
+   ``min_words`` words or more are deleted from the later document. Nothing else is
+   ever deleted: run hashes find the pairs and tell what is left to align.
+4. One alignment cannot hold crossing blocks, takes one copy of a repeated
+   passage and may split a block. So where lines of a run that the owner holds are
+   left, that stretch of the later document is aligned again, with the stretch
+   of the owner that holds the run, until none is left. Every line of a
+   common block lies in a run inside it, from the line on or up to the block's end,
+   so no line of any block of ``min_words`` words an earlier document holds stays.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ def runs(hashes: list[int], words: list[int], min_words: int) -> list[int]:
 
 
 def places(hashes: list[int], words: list[int], min_words: int) -> dict[int, list[int]]:
-    """By hash of a run, starting or ending at any line: where it lies, as starts
-    and ends in turn, merged where they meet."""
+    """By hash of a run, starting or ending at any line: its lines, then where it lies,
+    as starts and ends in turn, merged where they meet."""
     import struct
 
     import xxhash
@@ -88,8 +90,8 @@ def places(hashes: list[int], words: list[int], min_words: int) -> dict[int, lis
             spans.add((at, i + 1))
     out: dict[int, list[int]] = {}
     for i, end in sorted(spans):
-        flat = out.setdefault(xxhash.xxh64_intdigest(struct.pack(f"<{end - i}q", *hashes[i:end])) - 2**63, [])
-        if flat and i <= flat[-1]:
+        flat = out.setdefault(xxhash.xxh64_intdigest(struct.pack(f"<{end - i}q", *hashes[i:end])) - 2**63, [end - i])
+        if len(flat) > 1 and i <= flat[-1]:
             flat[-1] = max(flat[-1], end)
         else:
             flat += [i, end]
@@ -164,6 +166,33 @@ def common_lines(later: list[int], words: list[int], earlier: list[int], min_wor
     return [k for i, _, n in joined if sum(words[i:i + n]) >= min_words for k in range(i, i + n)]
 
 
+def aligned_lines(later: list[int], words: list[int], earlier: list[int], earlier_words: list[int],
+                  owned: list[tuple[int, list[int]]], min_words: int) -> list[int]:
+    """Indices in ``later`` of the common blocks of ``min_words`` words that rounds of alignment
+    with ``earlier`` find. ``owned``: runs of ``later`` (hash, ``places``) that ``earlier`` holds."""
+    off = bytearray(len(later))
+
+    def delete(start: int, gone: list[int]) -> bool:
+        for k in gone:
+            off[start + k] = 1
+        return bool(gone)
+
+    delete(0, common_lines(later, words, earlier, min_words))
+    held: dict[int, list[int]] | None = None
+    for run, (n, *flat) in owned:
+        for lo, hi in zip(flat[::2], flat[1::2]):
+            k = off.find(0, lo, hi)
+            while k >= 0:  # line k of the run is left
+                held = places(earlier, earlier_words, min_words) if held is None else held
+                j = held[run][1]
+                # the stretch of the run that holds line k: copies of a run may overlap
+                start = next((s for s in range(max(lo, k - n + 1), min(k, hi - n) + 1) if later[s:s + n] == later[lo:lo + n]), lo)
+                if not delete(start, common_lines(later[start:start + n], words[start:start + n], earlier[j:j + n], min_words)):
+                    break
+                k = off.find(0, k, hi)
+    return [k for k, gone in enumerate(off) if gone]
+
+
 def dedup_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """Struct ``__row`` of each row of ``docs`` with ``text`` rewritten, and
     ``n_lines`` (all lines before), ``deleted`` (sorted positions of deleted lines).
@@ -196,24 +225,21 @@ def dedup_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
     owners = materialize(keyed.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
                          .filter("owner <> last").select("run", "owner"))
     pairs = (keyed.join(owners, "run").filter("key <> owner").groupBy("key", "owner")
-             .agg(F.collect_set("places").alias("owned")))
+             .agg(F.collect_set(F.struct("run", "places")).alias("owned")))
     side = seqs.select(F.struct("d", "x").alias("key"), "pos", "hashes", "words")
-    other = seqs.dropDuplicates(["d", "x"]).select(F.struct("d", "x").alias("owner"), F.col("hashes").alias("earlier"))
+    other = seqs.dropDuplicates(["d", "x"]).select(F.struct("d", "x").alias("owner"), F.col("hashes").alias("earlier"), F.col("words").alias("earlier_words"))
     both = (pairs.join(side.dropDuplicates(["key"]), "key").join(other, "owner")
-            .select("key.*", "pos", "hashes", "words", "earlier", "owned"))
+            .select("key.*", "pos", "hashes", "words", "earlier", "earlier_words", "owned"))
 
     def align(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("pos", "hashes", "words", "earlier", "owned")}
+            c = [b.column(n).to_pylist() for n in ("pos", "hashes", "words", "earlier", "earlier_words", "owned")]
             out = []
-            for p, h, w, e, owned in zip(c["pos"], c["hashes"], c["words"], c["earlier"], c["owned"]):
-                off = set(common_lines(h, w, e, min_words))
-                for flat in owned:
-                    for lo, hi in zip(flat[::2], flat[1::2]):
-                        off.update(range(lo, hi))
-                out.append([p[k] for k in sorted(off)])
+            for p, h, w, e, e_words, owned in zip(*c):
+                gone = aligned_lines(h, w, e, e_words, [(o["run"], o["places"]) for o in owned], min_words)
+                out.append([p[k] for k in gone])
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("x"), pa.array(out, pa.list_(pa.int32()))],
                                              names=["d", "x", "gone"])
 

@@ -4,7 +4,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from campaignlab.llm.line_dedup import common_lines, dedup_lines, line_sequence, patience_blocks, runs
+from campaignlab.llm import line_dedup
+from campaignlab.llm.line_dedup import aligned_lines, common_lines, dedup_lines, line_sequence, patience_blocks, places, runs
 from campaignlab.llm.queries import op5_line_dedup
 
 
@@ -110,3 +111,40 @@ def test_no_block_of_an_earlier_document_stays(make):
     assert (want[3], want[5], want[7]) == ([0, 1], [0, 2], [0, 1, 2, 3])
     got = {r["__row"]["doc_id"]: list(r["deleted"]) for r in dedup_lines(make(rows)).collect()}
     assert got == want
+
+
+def test_lines_go_by_alignment_only(make, monkeypatch):
+    """Without aligned blocks nothing is deleted, whatever the run hashes say."""
+    rows = [(d, "\n".join(line(i) for i in ids)) for d, ids in ((1, range(6)), (2, range(6)), (3, (4, 5, 2, 3)))]
+    seqs = [line_sequence(t.encode()) for _, t in rows]
+    owned = lambda k: [(h, p) for h, p in places(*seqs[k][1:], 25).items() if h in places(*seqs[0][1:], 25)]
+    args = lambda k: (*seqs[k][1:], *seqs[0][1:], owned(k), 25)
+    assert aligned_lines(*args(1)) == list(range(6)) and aligned_lines(*args(2)) == []  # 24 words are no block
+    got = {r["__row"]["doc_id"]: list(r["deleted"]) for r in dedup_lines(make(rows), 24).collect()}
+    assert got[2] == list(range(6)) and got[3] == [0, 1, 2, 3]  # crossing blocks
+    monkeypatch.setattr(line_dedup, "patience_blocks", lambda a, b: [])
+    assert aligned_lines(*args(1)) == []
+    got = {r["__row"]["doc_id"]: list(r["deleted"]) for r in dedup_lines(make(rows), 24).collect()}
+    assert got == {1: [], 2: [], 3: []}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_rounds_leave_no_owned_run(later, earlier):
+    size = [3, 9, 12, 25, 40]
+    words, earlier_words = [size[i] for i in later], [size[i] for i in earlier]
+    held = places(earlier, earlier_words, 25)
+    owned = [(h, p) for h, p in places(later, words, 25).items() if h in held]
+    got = set(aligned_lines(later, words, earlier, earlier_words, owned, 25))
+    text = ",".join(map(str, earlier))
+    blocks = [(i, j) for i in range(len(later)) for j in range(i + 1, len(later) + 1)
+              if sum(words[i:j]) >= 25 and f",{','.join(map(str, later[i:j]))}," in f",{text},"]
+    assert got == {k for i, j in blocks for k in range(i, j)}
+
+
+def test_very_long_text(make):
+    """A document of 60,000 lines, copied with its halves exchanged."""
+    lines = [f"line {i} " + "w " * 6 for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[30_000:] + ["own words here"] + lines[:30_000])), (3, "x " * 200_000)]
+    got = {r["__row"]["doc_id"]: r for r in dedup_lines(make(rows)).collect()}
+    assert got[2]["__row"]["text"].strip() == "own words here" and not got[1]["deleted"] and not got[3]["deleted"]
