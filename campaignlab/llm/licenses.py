@@ -10,13 +10,16 @@ license version 3' is not also reported as the shorter notices inside it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaignlab.llm.common import ROW
+from campaignlab.llm.license_notices import NOTICES
 from campaignlab.llm.wu_manber import item_words
 
 # Phrases and labels reported whatever the rules find.
@@ -123,6 +126,17 @@ def version_pattern(version: str) -> str:
     return " ".join(words) + ("(?: 0)?" if len(words) == 1 else "")
 
 
+def needed_words(pattern: str, most: int = 3) -> list[str]:
+    """Up to ``most`` of the longest words that every match of an expression holds: plain
+    words outside groups that nothing optional touches."""
+    before = None
+    while pattern != before:
+        before, pattern = pattern, re.sub(r"\(\?:[^()]*\)[?*+]?(?:\{[0-9,]+\})?", "\0", pattern)
+    words = pattern.split(" ")
+    plain = {w for w, after in zip(words, [*words[1:], ""]) if re.fullmatch("[a-z0-9]+", w) and not after.startswith("?")}
+    return sorted(plain, key=lambda w: (-len(w), w))[:most]
+
+
 def rules() -> list[tuple[str, re.Pattern, frozenset, float]]:
     """All rules in order of priority: tags, versioned names, names, short codes."""
     out: list[tuple[str, str, str, float]] = []
@@ -153,25 +167,39 @@ def rules() -> list[tuple[str, re.Pattern, frozenset, float]]:
         out.append((f"cc-{code}", f"creative commons {long}(?: licen[sc]e)?", "creative", 0.8))
         out.append((f"cc-{code}", f"cc {short}", "cc", 0.6))
     out += SINGLE
+    out += [(label, p, " ".join(needed_words(p)), w) for label, w, lines in NOTICES for p in lines]
     return [(label, re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), frozenset(k.encode() for k in keys.split()), w)
             for label, p, keys, w in out]
 
 
-# A text without any of these holds no match of any rule.
-GATE = (b"licens", b"licenc", b"spdx", b"gpl", b"mpl", b"epl", b"eupl", b"cddl", b"bsd", b"mulan", b"commons", b" cc ",
+# A text without any of these holds no match of a rule without keywords.
+GATE = (b"licens", b"licenc", b"spdx", b"gpl", b"mpl", b"epl", b"eupl", b"cddl", b"bsd", b"mulan", b"rail", b"commons", b" cc ",
         b"cc0", b"permission", b"redistribution", b"warranty", b"domain", b"reserved", b"proprietary", b"reproduced",
         b"copyright", b"unencumbered")
 
 
 def detect(joined: bytes, words: set[bytes], ordered: list) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, weight) after suppression, in bytes of ``joined``."""
+    """(start, end, label, weight) after suppression, in bytes of ``joined``, by rule and place.
+
+    Kept intervals are sorted by start with the largest end up to each, so one lookup
+    tells whether an earlier rule's interval contains a match; matches of one
+    rule never overlap."""
     kept: list[tuple[int, int, str, float]] = []
+    starts: list[int] = []
+    reach: list[int] = []
+    gate = any(g in joined for g in GATE)
     for label, pattern, keys, weight in ordered:
-        if keys <= words:
+        if keys <= words if keys else gate:
+            new = []
             for m in pattern.finditer(joined):
                 s, e = m.span()
-                if not any(a <= s and e <= b for a, b, *_ in kept):
-                    kept.append((s, e, label, weight))
+                at = bisect_right(starts, s) - 1
+                if at < 0 or reach[at] < e:
+                    new.append((s, e, label, weight))
+            if new:
+                kept += new
+                spans = sorted((s, e) for s, e, *_ in kept)
+                starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
     return kept
 
 
@@ -186,7 +214,7 @@ def scan_text(text: str, ordered: list) -> tuple:
             places.append(at)
             base.add(label)
             at = joined.find(b" " + phrase + b" ", at + 1)
-    found = detect(joined, set(words), ordered) if any(g in joined for g in GATE) else []
+    found = detect(joined, set(words), ordered)
     miss = 1.0
     for *_, weight in found:
         miss *= 1 - weight
