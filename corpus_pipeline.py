@@ -2,7 +2,16 @@
 
 Each stage takes the documents its predecessor kept, written as Parquet in the
 shared checkpoint folder and read again, and returns documents with the same
-columns. The last adds ``copy``.
+columns, whatever they are beside doc_id, text and source. The last adds the
+number of the copy as ``copy`` or, where the documents have such a column, under the
+first free name of ``copy_1``, ``copy_2``, ...
+
+Null and empty texts: the classifier scores them as one empty passage; line dedup
+leaves them; they share the fingerprint zero, so one of them stays; they hold no
+benchmark window; mixing gives them no share of the characters beyond their
+source's rate. A null id is the largest. Rows that repeat id and text are one document to
+line dedup and near-dedup keeps one of them. Empty documents give an empty result;
+without labels the classifier knows nothing and keeps all.
 """
 
 from __future__ import annotations
@@ -28,8 +37,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines aligned with an earlier one; n_chars follows the text."""
+    """All documents, without lines aligned with an earlier one; n_chars, where there is one, follows the text."""
     out = dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return out.select(f"{ROW}.*")
     row = F.col(ROW)
     return out.select(row.withField("n_chars", F.length(row["text"]).cast("long")).alias(ROW)).select(f"{ROW}.*")
 
@@ -45,7 +56,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs, MIX).select(f"{ROW}.*", "copy")
+    """Each document as often as its source's share wants."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("copy", *(f"copy_{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+    return mix_sources(docs, MIX).select(f"{ROW}.*", F.col("copy").alias(name))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_copies),
