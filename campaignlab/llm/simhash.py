@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from campaignlab.llm.common import ROW, doc_key, materialize, slices, text_bytes
 
+SALTS = 32
 LANES = 255  # hashes that eight one-byte counters in a word can sum without overflow
 
 
@@ -216,10 +217,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int
                          .mapInArrow(sign, "doc_id long, d long, x long, fp long"))
     distinct = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(near_links(distinct.select("fp"), radius, tile))
-    rooted = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(rooted.join(lowest, "root").select("fp", "root", "component_id"))
+    rooted = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+                         .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    others = rooted.filter("root <> fp")
+    lowest = others.groupBy("root").agg(F.min("low").alias("least"))
+    tops = (rooted.filter("root = fp").select("root", "low").join(lowest, "root", "left")
+            .select("root", F.least("low", "least").alias("component_id")))
+    # a large component's fingerprints meet their smallest id in SALTS places, not in one task
+    salted = others.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    shared = (tops.join(lowest, "root", "left_semi")
+              .select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")))
+    named = materialize(tops.select(F.col("root").alias("fp"), "root", "component_id")
+                        .unionByName(salted.join(shared, ["root", "salt"]).select("fp", "root", "component_id")))
     return signed.join(named, "fp").select("doc_id", "d", "x", "fp", "root", "component_id")
 
 
