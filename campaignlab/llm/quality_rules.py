@@ -116,11 +116,17 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(x: np.ndarray, trees: int = 96, psi: int = 256, seed: int = 7) -> dict:
+def fit_forest(x: np.ndarray, trees: int = 96, psi: int = 256, seed: int = 7, weights: np.ndarray | None = None) -> dict:
+    """Each tree draws ``psi`` rows; a row of weight n stands for n equal rows."""
     rng = np.random.default_rng(seed)
-    psi = min(psi, len(x))
+    if weights is not None and (weights > 1).any():
+        rows = np.repeat(np.arange(len(x)), np.minimum(weights, psi).astype(int))  # no tree draws a row more often
+        x, p = x[rows], (weights / np.minimum(weights, psi))[rows]
+    else:
+        p = np.ones(len(x))
+    psi, p = min(psi, len(x)), None if (p == 1).all() else p / p.sum()
     depth = int(np.ceil(np.log2(max(psi, 2))))
-    grown = [grow(x[rng.choice(len(x), psi, replace=False)], rng, depth) for _ in range(trees)] if psi else []
+    grown = [grow(x[rng.choice(len(x), psi, replace=False, p=p)], rng, depth) for _ in range(trees)] if psi else []
     parts = [[np.array([n[k] for n in t]) for k in range(5)] for t in grown]
     return {"trees": parts, "norm": float(average_path(max(psi, 2))), "depth": depth}
 
@@ -168,8 +174,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 96, psi: int
 
     stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
     stats = materialize(stats)
-    sample = hashed_share(stats, sample_rows, "doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS])
-    forest = fit_forest(features({c: sample[c].to_numpy(np.int64) for c in COUNTS}), trees, psi)
+    # rows that repeat are one row with a weight, so the share that comes to the driver is bounded
+    every = stats.groupBy("doc_id", *COUNTS).agg(F.count("*").alias("times"))
+    sample = hashed_share(every, sample_rows, "doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS])
+    forest = fit_forest(features({c: sample[c].to_numpy(np.int64) for c in COUNTS}), trees, psi,
+                        weights=sample["times"].to_numpy(float))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
