@@ -77,6 +77,36 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([hist / chars, extra], 1).astype(np.float32), passages
 
 
+def stretches(text: bytes, limit: int) -> list[bytes]:
+    """A long text in parts of about ``limit`` bytes that hold whole passages: cut before
+    the first word of a passage and after a space or the like, which ``encode`` puts back."""
+    out, start, words, at = [], 0, 0, 0
+    blank_end = True  # the byte before is white space
+    while at < len(text) and len(text) - start > limit:
+        data = np.frombuffer(text[at:at + limit], np.uint8)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        before = np.concatenate([[blank_end], blank[:-1]])
+        begin = np.flatnonzero(~blank & before)
+        number = words + np.arange(len(begin))
+        for p in (at + begin[number % PASSAGE == 0]).tolist():
+            if p - start >= limit and p and text[p - 1] in b" \t\x0b\x0c\r":
+                out.append(text[start:p - 1])
+                start = p
+        words, blank_end, at = words + len(begin), bool(blank[-1]), at + limit
+    return [*out, text[start:]]
+
+
+def encode_long(texts: list[bytes], limit: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """``encode``, with the working arrays bound by ``limit`` bytes however long a text is."""
+    parts = [stretches(t, limit) if len(t) > limit else [t] for t in texts]
+    flat = [p for ps in parts for p in ps]
+    got = [encode(flat[lo:hi]) for lo, hi in cuts([len(p) for p in flat], limit)]
+    if not got:
+        return encode([])
+    bags = np.concatenate([b for _, b in got])
+    return np.concatenate([x for x, _ in got]), np.add.reduceat(bags, np.cumsum([0, *map(len, parts)])[:-1])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -86,6 +116,7 @@ class MilModel:
 
     def __init__(self, inputs: int, hidden: int = 24, gate: int = 12, seed: int = 3):
         rng = np.random.default_rng(seed)
+        self.trained = False
         w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.mean, self.std = np.zeros(inputs, np.float32), np.ones(inputs, np.float32)
         self.p = {"E": w(inputs, hidden), "e": np.zeros(hidden, np.float32), "V": w(hidden, gate), "U": w(hidden, gate),
@@ -168,7 +199,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> M
     and the whole texts of ``docs`` with their ids, however long. One task trains:
     it keeps the passages in a file of its own and reads them batch by batch; the
     driver gets the weights. Of rows that repeat an id the smallest text and label
-    count. Without any labelled document the model is the untrained one."""
+    count. Without any labelled document the model stays untrained (``trained``)."""
     model = MilModel(CLASSES + 4)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -182,7 +213,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> M
 
         for b in batches:
             for part in slices(b, "text", 1_500_000):
-                x, bags = encode(text_bytes(part.column("text")))
+                x, bags = encode_long(text_bytes(part.column("text")))
                 ends = np.cumsum(bags)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("quality"), part.column("h"),
@@ -209,6 +240,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> M
            .mapInArrow(fit, "weights binary").collect())
     if got:
         model.unpack(np.frombuffer(bytes(got[0]["weights"]), np.float32))
+        model.trained = True
     return model
 
 
@@ -216,13 +248,16 @@ def score_quality(docs: DataFrame, model: MilModel) -> DataFrame:
     """Struct ``__row`` and ``score`` for each row of ``docs``: the chance of good
     quality. Null and empty texts are scored as one empty passage; repeated
     rows alike; an empty table gives an empty result; extra columns stay in the
-    struct. Nothing but the text enters a score."""
+    struct. Nothing but the text enters a score. An untrained model knows nothing
+    and gives every text 0.5."""
     rows = docs.select(F.struct("*").alias(ROW))
+    if not model.trained:
+        return rows.withColumn("score", F.lit(0.5))
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            out = [model.forward(*encode([t.encode() for t in part.iloc[lo:hi]]))["score"]
+            out = [model.forward(*encode_long([t.encode() for t in part.iloc[lo:hi]]))["score"]
                    for lo, hi in cuts(part.map(len).to_numpy(), 1_000_000)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0), dtype=float)
 

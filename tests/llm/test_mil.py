@@ -1,7 +1,10 @@
+import math
+
 import duckdb
 import numpy as np
+import pytest
 
-from campaignlab.llm.mil import MilModel, encode, score_quality, train_quality
+from campaignlab.llm.mil import MilModel, byte_classes, encode, encode_long, score_quality, stretches, train_quality
 from campaignlab.llm.queries import op6_quality_mil
 
 
@@ -86,3 +89,69 @@ def test_parts_of_a_step_add_up():
     other = MilModel(6)
     other.unpack(np.frombuffer(whole.pack(), np.float32))
     assert np.array_equal(other.forward(x, bags)["score"], whole.forward(x, bags)["score"])
+
+
+def plain_features(text):
+    """Features of each passage by loops over bytes and words."""
+    kind = byte_classes()
+    words, at = [], 0
+    while at < len(text):  # (start, end) of the words
+        if text[at] in b" \t\n\r\x0b\x0c":
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        words.append((at, end))
+        at = end
+    groups = [words[i:i + 48] for i in range(0, len(words), 48)] or [[]]
+    edges = [0, *(g[0][0] for g in groups[1:]), None]
+    out = []
+    for g, lo, hi in zip(groups, edges, edges[1:]):
+        body = (text + b" ")[lo:hi]
+        hist = [sum(kind[b] == c for b in body) for c in range(40)]
+        chars, n = max(sum(hist[:35]) + hist[38], 1), max(len(g), 1)
+        held = [text[a:b] for a, b in g]
+        out.append([h / chars for h in hist] + [math.log1p(len(g)), sum(hist[:35]) / n,
+                                                sum(x == y for x, y in zip(held, held[1:])) / n, len(set(held)) / n])
+    return out
+
+
+HARD = [b"", b"   ", b"\n\n a\n", b"Word, " * 100, "é ü 漢字\n".encode() * 60, b"a a b B 1 1 $ \t x" * 30, b"one\x00two \xff\xfe three"]
+
+
+def test_encode_and_forward_equal_plain_loops():
+    x, bags = encode(HARD)
+    want = [plain_features(t) for t in HARD]
+    assert bags.tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.concatenate(want), atol=1e-5)
+    m = MilModel(44, seed=9)
+    m.mean, m.std = x.mean(0), x.std(0) + 0.1
+    got = m.forward(x, bags)["score"]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for passages, score in zip(want, got):
+        h, power = [], []
+        for f in passages:
+            z = np.clip((np.array(f) - m.mean) / m.std, -8, 8)
+            h.append(np.tanh(z @ m.p["E"] + m.p["e"]))
+            v, u = np.tanh(h[-1] @ m.p["V"]), [sig(g) for g in h[-1] @ m.p["U"]]
+            power.append(math.exp(float((v * u) @ m.p["a"][:, 0])))
+        mean = sum(p * x for p, x in zip(power, h)) / sum(power)
+        assert score == pytest.approx(sig(float(mean @ m.p["w"][:, 0] + m.p["b"][0])), abs=1e-4)
+
+
+def test_long_texts_are_encoded_in_stretches():
+    rng = np.random.default_rng(4)
+    text = b"".join(rng.choice([b"word ", b"other\n", b"x  ", b"\t", b"1$ ", "é ".encode()], 20_000).tolist())
+    for limit in (500, 7_000):
+        assert len(stretches(text, limit)) > 3
+        for texts in ([text], [b"a", text, b"", text[:300], text[::-1]]):
+            (x, bags), (y, more) = encode(texts), encode_long(texts, limit)
+            assert bags.tolist() == more.tolist() and np.allclose(x, y, atol=1e-6)
+    assert stretches(b"x" * 5000, 500) == [b"x" * 5000] and stretches(b"a\n" * 5000, 500) == [b"a\n" * 5000]
+
+
+def test_without_labels_every_score_is_one_half(spark, make, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = score_quality(make(odd), train_quality(make(odd), none)).select("score").collect()
+    assert {r["score"] for r in got} == {0.5} and len(got) == len(odd)
