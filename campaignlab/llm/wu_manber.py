@@ -11,13 +11,14 @@ confirmed by direct comparison.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW
+from campaignlab.llm.common import ROW, doc_key, materialize
 
 # Lower-cases A-Z, keeps a-z, 0-9 and all bytes beyond ASCII, blanks the rest.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -81,10 +82,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     """Per row of ``docs``: struct ``__row``, n_words, n_hit (words inside any
     occurrence), items (sorted ids, as text, of items with an occurrence).
 
-    The benchmark is searched in blocks of about ``block_words`` words, each
-    built and sent to the tasks with its function, so what is sent is bounded
-    whatever the benchmark's size; a larger benchmark means more passes over
-    the same rows. Null and empty texts have no words and match nothing; an
+    The benchmark is searched in blocks of about ``block_words`` words (an item is in one
+    block). Each block is one pass over the rows: its tables are built, sent to the tasks
+    with its function and dropped before the next; what it finds is written to the
+    shared checkpoint folder and merged by document after the last. So what the driver
+    and a task hold is bound by a block (and by the longest item), whatever the
+    benchmark's size. Null and empty texts have no words and match nothing; an
     item without words neither. Items with a null id mark words, but no id is
     listed. Repeated items or documents count alike; an empty benchmark gives
     zero hits, an empty table no rows."""
@@ -94,14 +97,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     rows = docs.select(F.struct("*").alias(ROW))
     text = F.coalesce(F.col(f"{ROW}.text").cast("string"), F.lit(""))
     bench = bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    found = []
-    for k in range(blocks):
-        search = build([(r["item"], r["text"]) for r in bench.filter(F.col("block") == k).distinct().collect()], width)
-        rows = rows.withColumn(f"found{k}", searched(search, text))
-        found.append(F.col(f"found{k}"))
-    spans = F.concat(*[c["spans"] for c in found])
-    items = F.array_sort(F.array_distinct(F.concat(*[c["items"] for c in found])))
-    return rows.select(ROW, found[0]["n_words"].alias("n_words"), covered(spans).alias("n_hit"), items.alias("items"))
+    block = lambda k: build([(r["item"], r["text"]) for r in
+                             bench.filter(F.col("block") == k).distinct().collect()], width)
+    if blocks == 1:
+        got = rows.withColumn("found", searched(block(0), text))
+        spans, items = F.col("found.spans"), F.col("found.items")
+    else:
+        rows = rows.withColumn("key", doc_key(f"{ROW}.doc_id", f"{ROW}.text"))
+        once = rows.select("key", text.alias("text")).dropDuplicates(["key"])  # documents that repeat are searched once
+        hits = [materialize(once.select("key", searched(block(k), F.col("text")).alias("found"))
+                            .filter(F.size("found.spans") > 0).select("key", "found.spans", "found.items"))
+                for k in range(blocks)]
+        every = reduce(DataFrame.unionByName, hits).groupBy("key").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        none = searched([], text)  # counts the words
+        got = rows.withColumn("found", none).join(every, "key", "left")
+        spans = F.coalesce("spans", F.array().cast("array<long>"))
+        items = F.coalesce("items", F.array().cast("array<string>"))
+    return got.select(ROW, F.col("found.n_words").alias("n_words"), covered(spans).alias("n_hit"),
+                      F.array_sort(F.array_distinct(items)).alias("items"))
 
 
 def searched(tables: list[WuManber], text: Column) -> Column:
