@@ -115,3 +115,32 @@ def test_network_has_its_whole_size(make, monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000))
     assert lm_scores(make([(d, text) for d in range(8) if not held(d)])).count()
     assert seen == [(2046, 16, 32)]
+
+
+def test_score_equals_a_plain_loop():
+    rng = np.random.default_rng(8)
+    m = GruModel(rng.integers(1, 300, 40), classes=6, hidden=5)
+    m.train(iter([rng.integers(0, 40, n) for n in (50, 90)]), 0.05, lanes=2)
+    p, n = m.p, m.hidden
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    norm = lambda v: v - math.log(np.exp(v).sum())
+    docs = [rng.integers(0, 40, k) for k in (1, 31, 32, 33, 80)]
+    for doc, got in zip(docs, m.score(docs)):
+        h, before, total = np.zeros(n), m.start, 0.0
+        for y in doc:
+            x, u = p["E"][before] @ p["W"] + p["b"], h @ p["U"]
+            reset, update = sig(x[:n] + u[:n]), sig(x[n:2 * n] + u[n:2 * n])
+            h = update * h + (1 - update) * np.tanh(x[2 * n:] + reset * u[2 * n:])
+            c = m.cls[y]
+            lo, hi = m.edge[c], m.edge[c + 1]
+            total += norm(h @ p["C"] + p["c"])[c] + norm(p["O"][lo:hi] @ h + p["o"][lo:hi])[y - lo]
+            before = y
+        assert got == pytest.approx(total, abs=1e-2)
+
+
+def test_many_equal_rows(make):
+    rows = [(None, "a b a c")] * 300 + [(i, "a d") for i in range(30)]
+    got = lm_scores(make(rows), vocabulary=3, frequent=3, shard_tokens=50).collect()
+    assert len(got) == 330
+    same = [r for r in got if r["doc_id"] is None]
+    assert len(same) == 300 and len({(r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in same}) == 1
