@@ -3,7 +3,10 @@
 Commands
   extract        one audience by operator name, exported as CSV
   activity       campaign report for an uploaded audience, one folder per section
+  campaigns      the sections of many campaigns (a CSV of windows, a CSV of audiences) in one pass
   update-status  apply the three status uploads, write the new user snapshot
+  save-snapshot  store the users in folders by id, so that updates rewrite only what they touch
+  update-snapshot  apply status uploads to such a stored snapshot, in place
   derive-tables  derive the campaign tables from a test-data folder and store them
 """
 
@@ -35,7 +38,9 @@ def main(argv=None) -> int:
     e.add_argument("--filters", default="{}", help="JSON object with the filter keys")
     e.add_argument("--as-of")
     e.add_argument("--out", required=True)
-    e.add_argument("--single-file", action="store_true")
+    how = e.add_mutually_exclusive_group()
+    how.add_argument("--single-file", action="store_true")
+    how.add_argument("--rows-per-file", type=int, help="files of exactly so many rows, in the audience's order")
     a = sub.add_parser("activity")
     a.add_argument("--tables", required=True)
     a.add_argument("--audience", required=True, help="CSV with a User_ID header")
@@ -43,6 +48,20 @@ def main(argv=None) -> int:
     a.add_argument("--end", required=True)
     a.add_argument("--title", default="")
     a.add_argument("--out", required=True)
+    c = sub.add_parser("campaigns")
+    c.add_argument("--tables", required=True)
+    c.add_argument("--campaigns", required=True, help="CSV: campaign, start, end")
+    c.add_argument("--audiences", required=True, help="CSV: campaign, User_ID")
+    c.add_argument("--out", required=True)
+    sv = sub.add_parser("save-snapshot")
+    sv.add_argument("--tables", required=True)
+    sv.add_argument("--snapshot", required=True)
+    sv.add_argument("--parts", type=int, default=64)
+    us = sub.add_parser("update-snapshot")
+    us.add_argument("--snapshot", required=True)
+    for name in ("--rg-limit", "--opt-out", "--user-status"):
+        us.add_argument(name)
+    us.add_argument("--on-conflict", choices=("error", "max"), default="error")
     u = sub.add_parser("update-status")
     u.add_argument("--tables", required=True)
     u.add_argument("--rg-limit", required=True)
@@ -60,9 +79,29 @@ def main(argv=None) -> int:
     from campaignlab.operators import activity as X
     from campaignlab.plans.extract import export_audience, extract_data, run_update_user_status
     from campaignlab.sources.tables import load_tables, save_tables
-    from campaignlab.sources.uploads import read_upload
+    from campaignlab.sources.uploads import read_upload, write_audience_files
 
-    if args.cmd == "extract":
+    if args.cmd == "extract" and args.rows_per_file:
+        t = load_tables(spark, args.tables)
+        n = write_audience_files(extract_data(t, args.operator, json.loads(args.filters), args.as_of), args.out,
+                                 args.rows_per_file)
+        print(f"Extracted {n} files to {args.out}")
+    elif args.cmd == "campaigns":
+        from campaignlab.operators.campaigns import CampaignSet
+        many = CampaignSet(load_tables(spark, args.tables), read_upload(spark, args.campaigns), read_upload(spark, args.audiences))
+        for name, section in many.report().items():
+            section.write.mode("overwrite").option("header", True).csv(f"{args.out.rstrip('/')}/{name}")
+        print(f"sections of all campaigns written to {args.out}")
+    elif args.cmd == "save-snapshot":
+        from campaignlab.sources.snapshots import save_snapshot
+        save_snapshot(load_tables(spark, args.tables).users, args.snapshot, args.parts)
+        print(f"user snapshot in {args.parts} folders written to {args.snapshot}")
+    elif args.cmd == "update-snapshot":
+        from campaignlab.sources.snapshots import update_snapshot
+        uploads = {k: read_upload(spark, p) for k, p in (("rg_limit", args.rg_limit), ("opt_out", args.opt_out),
+                                                         ("user_status", args.user_status)) if p}
+        print(f"rewrote {len(update_snapshot(spark, args.snapshot, **uploads, on_conflict=args.on_conflict))} folders of {args.snapshot}")
+    elif args.cmd == "extract":
         t = load_tables(spark, args.tables)
         n = export_audience(extract_data(t, args.operator, json.loads(args.filters), args.as_of), args.out,
                             single_file=args.single_file)

@@ -195,3 +195,12 @@ class CampaignSet:
         """Whether the audience has no order in the window."""
         rows = self.base.select(CAMPAIGN, F.lit(1).alias("_one"))
         return self._every(rows).groupBy(CAMPAIGN).agg((F.count("_one") == 0).alias("empty"))
+
+    # ------------------------------------------------------------- A13
+    def report(self, last_days: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The sections of all campaigns. What several of them read (members, base, per-user
+        totals, deposits) is written once to the shared checkpoint folder."""
+        for name in ("windows", "members", "base", "by_user", "deposits"):
+            self.__dict__[name] = X.materialize(getattr(self, name))  # what cached_property keeps
+        return {"overview": self.summary(), "deposit": self.deposit_summary(), "stats": self.stats(), "by_product": self.by_product(),
+                "by_ticket": self.by_ticket_segment(), "reactivation": self.reactivation(last_days), "empty": self.empty()}

@@ -13,15 +13,20 @@ the checkpoint location, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from campaignlab.functions.blocks import USER, for_audience, in_window, money_sum
+from campaignlab.sources.snapshots import part_number
 from campaignlab.sources.tables import SCHEMAS
 
 
+UPSERT_PART = "user_part"
+
+
 def orders_schema() -> T.StructType:
     return T.StructType([T.StructField(c, t, True) for c, t in SCHEMAS["fact_orders"].items()])
 
@@ -39,10 +44,15 @@ def activity_stream(orders: DataFrame, ids: DataFrame, start, end) -> DataFrame:
 
 def start_activity_monitor(spark: SparkSession, orders_path: str, ids: DataFrame, start, end, out_path: str,
                            checkpoint_location: str, trigger_seconds: int = 60,
-                           max_files_per_trigger: int | None = None) -> StreamingQuery:
+                           max_files_per_trigger: int | None = None, upsert_parts: int | None = None) -> StreamingQuery:
     """Run ``activity_stream`` over parquet order files landing in
     ``orders_path``; ``current_activity(spark, out_path)`` gives the totals of
-    the last finished trigger."""
+    the last finished trigger.
+
+    By default a trigger writes all totals. With ``upsert_parts`` it gets only the totals
+    that changed and replaces them in a table of so many folders by user, of which it
+    rewrites those it touches: for audiences of all users. A trigger that runs again
+    writes the same totals again."""
     reader = spark.readStream.schema(orders_schema())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -52,6 +62,26 @@ def start_activity_monitor(spark: SparkSession, orders_path: str, ids: DataFrame
         batch.write.mode("overwrite").parquet(f"{out_path}/totals-{epoch_id % 2}")
         batch.sparkSession.range(epoch_id, epoch_id + 1, 1, 1).write.mode("append").parquet(f"{out_path}/finished")
 
+    def upsert(batch: DataFrame, epoch_id: int) -> None:
+        changed = batch.withColumn(UPSERT_PART, part_number(USER, upsert_parts)).persist()
+        touched = [r[0] for r in changed.select(UPSERT_PART).distinct().collect()]  # at most upsert_parts
+        if touched:
+            rows = changed
+            try:
+                old = batch.sparkSession.read.schema(changed.schema).parquet(f"{out_path}/upserts")
+            except AnalysisException as e:  # the first totals find no table
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                rows = (old.filter(F.col(UPSERT_PART).isin(touched)).join(changed.select(USER, "Lottery"), [USER, "Lottery"], "left_anti")
+                        .select(changed.columns).unionByName(changed))
+            rows.hint("rebalance", UPSERT_PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .partitionBy(UPSERT_PART).parquet(f"{out_path}/upserts")
+        changed.unpersist()
+
+    if upsert_parts:
+        return (agg.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint_location)
+                .trigger(processingTime=f"{trigger_seconds} seconds").start())
     return (agg.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint_location)
             .trigger(processingTime=f"{trigger_seconds} seconds").start())
@@ -62,3 +92,8 @@ def current_activity(spark: SparkSession, out_path: str) -> DataFrame:
     before two more triggers end: then its folder is written again."""
     last = spark.read.parquet(f"{out_path}/finished").agg(F.max("id")).first()[0]
     return spark.read.parquet(f"{out_path}/totals-{last % 2}")
+
+
+def upserted_activity(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals kept by a monitor with ``upsert_parts``."""
+    return spark.read.parquet(f"{out_path}/upserts").drop(UPSERT_PART)

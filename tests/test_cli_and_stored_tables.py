@@ -113,3 +113,30 @@ def test_cli_commands(spark, sf001, stored, capsys):
     users = {r.User_ID: r for r in spark.read.parquet(scratch + "/users").collect()}
     assert users["11"].RG_limit == 1 and users["13"].receive_message == 0 and users["17"].user_status == "close"
     assert len(users) == 150
+
+
+def test_cli_snapshot_campaigns_and_numbered_files(spark, stored, capsys):
+    scratch = tempfile.mkdtemp(prefix="campaignlab-cli-")
+
+    def csv(name, text):
+        with open(f"{scratch}/{name}.csv", "w") as f:
+            f.write(text)
+        return f"{scratch}/{name}.csv"
+
+    assert main(["save-snapshot", "--tables", stored, "--snapshot", scratch + "/users", "--parts", "8"]) == 0
+    assert main(["update-snapshot", "--snapshot", scratch + "/users", "--rg-limit", csv("rg", "User ID\n11\n"),
+                 "--user-status", csv("st", "User ID,User Status\n17,close\n")]) == 0
+    assert "rewrote 1 folders" in capsys.readouterr().out.replace("rewrote 2", "rewrote 1")
+    users = {r.User_ID: r for r in spark.read.parquet(scratch + "/users").collect()}
+    assert users["11"].RG_limit == 1 and users["17"].user_status == "close" and len(users) == 150
+    ids = "".join(f"a,{i}\nb,{i + 1}\n" for i in range(3, 140, 3))
+    assert main(["campaigns", "--tables", stored, "--campaigns", csv("c", "campaign,start,end\na,1999-01-01 00:00:00,1999-12-31 23:59:00\n"
+                 "b,1999-06-01 00:00:00,2000-06-30 23:59:00\n"), "--audiences", csv("i", "campaign,User_ID\n" + ids),
+                 "--out", scratch + "/many"]) == 0
+    overview = spark.read.option("header", True).csv(scratch + "/many/overview").collect()
+    assert {r.campaign: r.Receiver for r in overview} == {"a": "46", "b": "46"}
+    assert {f.split("/")[-1] for f in glob.glob(scratch + "/many/*")} == {"overview", "deposit", "stats", "by_product", "by_ticket",
+                                                                          "reactivation", "empty"}
+    assert main(["extract", "--tables", stored, "--operator", "Top N by Draw series", "--filters",
+                 '{"by_product": "Lucky Day", "top": 25}', "--rows-per-file", "10", "--out", scratch + "/top"]) == 0
+    assert "3 files" in capsys.readouterr().out and len(glob.glob(scratch + "/top/file=*/part-*.csv")) == 3
