@@ -62,19 +62,22 @@ def touched_parts(ids: Sequence[DataFrame], parts: int) -> list[int]:
 
 
 def rewrite_parts(spark: SparkSession, path: str, touched: Sequence[int], change) -> list[int]:
-    """Replace the ``touched`` folders by ``change(their users)``, which must keep every id
-    in its folder; no other folder is read or written. Returns the folders replaced."""
+    """Replace those of the ``touched`` folders in which ``change(their users)`` alters a row;
+    it must keep ids, and columns it does not know. No other folder is read, no unchanged
+    one written. Returns the folders replaced."""
     df, name, parts = _stored(spark, path)
     touched = sorted(set(touched))
     if not touched:
         return []
+    columns = [c for c in df.columns if c != name]
     old = df.filter(F.col(name).isin(touched))
-    held = [r[name] for r in old.select(name).distinct().collect()]  # an id of no user may point at a folder that is not there
-    if not held:
+    differs = change(old.withColumn("_before", F.struct(*columns))).filter(~F.struct(*columns).eqNullSafe(F.col("_before")))
+    changed = sorted(r["part"] for r in differs.select(part_number(USER, parts).alias("part")).distinct().collect())
+    if not changed:
         return []
-    new = change(old.drop(name)).withColumn(name, part_number(USER, parts))
+    new = change(df.filter(F.col(name).isin(changed)).select(columns)).withColumn(name, part_number(USER, parts))
     new.hint("rebalance", name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
-    return sorted(held)
+    return changed
 
 
 def update_snapshot(spark: SparkSession, path: str, rg_limit: DataFrame | None = None, opt_out: DataFrame | None = None,
@@ -82,7 +85,7 @@ def update_snapshot(spark: SparkSession, path: str, rg_limit: DataFrame | None =
                     status_id_column: str = S.STATUS_UPLOAD_ID, status_column: str = S.STATUS_UPLOAD_VALUE,
                     on_conflict: str = "error") -> list[int]:
     """U1-U3, U5 on a stored snapshot: apply the uploads that are given, in the
-    reference order, and rewrite only the folders their ids touch. Returns the
+    reference order, and rewrite only the folders in which a user changes. Returns the
     folders rewritten. A conflicting status upload fails before anything is replaced."""
     _, _, parts = _stored(spark, path)
     ids = []

@@ -56,9 +56,10 @@ def test_snapshot_updates_add_up_and_can_run_again(spark, folder):
     opt = spark.createDataFrame([("3", 0, 1, 0, "2001-02-01"), ("3", 1, 1, 1, "2001-01-01")],
                                 "user_id string, message_status int, mail_status int, sms_status int, updated_time string")
     rg = spark.createDataFrame([("3",), ("5",)], "`User ID` string")
-    for _ in range(2):
-        P.update_snapshot(spark, folder, opt_out=opt)
-        P.update_snapshot(spark, folder, rg_limit=rg)
+    first = [P.update_snapshot(spark, folder, opt_out=opt), P.update_snapshot(spark, folder, rg_limit=rg)]
+    before = files(folder)
+    again = [P.update_snapshot(spark, folder, opt_out=opt), P.update_snapshot(spark, folder, rg_limit=rg)]
+    assert all(first) and again == [[], []] and files(folder) == before  # what is set already is not written again
     got = {r.User_ID: r for r in P.read_snapshot(spark, folder).collect()}
     assert len(got) == 41 and got["3"].receive_message == 0 and got["3"].RG_limit == 1 and got["5"].RG_limit == 1
     assert got["4"].RG_limit == 0 and got[None].RG_limit == 0
