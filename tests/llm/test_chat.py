@@ -79,3 +79,14 @@ def test_one_conversation_over_many_batches(spark):
 
 def test_pattern_is_shared():
     assert pc.count_substring_regex(pa.array(["<s> [/INST] \\<s>"]), r"[<\[]").to_pylist() == [3]
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes with control strings throughout, beside short ones."""
+    long = "word <|im_end|> \\n é " * 150_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "end"), (1, 2, "assistant", "x"), (2, 0, "user", "hi")]
+    got = {r["conv_id"]: r for r in chat_digests(format_chat(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string"))).collect()}
+    said = long + "end" + "x"
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (3, len(said), sha(said))
+    assert got[1]["turns_sha256"] == sha(f"user\n{long}\nassistant\n{long}end\nassistant\nx\n") and got[2]["n_turns"] == 1

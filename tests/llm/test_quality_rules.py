@@ -1,3 +1,4 @@
+import numpy as np
 import re
 from collections import Counter
 
@@ -52,3 +53,28 @@ def test_odd_rows(spark, make, odd):
     want = sorted([(d is None, d or 0, *brute(t)) for d, t in odd + extra])
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, *(r[c] for c in COLS)) for r in got) == want
     assert quality_rules(make([]), labels).count() == 0
+
+
+def test_weights_stand_for_repeated_rows():
+    from campaignlab.llm.quality_rules import anomaly, fit_forest
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, (400, 3)), [[9.0, 9.0, 9.0]]])
+    plain, weighted = fit_forest(x), fit_forest(x, weights=np.append(np.ones(400), 100_000.0))
+    assert anomaly(plain, x)[-1] == anomaly(plain, x).max()  # alone it stands out
+    assert anomaly(weighted, x)[-1] == anomaly(weighted, x).min()  # as a great group it does not
+    same = fit_forest(x, weights=np.ones(401))
+    assert np.array_equal(anomaly(same, x), anomaly(plain, x))
+
+
+def test_many_equal_rows_are_one_row_on_the_driver(spark, make, monkeypatch):
+    from campaignlab.llm import quality_rules as q
+
+    seen = []
+    fit = q.fit_forest
+    monkeypatch.setattr(q, "fit_forest", lambda x, *a, **k: seen.append(len(x)) or fit(x, *a, **k))
+    rows = [(None, "the same words again and again in this text of some words")] * 500 + [(i, f"text {i} " * (i % 7 + 5)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = q.quality_rules(make(rows), labels).collect()
+    assert len(got) == 540 and seen[0] <= 41
+    assert len({r["anomaly"] for r in got if r["doc_id"] is None}) == 1
