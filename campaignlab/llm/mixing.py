@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW
+from campaignlab.llm.common import ROW, materialize
 
 OTHER = "*"  # group of all sources without a weight of their own
 STEP = 16.0  # larger means are sums of independent draws of at most this mean
@@ -49,7 +49,8 @@ def group_rates(docs: DataFrame, weights: dict[str, float], epochs: float) -> Da
     return sizes.select("grp", "rate", "draws", F.aggregate(steps, start, add, lambda a: a["c"]).alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: str = "mix",
+                chunk: int = 1024) -> DataFrame:
     """``docs`` with each row repeated by its count: struct ``__row``, ``rate``
     and ``copy`` (from 1), dealt globally.
 
@@ -59,7 +60,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0,
     characters keeps its rows once on average; where no weighted source occurs
     at all, every rate is ``epochs``. Rows that repeat an id get the
     same count each; a null id hashes like the text 'null'. An empty table
-    gives an empty result."""
+    gives an empty result. Where a source is so small that its rate passes half of
+    ``chunk``, copies are dealt to tasks by chunks before they are made; the rows are the same."""
     rows = docs.select(F.struct("*").alias(ROW))
     source = F.col(f"{ROW}.source").cast("string")
     named = [k for k in weights if k != OTHER]
@@ -67,14 +69,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0,
         "grp": F.when(source.isin(named), source).otherwise(F.lit(OTHER)) if named else F.lit(OTHER),
         "size": F.coalesce(F.length(f"{ROW}.text"), F.lit(0)).cast("long"),
         "uid": F.coalesce(F.col(f"{ROW}.doc_id").cast("string"), F.lit("null"))})
-    rates = group_rates(rows, weights, epochs)
+    rates = materialize(group_rates(rows, weights, epochs))
+    often = (rates.agg(F.max("rate")).first()[0] or 0) > chunk / 2
     drawn = rows.join(F.broadcast(rates), "grp")  # at most len(weights) + 1 rows
     counts = F.transform(F.sequence(F.lit(1), F.col("draws")),
                          lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("uid"),
                                                                                   j.cast("string")))))
     n = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
-    copies = (drawn.withColumn("n", n).filter("n > 0")
-              .select(ROW, "rate", "uid", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = drawn.withColumn("n", n).filter("n > 0").select(ROW, "rate", "uid", "n")
+    first, last = F.lit(1), F.col("n")
+    if often:  # a tiny source: its copies are made in chunks, each in a task of its own
+        starts = F.sequence(F.lit(1), F.col("n"), F.lit(chunk))
+        counted = counted.withColumn("first", F.explode(starts)).repartition(parts, F.xxhash64("uid", "first"))
+        first, last = F.col("first"), F.least(F.col("n"), F.col("first") + chunk - 1)
+    copies = (counted.select(ROW, "rate", "uid", F.explode(F.sequence(first, last)).alias("copy"))
               .withColumn("place", F.xxhash64(F.lit(seed), "uid", "copy")))
-    parts = copies.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return copies.repartition(int(parts), "place").sortWithinPartitions("place").select(ROW, "rate", "copy")
+    return copies.repartition(parts, "place").sortWithinPartitions("place").select(ROW, "rate", "copy")

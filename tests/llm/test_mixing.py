@@ -41,3 +41,15 @@ def test_order_is_dealt_and_stable(make):
     once = [r["__row"]["doc_id"] for r in mix_sources(docs, {"a": 1.0}).collect()]
     assert once == [r["__row"]["doc_id"] for r in mix_sources(docs, {"a": 1.0}).collect()]
     assert once != sorted(once)
+
+
+def test_tiny_source_is_dealt_in_chunks(make):
+    """A source of one short text with a great share: thousands of copies of one row, the same in chunks."""
+    rows = [(1, "ab", "tiny"), (2, "c" * 6000, "src0"), (3, None, "tiny"), (4, "d" * 3000, None)]
+    weights = {"tiny": 0.6, "src0": 0.3, "*": 0.1}
+    got = {c: mix_sources(make(rows).repartition(2), weights, chunk=c).select("__row.doc_id", "copy") for c in (10**9, 16)}
+    whole, chunks = (sorted(map(tuple, d.collect())) for d in got.values())
+    assert whole == chunks and sum(d == 1 for d, _ in whole) > 2000
+    assert [c for d, c in whole if d == 1] == list(range(1, sum(d == 1 for d, _ in whole) + 1))
+    sizes = got[16].rdd.glom().map(len).collect()
+    assert max(sizes) < 0.6 * len(whole)
