@@ -22,56 +22,65 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import ROW, per_worker
+from campaignlab.llm.common import ROW, cuts, per_worker
 
 # ASCII white space to the right, or ASCII digit next to an ASCII letter or digit.
 STABLE = re.compile(r"(?=[ \t\n\r])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
-PIECE = re.compile(r"[^ \t\n\r]+")
 
 
 class TokenCounter:
-    """Counts tokens of texts; ``chunk`` and ``overlap`` are in characters.
+    """Counts tokens of texts; ``chunk``, ``overlap`` and ``huge`` are in characters.
 
-    Texts of up to ``chunk`` characters are cut at white space (the same proof)
-    and the library's count of each piece is remembered, for up to ``memory``
-    pieces of at most 48 characters. ``divider`` is a special token of the
-    tokenizer: new pieces are counted by the hundred, with one between them."""
+    Texts of up to ``huge`` characters (``chunk``, where it is not given) are cut at
+    white space (the same proof) and the library's count of each piece is remembered,
+    for up to ``memory`` pieces of at most 48 characters. ``divider`` is a special token
+    of the tokenizer: new pieces are counted by the hundred, with one between them.
+    ``cache`` is how many pre-tokens the library itself remembers."""
 
-    def __init__(self, path: str, chunk: int = 8192, overlap: int = 256, memory: int = 700_000,
-                 divider: str = "<|startoftext|>"):
+    def __init__(self, path: str, chunk: int = 2048, overlap: int = 64, huge: int | None = None,
+                 memory: int = 700_000, divider: str = "<|startoftext|>", cache: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.chunk, self.overlap, self.memory = chunk, overlap, memory
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(cache)
+        self.chunk, self.overlap, self.huge, self.memory = chunk, overlap, chunk if huge is None else huge, memory
         special = {t.content: k for k, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.divider, self.divider_id = divider, special.get(divider)
         self.known: dict[str, int] = {}
         self.widened = 0
 
     def count(self, texts: list[str]) -> list[int]:
+        return self.count_column(pa.array(texts, pa.string())).tolist()
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text of a string column without nulls."""
+        out = np.zeros(len(texts), np.int64)
+        huge = pc.greater(pc.utf8_length(texts), self.huge).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(huge):
+            out[i] = self.resynchronise(texts[int(i)].as_py())
+        words = pc.ascii_split_whitespace(texts.filter(pa.array(~huge)))
+        coded = words.flatten().dictionary_encode()
+        size = self.remembered(coded.dictionary.to_pylist())
+        before = np.concatenate([[0], np.cumsum(size[coded.indices.to_numpy()])])
+        edges = words.offsets.to_numpy()
+        out[~huge] = np.diff(before[edges - edges[0]])
+        return out
+
+    def remembered(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > self.memory:
             self.known.clear()
         known = self.known
-        out, short = [0] * len(texts), []
-        fresh: dict[str, None] = {}
-        for i, t in enumerate(texts):
-            if len(t) > self.chunk:
-                out[i] = self.resynchronise(t)
-            elif t:
-                pieces = PIECE.findall(t)
-                short.append((i, pieces))
-                fresh.update((p, None) for p in pieces if p not in known)
-        counts = self.sizes(list(fresh))
+        counts = self.sizes([p for p in pieces if p not in known])
         known.update((p, n) for p, n in counts.items() if len(p) <= 48)
-        for i, pieces in short:
-            out[i] = sum([known[p] if p in known else counts[p] for p in pieces])
-        return out
+        return np.array([known[p] if p in known else counts[p] for p in pieces], np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,8 +141,8 @@ class TokenCounter:
         return total + len(left) - taken
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int = 8192, overlap: int = 256,
-                 text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int = 2048, overlap: int = 64,
+                 huge: int = 8192, text: str = "text") -> DataFrame:
     """All columns of ``docs`` in struct ``__row`` with ``n_bytes`` (UTF-8),
     ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
@@ -142,14 +151,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
     inside the struct. ``tokenizer`` is a file every executor can read."""
     rows = docs.select(F.struct("*").alias(ROW))
 
-    @F.pandas_udf("long")
-    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def tokens(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = per_worker(("counter", tokenizer, chunk, overlap), lambda: TokenCounter(tokenizer, chunk, overlap))
+        counter = per_worker(("counter", tokenizer, chunk, overlap, huge),
+                             lambda: TokenCounter(tokenizer, chunk, overlap, huge))
         for part in parts:
-            yield pd.Series(counter.count([t or "" for t in part]), dtype="int64")
+            sizes = pc.binary_length(part).to_pylist()
+            counts = [counter.count_column(part.slice(lo, hi - lo)) for lo, hi in cuts(sizes, 16_000_000)]
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
 
     body = F.coalesce(F.col(f"{ROW}.`{text}`"), F.lit(""))
     return (rows.withColumns({"n_bytes": F.octet_length(body).cast("long"), "n_tokens": tokens(body)})

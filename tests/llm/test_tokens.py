@@ -18,13 +18,14 @@ def whole():
 
 
 def test_small_chunks_equal_one_call(texts, whole):
-    for chunk, overlap in ((64, 8), (200, 16), (8192, 256)):
+    for chunk, overlap in ((64, 8), (200, 16), (2048, 64), (8192, 256)):
         got = TokenCounter(PATH, chunk, overlap).count([t[:5000] for _, t in texts[:60]])
         assert got == [whole(t[:5000]) for _, t in texts[:60]]
 
 
 HARD = ["漢字" * 300, "a1" * 300, "12345" * 100, "x" * 700, "<|endoftext|>" * 40 + " <|startoftext|>", "é " * 200,
-        "it's we'll 've" * 60, "Σας ΣΑΣ " * 60, "  a\x1cb\x85c " * 60, "!?" * 400 + "é9é", "İI " * 100]
+        "it's we'll 've" * 60, "Σας ΣΑΣ " * 60, "  a\x1cb\x85c " * 60, "!?" * 400 + "é9é", "İI " * 100,
+        "a\x0bb\x0cc \x0b\x0c 'll\x0b's\x0c\u0301e " * 60, "\u00a0x\u2003y\u3000\u1680z " * 60]
 
 
 @pytest.mark.parametrize("text", HARD)
@@ -33,6 +34,21 @@ def test_hard_texts(text, whole):
         assert TokenCounter(PATH, chunk, overlap).count([text]) == [whole(text)]
 
 
+@pytest.mark.parametrize("text", ["", " ", "\x0b\x0c", *HARD])
+def test_short_texts_by_their_pieces(text, whole):
+    c = TokenCounter(PATH, 32, 4, huge=100_000)
+    assert c.count([text, "", text + " tail"]) == [whole(text), 0, whole(text + " tail")]
+    assert c.count([text]) == [whole(text)]  # from memory
+    assert c.widened == 0
+
+
+def test_memory_is_bound(texts, whole):
+    c = TokenCounter(PATH, huge=100_000, memory=50)
+    for _, t in texts[:20]:
+        assert c.count([t[:3000]]) == [whole(t[:3000])]
+        assert len(c.known) <= 50 + len(set(t[:3000].split()))
+
+
 def test_overlap_widens_where_nothing_is_stable():
     c = TokenCounter(PATH, 32, 4)
     c.count(["x" * 500 + " tail end"])
