@@ -1,9 +1,8 @@
 """Quality rules: an isolation forest over rule statistics.
 
-One pass computes the statistics of every document. The forest is grown on a
-hash-chosen sample of about ``sample_rows`` statistics rows (the method's own
-subsampling: ``psi`` rows a tree); documents that random splits isolate early
-are anomalous. The threshold on the anomaly score is calibrated on all
+One pass computes the statistics of every document. Each tree of the forest draws
+its own ``psi`` rows from the statistics of all documents (the method's
+subsampling); documents that random splits isolate early are anomalous. The threshold on the anomaly score is calibrated on all
 labelled rows from a histogram of scores.
 """
 
@@ -15,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlab.llm.common import hashed_share, materialize, slices, text_bytes
+from campaignlab.llm.common import cuts, materialize, slices, text_bytes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -116,17 +115,55 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(x: np.ndarray, trees: int = 96, psi: int = 256, seed: int = 7, weights: np.ndarray | None = None) -> dict:
-    """Each tree draws ``psi`` rows; a row of weight n stands for n equal rows."""
-    rng = np.random.default_rng(seed)
-    if weights is not None and (weights > 1).any():
-        rows = np.repeat(np.arange(len(x)), np.minimum(weights, psi).astype(int))  # no tree draws a row more often
-        x, p = x[rows], (weights / np.minimum(weights, psi))[rows]
-    else:
-        p = np.ones(len(x))
-    psi, p = min(psi, len(x)), None if (p == 1).all() else p / p.sum()
+def race(names: np.ndarray, weights: np.ndarray, trees: int, psi: int, limit: float,
+         seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrivals (row, tree, time) up to ``limit``: in each tree every one of a row's ``weight``
+    copies arrives after an exponential time that the row's name and the tree fix, so a tree's
+    first ``psi`` arrivals are a draw without replacement from all copies, wherever rows are.
+    A row's copies beyond ``psi`` cannot be among them and are left out."""
+    copies = np.minimum(weights, psi).astype(np.int64)
+    row = np.repeat(np.arange(len(names)), copies)
+    first = np.cumsum(copies) - copies
+    nth = np.arange(len(row)) - first[row]
+    rows, which, times = [], [], []
+    for t in range(trees):
+        turn = nth.astype(np.uint64) * np.uint64(trees) + np.uint64(t + 1)
+        z = names[row].view(np.uint64) + turn * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+        step = -np.log1p(-u) / (weights[row] - nth)
+        at = np.cumsum(step)
+        at -= np.concatenate([[0.0], at])[first[row]] if len(row) else 0.0  # the copies of a row arrive in turn
+        at = np.where(nth == 0, step, at)  # exactly, whatever rows are beside it
+        hit = np.flatnonzero(at <= limit)
+        rows.append(row[hit])
+        which.append(np.full(len(hit), t))
+        times.append(at[hit])
+    return np.concatenate(rows), np.concatenate(which), np.concatenate(times)
+
+
+def race_limit(total: float, psi: int) -> float:
+    """A time by which ``psi`` of ``total`` copies have arrived but for a chance of under 1e-9,
+    and about ``psi + 8 * sqrt(psi) + 64`` are expected to."""
+    share = (psi + 8 * psi ** 0.5 + 64) / max(total, 1)
+    return -np.log1p(-share) if share < 0.5 else np.inf
+
+
+def fit_forest(x: np.ndarray, trees: int = 96, psi: int = 256, seed: int = 7, weights: np.ndarray | None = None,
+               drawn: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> dict:
+    """Each tree draws ``psi`` rows; a row of weight n stands for n equal rows.
+
+    ``drawn``: arrivals of the rows of ``x`` as of ``race``, where they are already known."""
+    if drawn is None:
+        drawn = race(np.arange(len(x)), np.ones(len(x)) if weights is None else weights, trees, psi, np.inf, seed)
+    row, tree, time = drawn
+    order = np.lexsort((row, time, tree))
+    row, starts = row[order], np.searchsorted(tree[order], np.arange(trees + 1))
+    draws = [row[lo:min(lo + psi, hi)] for lo, hi in zip(starts[:-1], starts[1:])]
+    psi = max(map(len, draws), default=0)
     depth = int(np.ceil(np.log2(max(psi, 2))))
-    grown = [grow(x[rng.choice(len(x), psi, replace=False, p=p)], rng, depth) for _ in range(trees)] if psi else []
+    grown = [grow(x[d], np.random.default_rng((seed, t)), depth) for t, d in enumerate(draws) if len(d)]
     parts = [[np.array([n[k] for n in t]) for k in range(5)] for t in grown]
     return {"trees": parts, "norm": float(average_path(max(psi, 2))), "depth": depth}
 
@@ -154,7 +191,7 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray, max_loss: float) -> floa
     return float(np.argmax(gain)) / len(good) if gain.max() > 0 else 1.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 96, psi: int = 256, sample_rows: int = 8192,
+def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 96, psi: int = 256,
                   max_loss: float = 0.01, min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, anomaly, threshold, kept.
 
@@ -174,11 +211,31 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 96, psi: int
 
     stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
     stats = materialize(stats)
-    # rows that repeat are one row with a weight, so the share that comes to the driver is bounded
+    # rows that repeat are one row with a weight; what comes to the driver is bound by trees and psi
     every = stats.groupBy("doc_id", *COUNTS).agg(F.count("*").alias("times"))
-    sample = hashed_share(every, sample_rows, "doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS])
-    forest = fit_forest(features({c: sample[c].to_numpy(np.int64) for c in COUNTS}), trees, psi,
-                        weights=sample["times"].to_numpy(float))
+    every = every.withColumn("name", F.xxhash64("doc_id", *COUNTS))
+    limit = race_limit(stats.count(), psi)
+
+    def arrive(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            weights = b.column("times").to_numpy().astype(float)
+            for lo, hi in cuts(np.minimum(weights, psi).tolist(), 100_000):
+                row, tree, time = race(b.column("name").to_numpy()[lo:hi], weights[lo:hi], trees, psi, limit)
+                order = np.argsort(row, kind="stable")
+                used, n = np.unique(row, return_counts=True)
+                edges = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(v[order])) for v in (tree, time)]
+                keep = b.take(pa.array(used + lo))
+                yield pa.RecordBatch.from_arrays([*(keep.column(c) for c in ("doc_id", *COUNTS)), *lists],
+                                                 names=["doc_id", *COUNTS, "trees", "times"])
+
+    sample = (every.mapInArrow(arrive, schema + ", trees array<long>, times array<double>").toPandas()
+              .sort_values(["doc_id", *COUNTS]))
+    flat = [np.concatenate([np.zeros(0, kind), *sample[c]]) for c, kind in (("trees", np.int64), ("times", float))]
+    rows = np.repeat(np.arange(len(sample)), sample["trees"].map(len).to_numpy(np.int64))
+    forest = fit_forest(features({c: sample[c].to_numpy(np.int64) for c in COUNTS}), trees, psi, drawn=(rows, *flat))
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa

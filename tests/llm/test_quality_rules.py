@@ -78,3 +78,31 @@ def test_many_equal_rows_are_one_row_on_the_driver(spark, make, monkeypatch):
     got = q.quality_rules(make(rows), labels).collect()
     assert len(got) == 540 and seen[0] <= 41
     assert len({r["anomaly"] for r in got if r["doc_id"] is None}) == 1
+
+
+def test_each_tree_draws_from_all_rows():
+    from campaignlab.llm.quality_rules import race, race_limit
+
+    rng = np.random.default_rng(3)
+    names = rng.integers(-2**63, 2**63 - 1, 60_000)
+    weights = np.ones(len(names))
+    limit = race_limit(len(names), 256)
+    row, tree, time = race(names, weights, 24, 256, limit)
+    sizes = np.bincount(tree, minlength=24)
+    assert sizes.min() >= 256 and sizes.max() < 700  # enough for each tree, and bound
+    assert len(np.unique(row)) > 0.9 * len(row)  # trees draw apart
+    assert abs(row.mean() / len(names) - 0.5) < 0.02
+    cut = [race(names[lo:lo + 7000], weights[lo:lo + 7000], 24, 256, limit) for lo in range(0, len(names), 7000)]
+    assert sorted(t for c in cut for t in c[2]) == sorted(time)  # wherever the rows are
+
+
+def test_copies_arrive_as_single_rows_would():
+    from campaignlab.llm.quality_rules import race
+
+    names = np.random.default_rng(4).integers(-2**63, 2**63 - 1, 2001)
+    weights = np.append(np.ones(2000), 1000.0)  # a third of all
+    row, tree, time = race(names, weights, 60, 128, np.inf)
+    order = np.lexsort((time, tree))
+    first = np.concatenate([row[order][tree[order] == t][:128] for t in range(60)])
+    assert abs((first == 2000).mean() - 1 / 3) < 0.03
+    assert (time > 0).all()
