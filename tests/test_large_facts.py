@@ -95,3 +95,11 @@ def test_few_rows_keep_the_plan_and_tasks_are_bounded(spark, base, monkeypatch):
     monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 1)
     monkeypatch.setattr(fixtures, "MOST_TASKS", 50)
     assert TestData(spark, base).tasks == 50
+
+
+def test_stored_summary_is_written_by_dealt_tasks(spark, base, large, plain):
+    out = load_all()["order_behavior_stored"].run(spark, base)
+    folder = re.match(r".*/tables-[^/]*", next(f for f in out.inputFiles() if "/fact_orders_summary/" in f))[0]
+    stored = spark.read.parquet(f"{folder}/fact_orders_summary")
+    assert 20 < len(stored.inputFiles()) <= 61  # the session has 8 partitions
+    assert rows(stored) == plain["fact_orders_summary"]
