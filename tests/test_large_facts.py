@@ -103,3 +103,12 @@ def test_stored_summary_is_written_by_dealt_tasks(spark, base, large, plain):
     stored = spark.read.parquet(f"{folder}/fact_orders_summary")
     assert 20 < len(stored.inputFiles()) <= 61  # the session has 8 partitions
     assert rows(stored) == plain["fact_orders_summary"]
+
+
+def test_clustered_buckets_follow_the_rows(spark, base, monkeypatch, plain):
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 24)  # 101 tasks
+    before = set(glob.glob(folders := f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/clustered-*"))
+    out = load_all()["wallet_balance_clustered"].run(spark, base)
+    [folder] = set(glob.glob(folders)) - before
+    assert {r["buckets"] for r in spark.read.parquet(f"{folder}/layout").collect()} == {25}
+    assert rows(out) == plain["wallet_balance_clustered"] == plain["wallet_balance"] != []
